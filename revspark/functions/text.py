@@ -138,6 +138,6 @@ def element_text(html, class_name: str, tag: str = "div", default: str = K.MISSI
     without such an element give ``default``.
     """
     pat = f'(?s)<{tag}[^>]*class="{re.escape(class_name)}"[^>]*>(.*?)</{tag}>'
-    raw = F.regexp_extract(_col(html), F.lit(pat), 1)
+    raw = F.regexp_extract(_col(html), pat, 1)
     txt = F.trim(html_unescape(strip_tags(raw)))
     return F.when(_col(html).rlike(pat), txt).otherwise(F.lit(default))

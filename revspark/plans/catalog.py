@@ -15,8 +15,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revspark.functions import decode as DC
+from revspark.operators import dedupe as DD
 from revspark.operators import features as FE
+from revspark.operators import flatten as FL
+from revspark.operators import query as QY
+from revspark.operators import tokens as TK
+from revspark.plans import standins as ST
 from revspark.plans.tables import table
+from revspark.sources import pages as SR
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -37,3 +44,206 @@ def tfidf_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = FE.TfIdf(n_min=1, n_max=3, min_df=1).fit_transform(docs)
     return w.select("doc_id", "term", F.col("tf").cast("bigint").alias("tf"),
                     F.round("weight", 6).alias("weight"))
+
+
+# --- step 2: counts and vocabulary ------------------------------------------
+
+@query("term_counts")
+def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept-token unigram frequency per document."""
+    docs = table(spark, sf_dir, "documents")
+    tf = FE.term_counts(FE.doc_terms(docs, n_min=1, n_max=1))
+    return tf.select("doc_id", "term", F.col("tf").cast("bigint").alias("tf"))
+
+
+@query("bigram_counts")
+def bigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corpus bigram counts, kept when in at least two documents (min_df=2)."""
+    docs = table(spark, sf_dir, "documents")
+    tf = FE.term_counts(FE.doc_terms(docs, n_min=2, n_max=2))
+    return FE.build_vocab(tf, min_df=2).select(
+        "term", F.col("df").cast("bigint").alias("df"), F.col("cf").cast("bigint").alias("cf"))
+
+
+@query("top_terms")
+def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 25 most frequent kept unigrams (top-k report; ties by term)."""
+    docs = table(spark, sf_dir, "documents")
+    tf = FE.term_counts(FE.doc_terms(docs, n_min=1, n_max=1))
+    return FE.build_vocab(tf, max_features=25).select(
+        "term", F.col("cf").cast("bigint").alias("cf"))
+
+
+@query("vocab_ids")
+def vocab_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram vocabulary with 1-based ids in alphabetical order."""
+    docs = table(spark, sf_dir, "documents")
+    tf = FE.term_counts(FE.doc_terms(docs, n_min=1, n_max=1))
+    return FE.alphabetical_ids(FE.build_vocab(tf).select("term")).select("term", "id")
+
+
+# --- step 3: nested pages -> flat rows, JSON decode -------------------------
+
+@query("flatten_nested")
+def flatten_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review page envelopes flattened to the 18-column review table."""
+    pages = ST.review_pages(spark, sf_dir)
+    return FL.flatten_reviews(pages, title="title", appid="appid")
+
+
+@query("json_decode")
+def json_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event properties parsed with an explicit schema; string-or-number -> double."""
+    ev = table(spark, sf_dir, "events")
+    parsed = F.from_json("props", "k STRING")
+    return ev.select("event_id", DC.to_double_or_zero(parsed["k"]).alias("k"),
+                     DC.int_to_bool(F.when(F.col("event_type") == "purchase", 1).otherwise(0))
+                     .alias("is_purchase"))
+
+
+# --- step 4: request filters, ordering, paging -----------------------------
+
+def _reviews(spark, sf_dir, extra=False):
+    return ST.flat_reviews(spark, sf_dir, extra=extra)
+
+
+@query("review_type_filter")
+def review_type_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = QY.ReviewQuery(review_type="positive")
+    return q.apply(_reviews(spark, sf_dir)).select("recommendation_id", "appid", "voted_up")
+
+
+@query("purchase_type_filter")
+def purchase_type_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = QY.ReviewQuery(purchase_type="non_steam")
+    return q.apply(_reviews(spark, sf_dir)).select("recommendation_id", "steam_purchase")
+
+
+@query("language_filter")
+def language_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = QY.ReviewQuery(language="Français")
+    return q.apply(_reviews(spark, sf_dir)).select("recommendation_id", "language")
+
+
+def _as_of(reviews: DataFrame) -> int:
+    return reviews.agg(F.max("timestamp_created")).first()[0]
+
+
+@query("day_range")
+def day_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews created within 7 days before the newest one (order mode "all")."""
+    reviews = _reviews(spark, sf_dir, extra=True)
+    q = QY.ReviewQuery(order="all", day_range=7, as_of=_as_of(reviews))
+    return q.apply(reviews).select("recommendation_id", "timestamp_created")
+
+
+@query("recent_page")
+def recent_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First page of 100 newest reviews (ties by id)."""
+    q = QY.ReviewQuery(order="recent", per_page=100)
+    return QY.page(_reviews(spark, sf_dir), q).select(
+        "recommendation_id", "timestamp_created", "language")
+
+
+@query("cursor_page")
+def cursor_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second page (after the first page's cursor) of English reviews by update time."""
+    reviews = _reviews(spark, sf_dir, extra=True)
+    q = QY.ReviewQuery(language="english", order="updated", per_page=50)
+    first = QY.page(reviews, q)
+    cur = QY.next_cursor(first, q)
+    q2 = QY.ReviewQuery(language="english", order="updated", per_page=50, cursor=cur)
+    return QY.page(reviews, q2).select("recommendation_id", "timestamp_updated")
+
+
+@query("review_summary")
+def review_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positive / negative / all review totals per product."""
+    r = _reviews(spark, sf_dir)
+    return r.groupBy("appid").agg(
+        F.count_if(F.col("voted_up")).alias("total_positive"),
+        F.count_if(~F.col("voted_up")).alias("total_negative"),
+        F.count(F.lit(1)).alias("total_reviews"))
+
+
+@query("language_dim_join")
+def language_dim_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews per language with code and native name from the 30-row dimension."""
+    r = _reviews(spark, sf_dir)
+    counts = r.groupBy("language").agg(F.count(F.lit(1)).alias("n_reviews"))
+    return counts.join(F.broadcast(DC.language_dim(spark)), "language", "left") \
+        .select("language", "code", "native_name", "n_reviews")
+
+
+@query("score_ordinal")
+def score_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positive share per product -> score label (1..9) -> ordinal; ordered compare."""
+    r = _reviews(spark, sf_dir)
+    share = r.groupBy("appid").agg(F.avg(F.col("voted_up").cast("double")).alias("share"))
+    label = DC.review_score_label(F.least(F.floor(F.col("share") * 9) + 1, F.lit(9)))
+    out = share.select("appid", label.alias("score_label"))
+    out = out.withColumn("score", DC.review_score_ordinal("score_label").cast("int"))
+    return out.withColumn("at_least_mixed", F.col("score") >= DC.review_score_ordinal(F.lit("Mixed")))
+
+
+@query("vote_label")
+def vote_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Derived label: more helpful than funny votes."""
+    return FL.add_vote_label(_reviews(spark, sf_dir)).select("recommendation_id", "up_funny")
+
+
+# --- step 5: product pages and titles --------------------------------------
+
+TITLE_CLASS = "ad"
+
+
+def _page_titles(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return SR.extract_titles(pages, class_name=TITLE_CLASS)
+
+
+@query("title_extract")
+def title_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of the first element with the title class on each product page."""
+    return _page_titles(spark, sf_dir).select("appid", "title")
+
+
+@query("title_enrich")
+def title_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews get their product title from the page dimension ("NA" when absent)."""
+    r = _reviews(spark, sf_dir)
+    return FL.attach_title(r, _page_titles(spark, sf_dir)).select(
+        "recommendation_id", "appid", "title")
+
+
+@query("title_dictionary")
+def title_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct lower-cased titles plus the fixed aliases."""
+    return TK.title_dictionary(_page_titles(spark, sf_dir))
+
+
+# --- step 6: duplicates and resume ------------------------------------------
+
+@query("dedupe_rows")
+def dedupe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document per distinct text (smallest id kept)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return DD.dedupe_rows(docs, key_cols=["text"], order_col="doc_id").select("doc_id")
+
+
+@query("drop_seen")
+def drop_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents re-delivered against the stored (labelled) ones: only new content."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    stored = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    return DD.drop_seen(docs, stored, key_cols=["text", "lang", "source"],
+                        order_col="doc_id").select("doc_id")
+
+
+@query("resume_info")
+def resume_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per product: oldest stored review and the day range to re-read from it."""
+    r = _reviews(spark, sf_dir)
+    as_of = r.select(F.max("timestamp_created")).scalar()
+    return DD.resume_points(r, as_of).select(
+        "appid", "oldest_created", F.col("n_stored").cast("bigint").alias("n_stored"), "day_range")

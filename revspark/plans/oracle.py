@@ -18,3 +18,166 @@ SELECT doc_id, term, CAST(tf AS BIGINT) AS tf,
        round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight
 FROM w
 """
+
+ORACLE["term_counts"] = f"""
+WITH t AS (SELECT doc_id, {S.kept_tokens('text')} AS a FROM documents),
+g AS (SELECT doc_id, unnest(a) AS term FROM t)
+SELECT doc_id, term, CAST(count(*) AS BIGINT) AS tf FROM g GROUP BY doc_id, term
+"""
+
+ORACLE["bigram_counts"] = f"""
+WITH t AS (SELECT doc_id, {S.kept_tokens('text')} AS a FROM documents),
+g AS (SELECT doc_id, unnest({S.ngrams('a', 2, 2)}) AS term FROM t),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY doc_id, term)
+SELECT term, CAST(count(*) AS BIGINT) AS df, CAST(sum(tf) AS BIGINT) AS cf
+FROM tf GROUP BY term HAVING count(*) >= 2
+"""
+
+ORACLE["top_terms"] = f"""
+WITH t AS (SELECT doc_id, {S.kept_tokens('text')} AS a FROM documents),
+g AS (SELECT unnest(a) AS term FROM t)
+SELECT term, CAST(count(*) AS BIGINT) AS cf FROM g GROUP BY term
+ORDER BY cf DESC, term ASC LIMIT 25
+"""
+
+ORACLE["vocab_ids"] = f"""
+WITH t AS (SELECT doc_id, {S.kept_tokens('text')} AS a FROM documents),
+v AS (SELECT DISTINCT unnest(a) AS term FROM t)
+SELECT term, CAST(row_number() OVER (ORDER BY term) AS INTEGER) AS id FROM v
+"""
+
+LANG_CASE = "CASE " + " ".join(
+    f"WHEN {{c}} = {S.sql_str(a)} THEN {S.sql_str(n)}" for a, n in __import__(
+        "revspark.functions.decode", fromlist=["LANGUAGE_ALIASES"]).LANGUAGE_ALIASES.items()) + " END"
+
+REVIEWS_CTE = f"""
+reviews AS (
+  SELECT d.source AS title, regexp_extract(d.source, '([0-9]+)$', 1) AS appid,
+         d.doc_id AS recommendation_id, e.user_id AS steam_id, e.user_id AS num_games_owned,
+         CAST(d.n_chars // 1000 AS BIGINT) AS num_reviews,
+         CAST(floor(e.value * 60) AS BIGINT) AS playtime_forever,
+         {LANG_CASE.format(c='d.lang')} AS language,
+         d.text AS review, CAST(floor(epoch(e.ts)) AS BIGINT) AS timestamp_created,
+         coalesce(l.quality = 1, false) AS voted_up,
+         CAST(floor(e.value) AS BIGINT) AS votes_up,
+         CAST(json_extract_string(e.props, '$.k') AS BIGINT) AS votes_funny,
+         CAST(d.n_chars // 1000 AS BIGINT) AS comment_count,
+         e.event_type = 'purchase' AS steam_purchase,
+         e.event_type = 'signup' AS received_for_free,
+         coalesce(l.toxic = 1, false) AS written_during_early_access,
+         coalesce(CASE WHEN e.event_type = 'error' THEN 'We are looking into it.' END, '')
+           AS developer_response,
+         CAST(floor(epoch(e.ts)) AS BIGINT) + CAST(floor(e.value * 3600) AS BIGINT)
+           AS timestamp_updated,
+         round(e.value / 500.0, 6) AS weighted_vote_score
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
+  LEFT JOIN events e ON e.event_id = d.doc_id)
+"""
+
+FLAT_SELECT = ("title, appid, recommendation_id, steam_id, num_games_owned, num_reviews, "
+               "playtime_forever, language, review, timestamp_created, voted_up, votes_up, "
+               "votes_funny, comment_count, steam_purchase, received_for_free, "
+               "written_during_early_access, developer_response")
+
+ORACLE["flatten_nested"] = f"WITH {REVIEWS_CTE} SELECT {FLAT_SELECT} FROM reviews"
+
+ORACLE["json_decode"] = """
+SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), 0.0) AS k,
+       coalesce(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END = 1, false) AS is_purchase
+FROM events
+"""
+
+ORACLE["review_type_filter"] = f"""WITH {REVIEWS_CTE}
+SELECT recommendation_id, appid, voted_up FROM reviews WHERE voted_up"""
+
+ORACLE["purchase_type_filter"] = f"""WITH {REVIEWS_CTE}
+SELECT recommendation_id, steam_purchase FROM reviews WHERE NOT steam_purchase"""
+
+ORACLE["language_filter"] = f"""WITH {REVIEWS_CTE}
+SELECT recommendation_id, language FROM reviews WHERE language = 'french'"""
+
+ORACLE["day_range"] = f"""WITH {REVIEWS_CTE}
+SELECT recommendation_id, timestamp_created FROM reviews
+WHERE timestamp_created >= (SELECT max(timestamp_created) FROM reviews) - 7 * 86400"""
+
+ORACLE["recent_page"] = f"""WITH {REVIEWS_CTE}
+SELECT recommendation_id, timestamp_created, language FROM reviews
+ORDER BY timestamp_created DESC, recommendation_id DESC LIMIT 100"""
+
+ORACLE["cursor_page"] = f"""WITH {REVIEWS_CTE},
+r AS (SELECT recommendation_id, timestamp_updated,
+             row_number() OVER (ORDER BY timestamp_updated DESC, recommendation_id DESC) AS rn
+      FROM reviews WHERE language = 'english')
+SELECT recommendation_id, timestamp_updated FROM r WHERE rn BETWEEN 51 AND 100"""
+
+ORACLE["review_summary"] = f"""WITH {REVIEWS_CTE}
+SELECT appid, CAST(count(*) FILTER (WHERE voted_up) AS BIGINT) AS total_positive,
+       CAST(count(*) FILTER (WHERE NOT voted_up) AS BIGINT) AS total_negative,
+       CAST(count(*) AS BIGINT) AS total_reviews
+FROM reviews GROUP BY appid"""
+
+_LANG_VALUES = ", ".join(
+    f"({S.sql_str(a)}, {S.sql_str(b)}, {S.sql_str(c)})"
+    for a, b, c in __import__("revspark.functions.constants", fromlist=["LANGUAGES"]).LANGUAGES)
+
+ORACLE["language_dim_join"] = f"""WITH {REVIEWS_CTE},
+dim(language, code, native_name) AS (VALUES {_LANG_VALUES}),
+c AS (SELECT language, CAST(count(*) AS BIGINT) AS n_reviews FROM reviews GROUP BY language)
+SELECT c.language, dim.code, dim.native_name, c.n_reviews
+FROM c LEFT JOIN dim ON c.language = dim.language"""
+
+_SCORES = __import__("revspark.functions.constants", fromlist=["SCORE_LABELS"]).SCORE_LABELS
+_SCORE_LIST = S.sql_list(_SCORES)
+
+ORACLE["score_ordinal"] = f"""WITH {REVIEWS_CTE},
+s AS (SELECT appid, avg(CASE WHEN voted_up THEN 1.0 ELSE 0.0 END) AS share
+      FROM reviews GROUP BY appid),
+o AS (SELECT appid, CAST(least(floor(share * 9) + 1, 9) AS INTEGER) AS score FROM s)
+SELECT appid, {_SCORE_LIST}[score] AS score_label, score, score >= 5 AS at_least_mixed FROM o"""
+
+ORACLE["vote_label"] = f"""WITH {REVIEWS_CTE}
+SELECT recommendation_id, votes_up > votes_funny AS up_funny FROM reviews"""
+
+TITLE_RE = '(?s)<div[^>]*class="ad"[^>]*>(.*?)</div>'
+_TITLE_TEXT = ("trim(replace(replace(replace(replace(replace(replace("
+               "regexp_replace(regexp_extract(html, '{re}', 1), '<[^>]*>', '', 'g'),"
+               " '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''),"
+               " '&amp;', '&'))").format(re=TITLE_RE)
+PAGE_TITLES_CTE = f"""
+page_titles AS (
+  SELECT CAST(page_id AS VARCHAR) AS appid,
+         CASE WHEN regexp_matches(html, '{TITLE_RE}') THEN {_TITLE_TEXT} ELSE 'NA' END AS title
+  FROM pages)
+"""
+
+ORACLE["title_extract"] = f"WITH {PAGE_TITLES_CTE} SELECT appid, title FROM page_titles"
+
+ORACLE["title_enrich"] = f"""WITH {REVIEWS_CTE}, {PAGE_TITLES_CTE},
+dim AS (SELECT appid, min(title) AS title FROM page_titles GROUP BY appid)
+SELECT r.recommendation_id, r.appid, coalesce(dim.title, 'NA') AS title
+FROM reviews r LEFT JOIN dim ON r.appid = dim.appid"""
+
+_ALIASES = __import__("revspark.functions.constants", fromlist=["TITLE_ALIASES"]).TITLE_ALIASES
+
+ORACLE["title_dictionary"] = f"""WITH {PAGE_TITLES_CTE}
+SELECT DISTINCT title FROM (
+  SELECT lower(trim(title)) AS title FROM page_titles
+  WHERE title IS NOT NULL AND lower(trim(title)) <> 'na' AND lower(trim(title)) <> ''
+  UNION ALL SELECT unnest({S.sql_list(_ALIASES)}) AS title)"""
+
+ORACLE["dedupe_rows"] = "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text"
+
+ORACLE["drop_seen"] = """
+WITH h AS (SELECT DISTINCT text, lang, source FROM documents
+           WHERE doc_id IN (SELECT doc_id FROM labels)),
+b AS (SELECT min(doc_id) AS doc_id, text, lang, source FROM documents GROUP BY text, lang, source)
+SELECT doc_id FROM b WHERE NOT EXISTS (
+  SELECT 1 FROM h WHERE h.text IS NOT DISTINCT FROM b.text
+   AND h.lang IS NOT DISTINCT FROM b.lang AND h.source IS NOT DISTINCT FROM b.source)
+"""
+
+ORACLE["resume_info"] = f"""WITH {REVIEWS_CTE},
+m AS (SELECT max(timestamp_created) AS as_of FROM reviews)
+SELECT appid, min(timestamp_created) AS oldest_created, CAST(count(*) AS BIGINT) AS n_stored,
+       CAST(((SELECT as_of FROM m) - min(timestamp_created)) // 86400 AS BIGINT) AS day_range
+FROM reviews WHERE appid <> 'NA' GROUP BY appid"""
