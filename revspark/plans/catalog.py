@@ -16,9 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revspark.functions import decode as DC
+from revspark.functions import text as TX
 from revspark.operators import dedupe as DD
 from revspark.operators import features as FE
 from revspark.operators import flatten as FL
+from revspark.operators import normalize as NZ
 from revspark.operators import query as QY
 from revspark.operators import tokens as TK
 from revspark.plans import standins as ST
@@ -247,3 +249,44 @@ def resume_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     as_of = r.select(F.max("timestamp_created")).scalar()
     return DD.resume_points(r, as_of).select(
         "appid", "oldest_created", F.col("n_stored").cast("bigint").alias("n_stored"), "day_range")
+
+
+# --- step 7: text normalisation ----------------------------------------------
+
+@query("normalize_emoticons")
+def normalize_emoticons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked-word runs and emoticons rewritten, on every document's whole text."""
+    docs = table(spark, sf_dir, "documents")
+    out = TX.normalize_emoticons(F.col("text"))
+    return docs.select("doc_id", F.md5(out).alias("text_md5"), F.length(out).alias("n_chars"))
+
+
+# Rule table for the oracle-checked query (each shape once: plain literal,
+# alternation, symbol class, optional whitespace prefix, quantified group, scoped).
+SHAPE_RULES = [
+    NZ.Rule(0, "and", "AND", literal="and"),
+    NZ.Rule(1, "les|des", "LES"),
+    NZ.Rule(2, "[#%&]{3}", " SYM "),
+    NZ.Rule(3, "[ \t]*der", " DER"),
+    NZ.Rule(4, "(ou){2,}", "ou"),
+    NZ.Rule(5, "ch", "CH", scope_title="src1", literal="ch"),
+]
+
+
+@query("apply_rules")
+def apply_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered case-insensitive rewrite rules (one of each shape) over whole texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    out = NZ.apply_rules(docs, SHAPE_RULES, "text", "norm", title_col="source")
+    return out.select("doc_id", F.md5("norm").alias("text_md5"))
+
+
+@query("review_rules")
+def review_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shipped review rule table (emoticons first, then every rule in order,
+    product-scoped ones on matching titles); invalid patterns match literally."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("user_review"),
+                                                    F.col("source").alias("title"))
+    rules = NZ.load_rules(on_bad_rule="literal")
+    out = NZ.normalize_reviews(docs, rules, "user_review", "title")
+    return out.select("doc_id", F.md5("user_review").alias("text_md5"))

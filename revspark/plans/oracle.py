@@ -181,3 +181,23 @@ m AS (SELECT max(timestamp_created) AS as_of FROM reviews)
 SELECT appid, min(timestamp_created) AS oldest_created, CAST(count(*) AS BIGINT) AS n_stored,
        CAST(((SELECT as_of FROM m) - min(timestamp_created)) // 86400 AS BIGINT) AS day_range
 FROM reviews WHERE appid <> 'NA' GROUP BY appid"""
+
+_MASK = "|".join(
+    __import__("re").escape(s) + "{4,}" if s != "|" else r"\|{4,}"
+    for s in __import__("revspark.functions.constants", fromlist=["MASK_SYMBOLS"]).MASK_SYMBOLS)
+_NORM = ("regexp_replace(regexp_replace(regexp_replace(text, '" + _MASK + "', 'fuck', 'g'),"
+         r" '(:\)|:D|=\)|=D|☺|☻)', 'smile', 'g'), '(:\(|=\(|:-\()', 'sad', 'g')")
+
+ORACLE["normalize_emoticons"] = f"""
+SELECT doc_id, md5({_NORM}) AS text_md5, CAST(length({_NORM}) AS INTEGER) AS n_chars
+FROM documents"""
+
+ORACLE["apply_rules"] = r"""
+WITH r0 AS (SELECT doc_id, source, regexp_replace(text, 'and', 'AND', 'gi') AS t FROM documents),
+r1 AS (SELECT doc_id, source, regexp_replace(t, 'les|des', 'LES', 'gi') AS t FROM r0),
+r2 AS (SELECT doc_id, source, regexp_replace(t, '[#%&]{3}', ' SYM ', 'gi') AS t FROM r1),
+r3 AS (SELECT doc_id, source, regexp_replace(t, '[ \t]*der', ' DER', 'gi') AS t FROM r2),
+r4 AS (SELECT doc_id, source, regexp_replace(t, '(ou){2,}', 'ou', 'gi') AS t FROM r3),
+r5 AS (SELECT doc_id, CASE WHEN regexp_matches(source, 'src1', 'i')
+                      THEN regexp_replace(t, 'ch', 'CH', 'gi') ELSE t END AS t FROM r4)
+SELECT doc_id, md5(t) AS text_md5 FROM r5"""
