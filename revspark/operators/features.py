@@ -155,3 +155,100 @@ class TfIdf:
         vocab = build_vocab(tf, self.min_df, self.max_features) \
             .select("term", smooth_idf(F.col("df"), n_docs).alias("idf"))
         return tfidf_weights(tf, vocab, normalize)
+
+
+# --- padded token ids and embeddings -----------------------------------------
+
+def kept_token_table(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
+                     stop: bool = True, tokenizer=None) -> DataFrame:
+    """``(doc_id, pos, token)``: kept tokens with 0-based positions. A document
+    without kept tokens keeps one row with NULL ``pos``/``token``."""
+    toks = tokenizer(F.col(text_col)) if tokenizer is not None else filtered_tokens(text_col, stop)
+    return (docs.select(F.col(id_col).alias("doc_id"), toks.alias("_toks"))
+            .select("doc_id", F.posexplode_outer("_toks").alias("pos", "token")))
+
+
+def pad_ids(arr, length: int) -> Column:
+    """Pad with 0 or cut to ``length``, both at the front (the end of the text is kept)."""
+    a = F.col(arr) if isinstance(arr, str) else arr
+    n = F.size(a)
+    return F.concat(F.array_repeat(F.lit(0), F.greatest(F.lit(0), F.lit(length) - n)),
+                    F.slice(a, F.greatest(F.lit(1), n - length + 1), length))
+
+
+def tokens_to_ids(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``(doc_id, ids)``: each token's vocabulary id in text order, 0 when unknown.
+
+    Token table left-joined to ``(term, id)`` (AQE broadcasts a small
+    vocabulary, else a shuffle join whose hot terms are split), then one group
+    per document, bounded by the document's length.
+    """
+    v = vocab.select(F.col("term").alias("token"), F.col("id").alias("_id"))
+    j = tokens.join(v, "token", "left")
+    item = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("_id", F.lit(0)).alias("id")))
+    return (j.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("_s"))
+            .select("doc_id", F.transform("_s", lambda x: x["id"]).alias("ids")))
+
+
+@dataclass
+class PadIdsModel:
+    vocab: DataFrame          # (term, id), ids 1..V in alphabetical order
+    pad_length: int
+    stop: bool = True
+    text_col: str = "text"
+    id_col: str = "doc_id"
+
+    def transform(self, docs: DataFrame) -> DataFrame:
+        """``(doc_id, ids)`` padded/cut to ``pad_length``."""
+        toks = kept_token_table(docs, self.text_col, self.id_col, self.stop)
+        ids = tokens_to_ids(toks, self.vocab)
+        return ids.select("doc_id", pad_ids("ids", self.pad_length).alias("ids"))
+
+    def embeddings(self, vectors: DataFrame, key: str = "term", vector_col: str = "vector",
+                   dim: int | None = None) -> DataFrame:
+        return embed_vocab(self.vocab, vectors, key, vector_col, dim)
+
+
+class PadIds:
+    """Vocabulary of kept unigrams (ids 1..V, 0 = unknown/pad) and a pad length
+    (the longest kept-token document of the fitting set unless given)."""
+
+    def __init__(self, pad_length: int | None = None, stop: bool = True,
+                 text_col: str = "text", id_col: str = "doc_id"):
+        self.pad_length, self.stop, self.text_col, self.id_col = pad_length, stop, text_col, id_col
+
+    def fit(self, docs: DataFrame) -> PadIdsModel:
+        toks = kept_token_table(docs, self.text_col, self.id_col, self.stop)
+        vocab = alphabetical_ids(toks.filter(F.col("token").isNotNull())
+                                 .select(F.col("token").alias("term")).distinct())
+        length = self.pad_length
+        if length is None:
+            length = docs.select(F.max(F.size(filtered_tokens(self.text_col, self.stop)))).first()[0]
+        return PadIdsModel(vocab, int(length or 0), self.stop, self.text_col, self.id_col)
+
+
+def embed_vocab(vocab: DataFrame, vectors: DataFrame, key: str = "term",
+                vector_col: str = "vector", dim: int | None = None) -> DataFrame:
+    """``(term, id, vector, has_vector)`` for vocabulary terms only; zeros when absent."""
+    if dim is None:
+        dim = vectors.select(F.size(vector_col)).first()[0]
+    vec = vectors.select(F.col(key).alias(key), F.col(vector_col).cast("array<float>").alias("_v"))
+    j = vocab.join(vec, key, "left")
+    zeros = F.array_repeat(F.lit(0.0).cast("float"), int(dim))
+    return j.select("term", "id", F.coalesce("_v", zeros).alias("vector"),
+                    F.col("_v").isNotNull().alias("has_vector"))
+
+
+def pool_embeddings(ids: DataFrame, emb: DataFrame, dim: int) -> DataFrame:
+    """Global max pooling per document over the vectors of its ids (id 0 = zero vector).
+
+    Each distinct id of a document is joined to its vector once, then one
+    aggregation per document computes every dimension (no per-dimension explode).
+    """
+    d = ids.select("doc_id", F.explode(F.array_distinct("ids")).alias("id"))
+    e = emb.select("id", F.col("vector").alias("_v"))
+    j = d.join(e, "id", "left").withColumn(
+        "_v", F.coalesce("_v", F.array_repeat(F.lit(0.0).cast("float"), dim)))
+    cols = [F.max(F.col("_v")[i]).alias(f"_d{i}") for i in range(dim)]
+    return j.groupBy("doc_id").agg(*cols).select(
+        "doc_id", F.array(*[F.col(f"_d{i}") for i in range(dim)]).alias("pooled"))

@@ -31,16 +31,17 @@ def title_dictionary(titles: DataFrame, aliases=None, title_col: str = "title")
     return base.unionByName(extra).distinct()
 
 
-def _word_layout(tokens: Column):
-    """Positions (1-based) of word tokens and the symbols right before each word."""
-    n = F.size(tokens)
+def _word_layout(df: DataFrame, tok_col: str) -> DataFrame:
+    """Adds ``widx`` (1-based positions of word tokens) and ``gaps`` (the symbols
+    right before each word), in two projections so each array is built once."""
+    n = F.size(tok_col)
     widx = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                    lambda i: (i <= n) & F.element_at(tokens, i).rlike(WORD_RE))
-    gaps = F.transform(widx, lambda p, j: F.array_join(
-        F.slice(tokens,
-                F.when(j == 0, F.lit(1)).otherwise(F.element_at(widx, j) + 1),
-                p - F.when(j == 0, F.lit(1)).otherwise(F.element_at(widx, j) + 1)), ""))
-    return widx, gaps
+                    lambda i: (i <= n) & F.element_at(F.col(tok_col), i).rlike(WORD_RE))
+    df = df.withColumn("widx", widx)
+    prev_end = lambda j: F.when(j == 0, F.lit(1)).otherwise(F.element_at("widx", j) + 1)
+    gaps = F.transform("widx", lambda p, j: F.array_join(
+        F.slice(F.col(tok_col), prev_end(j), p - prev_end(j)), ""))
+    return df.withColumn("gaps", gaps)
 
 
 def title_patterns(dictionary: DataFrame) -> DataFrame:
@@ -48,40 +49,57 @@ def title_patterns(dictionary: DataFrame) -> DataFrame:
     symbols between them (optional in the text). Leading and trailing symbols
     are dropped."""
     toks = dictionary.select("title", tokenize(F.col("title")).alias("_t"))
-    widx, gaps = _word_layout(F.col("_t"))
-    pat = toks.select("title", widx.alias("_w"), gaps.alias("tgaps"), "_t")
+    pat = _word_layout(toks, "_t")
     return pat.select(
-        F.array_join(F.transform("_w", lambda i: F.element_at(F.col("_t"), i)), " ").alias("key"),
-        F.size("_w").alias("n"), "tgaps", "title").filter(F.col("n") > 0)
+        F.array_join(F.transform("widx", lambda i: F.element_at(F.col("_t"), i)), " ").alias("key"),
+        F.size("widx").alias("n"), F.col("gaps").alias("tgaps"), "title").filter(F.col("n") > 0)
 
 
 def doc_words(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``(doc_id, toks, widx, gaps)``: lower-cased tokens, word positions, symbol gaps."""
     t = docs.select(F.col(id_col).alias("doc_id"), tokenize(F.lower(F.col(text_col))).alias("toks"))
-    widx, gaps = _word_layout(F.col("toks"))
-    return t.select("doc_id", "toks", widx.alias("widx"), gaps.alias("gaps"))
+    return _word_layout(t, "toks").select("doc_id", "toks", "widx", "gaps")
 
 
-def title_candidates(words: DataFrame, patterns: DataFrame, lengths) -> DataFrame:
+# First words are tested inside each row with a hash set when there are at most
+# this many distinct ones; otherwise every position is a candidate start.
+FIRST_WORDS_INLINE = 100_000
+
+
+def title_candidates(words: DataFrame, patterns: DataFrame, lengths, first_words=None,
+                     first_pairs=None) -> DataFrame:
     """Every document word n-gram (n in ``lengths``) whose words equal a title's words
-    and whose inner symbols are absent or equal to the title's."""
-    grams = []
+    and whose inner symbols are absent or equal to the title's.
+
+    Candidates are built inside each document row (only at positions whose word
+    starts some title) and only those small structs are exploded, so a long
+    document's arrays are never copied per position. The lookup is an equi-join
+    on the n-gram key.
+    """
+    word_at = lambda s: F.element_at(F.col("toks"), F.element_at(F.col("widx"), s))
+    # Positions whose word starts some title: computed once, then cut per length.
+    every = F.sequence(F.lit(1), F.greatest(F.size("widx"), F.lit(1)))
+    heads = F.filter(every, lambda s: (s <= F.size("widx"))
+                     & (word_at(s).isin(first_words) if first_words else F.lit(True)))
+    words = words.withColumn("_heads", heads)
+    parts = []
     for n in sorted(set(lengths)):
-        width = F.greatest(F.size("widx") - n + 1, F.lit(0))
-        starts = F.sequence(F.lit(1), F.greatest(width, F.lit(1)))
-        g = words.select("doc_id", "toks", "widx", "gaps",
-                         F.explode_outer(F.filter(starts, lambda s, w=width: s <= w)).alias("start"))
-        g = g.filter(F.col("start").isNotNull()).select(
-            "doc_id", "start", F.lit(n).alias("n"),
-            F.array_join(F.transform(F.slice("widx", F.col("start"), n),
+        width = F.size("widx") - n + 1
+        if n >= 2 and first_pairs:
+            starts = F.filter("_heads", lambda s: (s <= width) & F.concat(
+                word_at(s), F.lit(" "), word_at(s + 1)).isin(first_pairs))
+        else:
+            starts = F.filter("_heads", lambda s: s <= width)
+        parts.append(F.transform(starts, lambda s: F.struct(
+            s.alias("start"), F.lit(n).alias("n"),
+            F.array_join(F.transform(F.slice("widx", s, n),
                                      lambda i: F.element_at(F.col("toks"), i)), " ").alias("key"),
-            F.slice("gaps", F.col("start"), n).alias("dgaps"),
-            F.element_at("widx", F.col("start")).alias("tok_start"),
-            F.element_at("widx", F.col("start") + n - 1).alias("tok_end"))
-        grams.append(g)
-    cand = grams[0]
-    for g in grams[1:]:
-        cand = cand.unionByName(g)
+            F.slice("gaps", s, n).alias("dgaps"),
+            F.element_at("widx", s).alias("tok_start"),
+            F.element_at("widx", s + n - 1).alias("tok_end"))))
+    allc = parts[0] if len(parts) == 1 else F.concat(*parts)
+    cand = words.select("doc_id", F.explode_outer(allc).alias("c")) \
+        .filter(F.col("c").isNotNull()).select("doc_id", "c.*")
     pat = patterns
     if patterns.count() <= BROADCAST_ROWS:
         pat = F.broadcast(patterns)
@@ -115,13 +133,25 @@ def tag_titles(docs: DataFrame, dictionary: DataFrame, text_col: str = "text",
                id_col: str = "doc_id") -> DataFrame:
     """Title spans ``(doc_id, start, n, tok_start, tok_end, title)``; ``start``/``n``
     count words, ``tok_*`` are 1-based token positions (symbols inside included)."""
-    patterns = title_patterns(dictionary)
+    # The dictionary is read several times below (sizes, lengths, first words,
+    # the join); keep its small pattern table in memory.
+    patterns = title_patterns(dictionary).persist()
+    # Title lengths (a handful of values) and, when few enough, first words
+    # come to the driver; the dictionary itself stays distributed.
     lengths = [r[0] for r in patterns.select("n").distinct().collect()]
+    firsts = patterns.select(F.substring_index("key", " ", 1).alias("w")).distinct()
+    pairs = patterns.filter(F.col("n") >= 2).select(
+        F.concat_ws(" ", F.slice(F.split("key", " "), 1, 2)).alias("w")).distinct()
+    first_words = first_pairs = None
+    if firsts.count() <= FIRST_WORDS_INLINE:
+        first_words = [r[0] for r in firsts.collect()]
+    if pairs.count() <= FIRST_WORDS_INLINE:
+        first_pairs = [r[0] for r in pairs.collect()]
     if not lengths:
         schema = "doc_id bigint, start int, n int, tok_start int, tok_end int, title string"
         return docs.sparkSession.createDataFrame([], schema)
     words = doc_words(docs, text_col, id_col)
-    return resolve_spans(title_candidates(words, patterns, lengths))
+    return resolve_spans(title_candidates(words, patterns, lengths, first_words, first_pairs))
 
 
 def token_table(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

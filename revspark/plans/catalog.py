@@ -22,6 +22,7 @@ from revspark.operators import features as FE
 from revspark.operators import flatten as FL
 from revspark.operators import normalize as NZ
 from revspark.operators import query as QY
+from revspark.operators import split as SP
 from revspark.operators import tokens as TK
 from revspark.plans import standins as ST
 from revspark.plans.tables import table
@@ -290,3 +291,114 @@ def review_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = NZ.load_rules(on_bad_rule="literal")
     out = NZ.normalize_reviews(docs, rules, "user_review", "title")
     return out.select("doc_id", F.md5("user_review").alias("text_md5"))
+
+
+# --- step 8: token filter, title tags, lemmas ---------------------------------
+
+@query("token_filter")
+def token_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens per document and the ones kept (no punctuation, stop words or non-ASCII)."""
+    docs = table(spark, sf_dir, "documents")
+    t = docs.select("doc_id", TX.tokenize(F.lower("text")).alias("_all"))
+    t = t.select("doc_id", "_all", F.filter("_all", lambda x: TX.keep_token(x)).alias("_kept"))
+    return t.select("doc_id", F.size("_all").alias("n_tokens"), F.size("_kept").alias("n_kept"),
+                    F.md5(F.array_join("_kept", " ")).alias("kept_md5"))
+
+
+def _title_dict(spark, sf_dir):
+    return TK.title_dictionary(_page_titles(spark, sf_dir))
+
+
+@query("tag_titles")
+def tag_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product-title phrases found in each document (longest, then earliest, wins)."""
+    docs = table(spark, sf_dir, "documents")
+    return TK.tag_titles(docs, _title_dict(spark, sf_dir))
+
+
+@query("title_tokens")
+def title_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept tokens where title phrases are always kept (symbols inside them too)."""
+    docs = table(spark, sf_dir, "documents")
+    spans = TK.tag_titles(docs, _title_dict(spark, sf_dir))
+    kept = TK.kept_with_titles(docs, spans)
+    return kept.select("doc_id", F.size("tokens").alias("n_kept"),
+                       F.md5(F.array_join("tokens", " ")).alias("kept_md5"))
+
+
+@query("lemmatize")
+def lemmatize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept tokens replaced by their lemma from a (form, lemma) table derived from
+    the vocabulary (a plural folds onto its stem when the stem occurs)."""
+    docs = table(spark, sf_dir, "documents")
+    toks = FE.kept_token_table(docs).filter(F.col("token").isNotNull())
+    lemmas = TK.lemma_table_from_vocab(toks.select(F.col("token").alias("term")))
+    lem = TK.lemmatize(toks, lemmas, "token")
+    g = lem.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_s"))
+    return g.select("doc_id", F.size("_s").alias("n_tokens"),
+                    F.md5(F.array_join(F.transform("_s", lambda x: x["token"]), " "))
+                    .alias("lemma_md5"))
+
+
+# --- step 9: stratified split ---------------------------------------------------
+
+def _labelled_docs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lab = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return docs.join(lab, "doc_id")
+
+
+@query("stratified_split")
+def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """25 % test per label, order md5('42:' || id), exact per-stratum counts."""
+    lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return SP.stratified_split(lab, "quality", "doc_id", 0.25).select("doc_id", "quality", "is_test")
+
+
+# --- step 10: padded ids, vectors, pooling --------------------------------------
+
+def _pad_model(spark, sf_dir):
+    docs = _labelled_docs(spark, sf_dir)
+    split = SP.stratified_split(docs, "label", "doc_id", 0.25)
+    train = split.filter(~F.col("is_test"))
+    return docs, FE.PadIds().fit(train)
+
+
+@query("padded_ids")
+def padded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents as token ids (vocabulary and length fitted on the train split)."""
+    docs, model = _pad_model(spark, sf_dir)
+    ids = model.transform(docs)
+    return ids.select("doc_id", F.size("ids").alias("n_ids"),
+                      F.size(F.filter("ids", lambda x: x == 0)).alias("n_zero"),
+                      F.md5(F.array_join("ids", ",")).alias("ids_md5"))
+
+
+def _vectors(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").cast("int").alias("id"), F.col("embedding").alias("vector"))
+
+
+@query("embed_vocab")
+def embed_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors for the fitted vocabulary only (zeros where the store has none)."""
+    _, model = _pad_model(spark, sf_dir)
+    emb = model.embeddings(_vectors(spark, sf_dir), key="id")
+    return emb.select("term", "id", "has_vector",
+                      F.round(F.sqrt(F.aggregate("vector", F.lit(0.0),
+                                                 lambda a, x: a + x.cast("double") * x)), 4)
+                      .alias("norm"))
+
+
+@query("pool_embeddings")
+def pool_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Global max pooling of each document's padded id sequence over the vectors."""
+    docs, model = _pad_model(spark, sf_dir)
+    vectors = _vectors(spark, sf_dir)
+    dim = vectors.select(F.size("vector")).first()[0]
+    emb = model.embeddings(vectors, key="id", dim=dim)
+    pooled = FE.pool_embeddings(model.transform(docs), emb, dim)
+    return pooled.select("doc_id",
+                         F.round(F.aggregate("pooled", F.lit(0.0), lambda a, x: a + x), 4)
+                         .alias("pooled_sum"),
+                         F.array_max("pooled").cast("double").alias("pooled_max"))

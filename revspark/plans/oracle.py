@@ -201,3 +201,73 @@ r4 AS (SELECT doc_id, source, regexp_replace(t, '(ou){2,}', 'ou', 'gi') AS t FRO
 r5 AS (SELECT doc_id, CASE WHEN regexp_matches(source, 'src1', 'i')
                       THEN regexp_replace(t, 'ch', 'CH', 'gi') ELSE t END AS t FROM r4)
 SELECT doc_id, md5(t) AS text_md5 FROM r5"""
+
+ORACLE["token_filter"] = f"""
+WITH t AS (SELECT doc_id, {S.tokens('lower(text)')} AS a, {S.kept_tokens('text')} AS k FROM documents)
+SELECT doc_id, CAST(len(a) AS INTEGER) AS n_tokens, CAST(len(k) AS INTEGER) AS n_kept,
+       md5(array_to_string(k, ' ')) AS kept_md5 FROM t"""
+
+ORACLE["lemmatize"] = f"""
+WITH t AS (SELECT doc_id, {S.kept_tokens('text')} AS a FROM documents),
+tok AS (SELECT doc_id, unnest(a) AS token, unnest(range(len(a))) AS pos FROM t),
+v AS (SELECT DISTINCT token AS term FROM tok),
+lem AS (SELECT term AS form, substr(term, 1, length(term) - 1) AS lemma FROM v
+        WHERE regexp_matches(term, '^[a-z]{{3,}}s$')
+          AND substr(term, 1, length(term) - 1) IN (SELECT term FROM v)),
+j AS (SELECT tok.doc_id, tok.pos, lower(trim(coalesce(lem.lemma, tok.token))) AS token
+      FROM tok LEFT JOIN lem ON lem.form = lower(tok.token))
+SELECT doc_id, CAST(count(*) AS INTEGER) AS n_tokens,
+       md5(string_agg(token, ' ' ORDER BY pos)) AS lemma_md5
+FROM j GROUP BY doc_id"""
+
+_ORDER = "md5('42:' || CAST(doc_id AS VARCHAR))"
+
+ORACLE["stratified_split"] = f"""
+SELECT doc_id, quality,
+       row_number() OVER (PARTITION BY quality ORDER BY {_ORDER})
+         <= ceil(0.25 * count(*) OVER (PARTITION BY quality)) AS is_test
+FROM labels"""
+
+PAD_CTE = f"""
+ld AS (SELECT d.doc_id, d.text, l.quality AS label FROM documents d
+       JOIN labels l ON l.doc_id = d.doc_id),
+sp AS (SELECT doc_id, text,
+              row_number() OVER (PARTITION BY label ORDER BY {_ORDER})
+                <= ceil(0.25 * count(*) OVER (PARTITION BY label)) AS is_test FROM ld),
+t AS (SELECT doc_id, is_test, {S.kept_tokens('text')} AS a FROM sp),
+v AS (SELECT term, row_number() OVER (ORDER BY term) AS id
+      FROM (SELECT DISTINCT unnest(a) AS term FROM t WHERE NOT is_test)),
+plen AS (SELECT max(len(a)) AS L FROM t WHERE NOT is_test),
+tok AS (SELECT doc_id, unnest(a) AS token, unnest(range(len(a))) AS pos FROM t),
+idl AS (SELECT tok.doc_id, list(coalesce(v.id, 0) ORDER BY tok.pos) AS ids
+        FROM tok LEFT JOIN v ON v.term = tok.token GROUP BY tok.doc_id),
+alld AS (SELECT t.doc_id, coalesce(idl.ids, CAST([] AS BIGINT[])) AS ids
+         FROM t LEFT JOIN idl ON idl.doc_id = t.doc_id),
+p AS (SELECT doc_id,
+             list_concat(list_transform(range(greatest((SELECT L FROM plen) - len(ids), 0)),
+                                        lambda x: CAST(0 AS BIGINT)),
+                         ids[greatest(len(ids) - (SELECT L FROM plen), 0) + 1:]) AS ids
+      FROM alld)
+"""
+
+ORACLE["padded_ids"] = f"""WITH {PAD_CTE}
+SELECT doc_id, CAST(len(ids) AS INTEGER) AS n_ids,
+       CAST(len(list_filter(ids, lambda x: x = 0)) AS INTEGER) AS n_zero,
+       md5(array_to_string(ids, ',')) AS ids_md5 FROM p"""
+
+ORACLE["embed_vocab"] = f"""WITH {PAD_CTE}
+SELECT v.term, CAST(v.id AS INTEGER) AS id, e.embedding IS NOT NULL AS has_vector,
+       round(coalesce(sqrt(list_sum(list_transform(e.embedding,
+             lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 0.0), 4) AS norm
+FROM v LEFT JOIN embeddings e ON e.vec_id = v.id"""
+
+ORACLE["pool_embeddings"] = f"""WITH {PAD_CTE},
+ve AS (SELECT v.id, e.embedding FROM v JOIN embeddings e ON e.vec_id = v.id),
+d AS (SELECT DISTINCT doc_id, unnest(ids) AS id FROM p),
+j AS (SELECT d.doc_id, coalesce(ve.embedding, list_transform(
+        range((SELECT len(embedding) FROM embeddings LIMIT 1)), lambda x: CAST(0.0 AS FLOAT))) AS vec
+      FROM d LEFT JOIN ve ON ve.id = d.id),
+ex AS (SELECT doc_id, unnest(vec) AS x, unnest(range(len(vec))) AS k FROM j),
+m AS (SELECT doc_id, k, max(x) AS mx FROM ex GROUP BY doc_id, k)
+SELECT doc_id, round(sum(CAST(mx AS DOUBLE)), 4) AS pooled_sum,
+       CAST(max(mx) AS DOUBLE) AS pooled_max FROM m GROUP BY doc_id"""
