@@ -20,6 +20,7 @@ from revspark.functions import text as TX
 from revspark.operators import dedupe as DD
 from revspark.operators import features as FE
 from revspark.operators import flatten as FL
+from revspark.operators import models as MD
 from revspark.operators import normalize as NZ
 from revspark.operators import query as QY
 from revspark.operators import split as SP
@@ -402,3 +403,72 @@ def pool_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.round(F.aggregate("pooled", F.lit(0.0), lambda a, x: a + x), 4)
                          .alias("pooled_sum"),
                          F.array_max("pooled").cast("double").alias("pooled_max"))
+
+
+# --- step 11: models ----------------------------------------------------------------
+
+def _model_data(spark, sf_dir):
+    """Labelled documents split 75/25 by label, TF-IDF vectors fitted on the train part."""
+    docs = _labelled_docs(spark, sf_dir)
+    split = SP.stratified_split(docs, "label", "doc_id", 0.25)
+    split = SP.stratified_folds(split, "label", "doc_id", 5)
+    train = split.filter(~F.col("is_test"))
+    vec = MD.fit_vectorizer(train)
+    tr = vec.transform(train, keep=[F.col("label").cast("double").alias("label"), "fold"])
+    te = split.filter(F.col("is_test"))
+    return vec, tr, te
+
+
+@query("predict")
+def predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fit a linear SVM (C = 1) on the train split and score every unlabelled document."""
+    vec, tr, _ = _model_data(spark, sf_dir)
+    n = tr.count()
+    from pyspark.ml.classification import LinearSVC
+    model = LinearSVC(regParam=1.0 / n, standardization=False, tol=MD.TOL_SVM).fit(tr)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    new = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+    return MD.predict(model, vec, new)
+
+
+@query("topics")
+def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten LDA topics over 1..3-gram counts (min_df=2) and their top ten terms."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return MD.topics(docs, k=10, top=10)
+
+
+@query("embedding_classifier")
+def embedding_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pooled-vector classifier (128 hidden units), 25 % stratified validation split;
+    validation predictions."""
+    emb = table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.col("embedding").alias("pooled"), F.col("label"))
+    split = SP.stratified_split(emb, "label", "vec_id", 0.25)
+    model = MD.embedding_classifier(split.filter(~F.col("is_test")))
+    from pyspark.ml.functions import array_to_vector
+    val = split.filter(F.col("is_test")).select(
+        "vec_id", "label", array_to_vector(F.col("pooled").cast("array<double>")).alias("features"))
+    return model.transform(val).select("vec_id", "label",
+                                       F.col("prediction").cast("int").alias("prediction"))
+
+
+# --- step 12: streaming ---------------------------------------------------------------
+
+@query("stream_dedupe")
+def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events streamed from their file (available-now trigger) into a store that keeps
+    only rows whose (user, type, value) was not stored before; earliest id wins."""
+    import os
+
+    from revspark.session import scratch_path
+    from revspark.streaming import stream as SM
+    path = os.path.join(sf_dir, "events.parquet")
+    schema = spark.read.parquet(path).schema
+    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+           .option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+           .select("event_id", "user_id", "event_type", "value"))
+    store = scratch_path(spark, "events-store")
+    SM.run_dedupe(src, store, scratch_path(spark, "events-checkpoint"),
+                  key_cols=["user_id", "event_type", "value"], order_col="event_id")
+    return spark.read.parquet(store).select("event_id")

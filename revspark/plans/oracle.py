@@ -271,3 +271,6 @@ ex AS (SELECT doc_id, unnest(vec) AS x, unnest(range(len(vec))) AS k FROM j),
 m AS (SELECT doc_id, k, max(x) AS mx FROM ex GROUP BY doc_id, k)
 SELECT doc_id, round(sum(CAST(mx AS DOUBLE)), 4) AS pooled_sum,
        CAST(max(mx) AS DOUBLE) AS pooled_max FROM m GROUP BY doc_id"""
+
+ORACLE["stream_dedupe"] = """
+SELECT min(event_id) AS event_id FROM events GROUP BY user_id, event_type, value"""
