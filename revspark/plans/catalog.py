@@ -472,3 +472,38 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     SM.run_dedupe(src, store, scratch_path(spark, "events-checkpoint"),
                   key_cols=["user_id", "event_type", "value"], order_col="event_id")
     return spark.read.parquet(store).select("event_id")
+
+
+@query("first_pages")
+def first_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three pages (20 reviews each) of positive German reviews, newest first."""
+    q = QY.ReviewQuery(language="german", review_type="positive", order="recent")
+    return QY.first_pages(_reviews(spark, sf_dir), q, 3).select(
+        "recommendation_id", "timestamp_created")
+
+
+@query("sentiment_table")
+def sentiment_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collector columns adapted to the analysis table, with the derived vote label."""
+    s = FL.to_sentiment_schema(_reviews(spark, sf_dir))
+    s = FL.add_vote_label(s)
+    return s.select("title", F.md5("user_review").alias("review_md5"), "user_suggestion",
+                    "votes_up", "votes_funny", "up_funny")
+
+
+@query("stream_pages")
+def stream_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review page envelopes written as JSON files, streamed back (one file per
+    micro-batch), flattened and appended to a store without repeats."""
+    from revspark.session import scratch_path
+    from revspark.streaming import stream as SM
+    pages_dir = scratch_path(spark, "review-pages")
+    (ST.review_pages(spark, sf_dir).repartition(4, "title")
+     .write.mode("overwrite").json(pages_dir))
+    rows = SM.stream_review_pages(spark, pages_dir, max_files=1, title=None, appid=None)
+    store = scratch_path(spark, "review-store")
+    SM.run_dedupe(rows, store, scratch_path(spark, "review-checkpoint"),
+                  order_col="recommendation_id")
+    return spark.read.parquet(store).select("recommendation_id", "steam_id", "language",
+                                            F.md5("review").alias("review_md5"),
+                                            "timestamp_created", "voted_up")

@@ -274,3 +274,20 @@ SELECT doc_id, round(sum(CAST(mx AS DOUBLE)), 4) AS pooled_sum,
 
 ORACLE["stream_dedupe"] = """
 SELECT min(event_id) AS event_id FROM events GROUP BY user_id, event_type, value"""
+
+ORACLE["first_pages"] = f"""WITH {REVIEWS_CTE}
+SELECT recommendation_id, timestamp_created FROM reviews
+WHERE language = 'german' AND voted_up
+ORDER BY timestamp_created DESC, recommendation_id DESC LIMIT 60"""
+
+ORACLE["sentiment_table"] = f"""WITH {REVIEWS_CTE}
+SELECT title, md5(review) AS review_md5, CAST(voted_up AS INTEGER) AS user_suggestion,
+       votes_up, votes_funny, votes_up > votes_funny AS up_funny FROM reviews"""
+
+ORACLE["stream_pages"] = f"""WITH {REVIEWS_CTE},
+d AS (SELECT recommendation_id, steam_id, language, review, timestamp_created, voted_up,
+             row_number() OVER (PARTITION BY {FLAT_SELECT.replace('title, appid, ', '')}
+                                ORDER BY recommendation_id) AS rn
+      FROM reviews)
+SELECT recommendation_id, steam_id, language, md5(review) AS review_md5, timestamp_created, voted_up
+FROM d WHERE rn = 1"""
