@@ -68,10 +68,26 @@ def keep_token(tok: Column, is_title: Column | None = None, stop: bool = True,
     return keep
 
 
+# Exactly the tokens of ``TOKEN_PATTERN`` that ``keep_token`` keeps (before the
+# stop-word test), found by one regex: whole letter/digit runs made only of ASCII
+# letters and digits, and single ASCII symbols that are not punctuation.
+KEPT_PATTERN = (r"(?<![\p{L}\p{N}])[a-z0-9]+(?![\p{L}\p{N}])"
+                r"|[\x00-\x08\x0E-\x1F\x7F$+<=>^`|~]")
+
+
 def filtered_tokens(text, stop: bool = True, stop_words=None) -> Column:
-    """Text -> lower-cased tokens that pass :func:`keep_token` (no titles)."""
-    toks = tokenize(F.lower(_col(text)))
-    return F.filter(toks, lambda t: keep_token(t, None, stop, stop_words))
+    """Text -> lower-cased tokens that pass :func:`keep_token` (no titles).
+
+    Same result as filtering :func:`tokenize` with :func:`keep_token`, but the
+    punctuation and ASCII tests happen inside one regex scan; only the stop-word
+    lookup runs per token.
+    """
+    toks = F.coalesce(F.regexp_extract_all(F.lower(_col(text)), F.lit(KEPT_PATTERN), 0),
+                      F.array().cast("array<string>"))
+    if not stop:
+        return toks
+    words = K.STOP_WORDS_EN if stop_words is None else list(stop_words)
+    return F.filter(toks, lambda t: ~t.isin(words))
 
 
 def ngrams(arr, n_min: int = 1, n_max: int = 3, sep: str = " ") -> Column:

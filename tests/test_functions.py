@@ -12,7 +12,7 @@ def one(spark, col):
     return spark.range(1).select(col.alias("x")).first()["x"]
 
 
-def test_stop_words_equal_spark_default():
+def test_stop_words_equal_spark_default(spark):
     from pyspark.ml.feature import StopWordsRemover
     assert K.STOP_WORDS_EN == StopWordsRemover.loadDefaultStopWords("english")
 
@@ -85,3 +85,13 @@ def test_element_text(spark):
     html = '<div class="x">no</div><div id="a" class="ad">A &amp; <b>B</b></div><div class="ad">2</div>'
     assert one(spark, TX.element_text(F.lit(html), "ad")) == "A & B"
     assert one(spark, TX.element_text(F.lit("<p>none</p>"), "ad")) == "NA"
+
+
+def test_filtered_tokens_equals_keep_filter(spark):
+    texts = ["Hello, WORLD! $5 + x=y ~ a|b ^c `d` <e>", "İstanbul Kelvin café naïve 3rd x\x01y",
+             "the and of_it don't it's ß ẞ ½ ٣4 ¿que? ¡si!", "", "tab\tnew\nline\x0bvt\x1cfs"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    fast = TX.filtered_tokens("t")
+    slow = F.filter(TX.tokenize(F.lower("t")), lambda x: TX.keep_token(x))
+    for r in df.select(fast.alias("a"), slow.alias("b")).collect():
+        assert r.a == r.b
