@@ -72,10 +72,16 @@ def alphabetical_ids(vocab: DataFrame, term_col: str = "term", start: int = 1,
     A global rank without a single-partition window: range-partition by term,
     sort each partition, number rows inside it, and add the row counts of all
     earlier partitions (a table of one row per partition, broadcast).
+
+    The sorted partitions are checkpointed (reliably, to the shared checkpoint
+    folder) before numbering: sizes and numbers must come from the very same
+    partition contents, and a re-run of the range shuffle could sample other
+    bounds.
     """
     spark = vocab.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (vocab.repartitionByRange(n, F.col(term_col)).sortWithinPartitions(term_col)
+              .checkpoint(eager=True)
               .withColumn("_mid", F.monotonically_increasing_id()))
     ranged = ranged.withColumn("_pid", F.shiftright("_mid", 33)) \
                    .withColumn("_local", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
