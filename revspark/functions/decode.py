@@ -89,8 +89,19 @@ def unix_to_timestamp(c) -> Column:
 
 
 def unix_seconds_of(c) -> Column:
-    """TIMESTAMP or TIMESTAMP_NTZ -> Unix seconds (UTC session time zone)."""
-    return F.unix_seconds(_col(c).cast("timestamp"))
+    """TIMESTAMP_NTZ (wall clock read as UTC) -> whole Unix seconds.
+
+    Built from the date and clock fields, so the result does not depend on the
+    session time zone (a cast to TIMESTAMP would).
+    """
+    col = _col(c)
+    return (F.unix_date(F.to_date(col)).cast("bigint") * 86400 + F.hour(col) * 3600
+            + F.minute(col) * 60 + F.second(col))
+
+
+def unix_seconds_ltz(c) -> Column:
+    """TIMESTAMP (an instant) -> whole Unix seconds."""
+    return F.unix_seconds(_col(c))
 
 
 def days_since(ts_seconds, as_of_seconds) -> Column:

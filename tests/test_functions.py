@@ -95,3 +95,13 @@ def test_filtered_tokens_equals_keep_filter(spark):
     slow = F.filter(TX.tokenize(F.lower("t")), lambda x: TX.keep_token(x))
     for r in df.select(fast.alias("a"), slow.alias("b")).collect():
         assert r.a == r.b
+
+
+def test_unix_seconds_ignore_session_zone(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        v = one(spark, DC.unix_seconds_of(F.lit("2021-04-19 10:04:01.75").cast("timestamp_ntz")))
+        assert v == 1618826641
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
