@@ -507,3 +507,41 @@ def stream_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(store).select("recommendation_id", "steam_id", "language",
                                             F.md5("review").alias("review_md5"),
                                             "timestamp_created", "voted_up")
+
+
+@query("csv_store")
+def csv_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The review table stored as CSV (new store, then an append that repeats every
+    row, as a resumed load does), read back typed (stray headers and bad rows
+    rejected) and deduplicated on all columns."""
+    from revspark.session import scratch_path
+    from revspark.sources import reviews as RV
+    path = scratch_path(spark, "reviews-csv")
+    flat = _reviews(spark, sf_dir)
+    RV.write_reviews(flat, path, mode="new", fmt="csv")
+    RV.write_reviews(flat, path, mode="append", fmt="csv")
+    back = RV.read_reviews(spark, path, strict=False)
+    out = DD.dedupe_rows(back)
+    return out.select("recommendation_id", "title", "language", F.md5("review").alias("review_md5"),
+                      "timestamp_created", "voted_up", "votes_funny", "developer_response")
+
+
+@query("watermark_dedupe")
+def watermark_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events streamed from their file, deduplicated on id with bounded state
+    (watermark one day on the event time)."""
+    import uuid
+
+    from revspark.session import scratch_path
+    from revspark.streaming import stream as SM
+    schema = table(spark, sf_dir, "events").schema
+    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+           .option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+    out = SM.dedupe_within_watermark(src.select("event_id", "ts", "event_type"), "ts",
+                                     ["event_id"], "1 day")
+    store = scratch_path(spark, "events-watermark")
+    q = (out.writeStream.format("parquet").option("path", store)
+         .option("checkpointLocation", scratch_path(spark, "events-watermark-checkpoint"))
+         .queryName(f"watermark_{uuid.uuid4().hex[:8]}").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(store).select("event_id", "event_type")

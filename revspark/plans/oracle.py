@@ -291,3 +291,9 @@ d AS (SELECT recommendation_id, steam_id, language, review, timestamp_created, v
       FROM reviews)
 SELECT recommendation_id, steam_id, language, md5(review) AS review_md5, timestamp_created, voted_up
 FROM d WHERE rn = 1"""
+
+ORACLE["csv_store"] = f"""WITH {REVIEWS_CTE}
+SELECT DISTINCT recommendation_id, title, language, md5(review) AS review_md5, timestamp_created,
+       voted_up, votes_funny, developer_response FROM reviews"""
+
+ORACLE["watermark_dedupe"] = "SELECT DISTINCT event_id, event_type FROM events"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revspark.functions.constants import MISSING_TITLE
 from revspark.operators.flatten import flatten_reviews
 from revspark.schemas import ENVELOPE, FLAT_REVIEW, SENTIMENT
 
@@ -36,11 +37,15 @@ def read_reviews(spark: SparkSession, path: str, strict: bool = False,
     to a file that already had one) are invalid rows, never data.
     """
     raw = _csv_strings(spark, path, [f.name for f in FLAT_REVIEW.fields])
+    # CSV can not tell an empty field from a missing one: apply the flat
+    # table's defaults ("" for no developer reply, "NA" for no title / id).
+    defaults = {"developer_response": "", "title": MISSING_TITLE, "appid": MISSING_TITLE}
     cols, checks = [], []
     for f in FLAT_REVIEW.fields:
         src = F.col(f.name)
         if f.dataType.simpleString() == "string":
-            cols.append(src.alias(f.name))
+            out = F.coalesce(src, F.lit(defaults[f.name])) if f.name in defaults else src
+            cols.append(out.alias(f.name))
             continue
         typed = F.lower(src).try_cast(f.dataType) if f.dataType.simpleString() == "boolean" \
             else src.try_cast(f.dataType)
