@@ -501,9 +501,10 @@ def stream_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     (ST.review_pages(spark, sf_dir).repartition(4, "title")
      .write.mode("overwrite").json(pages_dir))
     rows = SM.stream_review_pages(spark, pages_dir, max_files=1, title=None, appid=None)
+    rows = rows.withColumn("created_day", F.floor(F.col("timestamp_created") / 86400))
     store = scratch_path(spark, "review-store")
     SM.run_dedupe(rows, store, scratch_path(spark, "review-checkpoint"),
-                  order_col="recommendation_id")
+                  order_col="recommendation_id", partition_col="created_day")
     return spark.read.parquet(store).select("recommendation_id", "steam_id", "language",
                                             F.md5("review").alias("review_md5"),
                                             "timestamp_created", "voted_up")

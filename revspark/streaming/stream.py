@@ -56,29 +56,51 @@ def read_store(spark: SparkSession, store: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+# At most this many distinct partition values of one micro-batch are used to
+# prune the stored history; above it the whole store is read.
+PRUNE_VALUES = 10_000
+
+
 def dedupe_into_store(store: str, key_cols=None, order_col: str | None = None,
-                      log: BatchLog | None = None):
-    """``foreachBatch`` function: append only unseen rows of each micro-batch to ``store``."""
+                      log: BatchLog | None = None, partition_col: str | None = None):
+    """``foreachBatch`` function: append only unseen rows of each micro-batch to ``store``.
+
+    With ``partition_col`` (e.g. the creation day, which must be part of the
+    key) the store is partitioned by it and each batch reads back only the
+    partitions its own rows fall in, so the history scan does not grow with
+    the whole store.
+    """
+    if partition_col is not None and key_cols is not None and partition_col not in key_cols:
+        raise ValueError("partition_col must be one of key_cols")
+
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         schema = StructType(batch.schema.fields + [StructField(BATCH_DIR, LongType())])
         hist = read_store(spark, store, schema)
-        hist = hist.filter(F.col(BATCH_DIR) != batch_id).drop(BATCH_DIR)
-        new = drop_seen(batch, hist, key_cols=key_cols, order_col=order_col)
+        hist = hist.filter(F.col(BATCH_DIR) != batch_id)
+        if partition_col is not None:
+            vals = batch.select(partition_col).distinct().limit(PRUNE_VALUES + 1).collect()
+            if len(vals) <= PRUNE_VALUES:
+                hist = hist.filter(F.col(partition_col).isin([v[0] for v in vals]))
+        new = drop_seen(batch, hist.drop(BATCH_DIR), key_cols=key_cols, order_col=order_col)
         obs = Observation(f"new_rows_{batch_id}")
         new = new.observe(obs, F.count(F.lit(1)).alias("n"))
-        new.write.mode("overwrite").parquet(f"{store}/{BATCH_DIR}={batch_id}")
+        w = new.write.mode("overwrite")
+        if partition_col is not None:
+            w = w.partitionBy(partition_col)
+        w.parquet(f"{store}/{BATCH_DIR}={batch_id}")
         if log is not None:
             log.counts[batch_id] = obs.get["n"]
     return run
 
 
 def run_dedupe(stream: DataFrame, store: str, checkpoint: str, key_cols=None,
-               order_col: str | None = None, available_now: bool = True) -> BatchLog:
+               order_col: str | None = None, available_now: bool = True,
+               partition_col: str | None = None) -> BatchLog:
     """Drive ``stream`` into ``store`` until the input is exhausted; returns batch counts."""
     log = BatchLog()
-    writer = (stream.writeStream.foreachBatch(dedupe_into_store(store, key_cols, order_col, log))
-              .option("checkpointLocation", checkpoint))
+    fn = dedupe_into_store(store, key_cols, order_col, log, partition_col)
+    writer = stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer
     q = writer.start()
     q.awaitTermination()

@@ -36,3 +36,19 @@ def test_watermark_dedupe(spark):
          .option("checkpointLocation", tempfile.mkdtemp(prefix="revspark-ck-")).start())
     q.awaitTermination()
     assert spark.sql("SELECT * FROM wm_dedupe").count() == spark.read.parquet(EVENTS).count()
+
+
+def test_foreach_batch_dedupe_partitioned(spark):
+    from pyspark.sql import functions as F
+    src = tempfile.mkdtemp(prefix="revspark-src-")
+    store = tempfile.mkdtemp(prefix="revspark-store-") + "/s"
+    ck = tempfile.mkdtemp(prefix="revspark-ck-")
+    shutil.copy(EVENTS, os.path.join(src, "a.parquet"))
+    shutil.copy(EVENTS, os.path.join(src, "b.parquet"))
+    schema = spark.read.parquet(EVENTS).schema
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+              .select("event_id", "user_id", F.to_date("ts").alias("day")))
+    log = SM.run_dedupe(stream, store, ck, key_cols=["event_id", "day"], partition_col="day")
+    n = spark.read.parquet(EVENTS).count()
+    assert list(log.counts.values()) == [n, 0]
+    assert spark.read.parquet(store).count() == n
