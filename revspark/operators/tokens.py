@@ -17,7 +17,7 @@ from revspark.functions.text import (PUNCT_PATTERN, is_punct, keep_token, lower_
 
 WORD_RE = r"^[\p{L}\p{N}]+$"
 # Dictionaries up to this many rows are broadcast; larger ones are shuffle-joined.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 
 
 def title_dictionary(titles: DataFrame, aliases=None, title_col: str = "title") -> DataFrame:

@@ -22,8 +22,11 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
     splits and ``df`` is returned unchanged, so no shuffle is added there.
     """
     spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    have = df.rdd.getNumPartitions()
+    try:
+        want = min_partitions or spark.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD access (e.g. a remote session): leave as is
+        return df
     return df.repartition(want) if have < want else df
 
 
