@@ -10,6 +10,7 @@ library's operators, and most have an equivalent DuckDB SQL string in
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -548,21 +549,25 @@ def watermark_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(store).select("event_id", "event_type")
 
 
+# Training vectors per partition for the parallel candidate fits of a search.
+ROWS_PER_PARTITION = 50_000
+
+
 @query("svm_search")
 def svm_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Linear SVM, C sampled from 1..10, 5 stratified folds (accuracy), refit on the
     train split; predictions for the test split. Unigram TF-IDF features."""
-    import math
     docs = _labelled_docs(spark, sf_dir)
     split = SP.stratified_folds(SP.stratified_split(docs, "label", "doc_id", 0.25),
                                 "label", "doc_id", 5)
     train = split.filter(~F.col("is_test"))
     vec = MD.fit_vectorizer(train, 1, 1)
     tr = vec.transform(train, keep=[F.col("label").cast("double").alias("label"), "fold"])
-    # The optimiser passes over the training vectors once per iteration: keep
-    # them cached, in partitions sized to the rows (many at scale, one here).
+    # Candidates are fitted in parallel and each fit passes over the training
+    # vectors once per iteration: keep them cached, in partitions sized to the
+    # rows (many at scale; one here, so the parallel fits do not contend).
     n = tr.count()
-    tr = tr.coalesce(max(1, math.ceil(n / MD.ROWS_PER_PARTITION))).persist()
+    tr = tr.coalesce(max(1, math.ceil(n / ROWS_PER_PARTITION))).persist()
     res = MD.svm_search(tr, parallelism=8)
     te = split.filter(F.col("is_test"))
     pred = MD.predict(res.model, vec, te)
