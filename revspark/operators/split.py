@@ -5,7 +5,8 @@ Order inside a stratum is ``md5("<seed>:<id>")``; the test set is the first
 rows (two labels!), so the exact cut is found without sorting a stratum in one
 task: rows are bucketed by the first 16 bits of their hash, bucket counts are
 aggregated (map-side combined), cumulative counts per stratum locate the one
-boundary bucket, and only that bucket (~n / 65536 rows) is ranked exactly.
+boundary bucket; the same is repeated on the next 16 bits inside it, and only
+the rows sharing the first 32 bits at the cut (~n / 2^32) are ranked exactly.
 """
 
 from __future__ import annotations
@@ -36,28 +37,46 @@ def stratified_split(df: DataFrame, label_col: str, id_col: str, test_fraction:
         q = h.groupBy(label_col).agg(F.percentile_approx("_hn", test_fraction, 100000).alias("_q"))
         return h.join(F.broadcast(q), label_col).withColumn("is_test", F.col("_hn") <= F.col("_q")) \
             .drop("_h", "_hn", "_q")
-    h = h.withColumn("_b", F.substring("_h", 1, BUCKET_HEX))
+    h = (h.withColumn("_b", F.substring("_h", 1, BUCKET_HEX))
+         .withColumn("_b2", F.substring("_h", BUCKET_HEX + 1, BUCKET_HEX)))
     counts = h.groupBy(label_col, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(label_col).orderBy("_b")
-    cum = counts.select(
-        label_col, "_b", "_c",
-        F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_cum"),
-        F.sum("_c").over(Window.partitionBy(label_col)).alias("_n"))
-    cum = cum.withColumn("_k", F.ceil(F.col("_n") * F.lit(test_fraction)).cast("bigint"))
-    # boundary bucket: first bucket whose cumulative count reaches k
-    boundary = (cum.filter(F.col("_cum") >= F.col("_k"))
-                .groupBy(label_col)
-                .agg(F.min(F.struct("_b", "_cum", "_c", "_k")).alias("_m"))
-                .select(label_col, F.col("_m._b").alias("_bb"),
-                        (F.col("_m._k") - (F.col("_m._cum") - F.col("_m._c"))).alias("_need")))
-    # one row per stratum; a stratum without a boundary (k = 0) takes no test rows
-    j = h.join(F.broadcast(boundary), label_col, "left")
-    clear = j.filter(F.col("_bb").isNull() | (F.col("_b") != F.col("_bb"))) \
+    n = counts.groupBy(label_col).agg(F.sum("_c").alias("_n"))
+    need = n.select(label_col, F.ceil(F.col("_n") * F.lit(test_fraction)).cast("bigint").alias("_k"))
+    # level 1: the 16-bit bucket holding the cut, and how many rows it must give
+    b1 = _boundary(counts.join(F.broadcast(need), label_col), label_col, "_b", "_k") \
+        .select(label_col, F.col("_bkt").alias("_bb"), F.col("_need").alias("_need1"))
+    j = h.join(F.broadcast(b1), label_col, "left")
+    clear1 = j.filter(F.col("_bb").isNull() | (F.col("_b") != F.col("_bb"))) \
         .withColumn("is_test", F.coalesce(F.col("_b") < F.col("_bb"), F.lit(False)))
-    edge = j.filter(F.col("_b") == F.col("_bb"))
+    # level 2: inside that bucket, the next 16 bits
+    inner = j.filter(F.col("_b") == F.col("_bb"))
+    counts2 = inner.groupBy(label_col, "_b2", "_need1").agg(F.count(F.lit(1)).alias("_c"))
+    b2 = _boundary(counts2, label_col, "_b2", "_need1") \
+        .select(label_col, F.col("_bkt").alias("_bb2"), F.col("_need").alias("_need2"))
+    j2 = inner.join(F.broadcast(b2), label_col, "left")
+    clear2 = j2.filter(F.col("_bb2").isNull() | (F.col("_b2") != F.col("_bb2"))) \
+        .withColumn("is_test", F.coalesce(F.col("_b2") < F.col("_bb2"), F.lit(False)))
+    # only the rows sharing the first 32 hash bits at the cut are ranked
+    edge = j2.filter(F.col("_b2") == F.col("_bb2"))
     edge = edge.withColumn("is_test", F.row_number().over(
-        Window.partitionBy(label_col).orderBy("_h")) <= F.col("_need"))
-    return clear.unionByName(edge).drop("_h", "_b", "_bb", "_need")
+        Window.partitionBy(label_col).orderBy("_h")) <= F.col("_need2"))
+    helpers = ["_h", "_b", "_b2", "_bb", "_need1", "_bb2", "_need2"]
+    return (clear1.drop(*[c for c in helpers if c in clear1.columns])
+            .unionByName(clear2.drop(*[c for c in helpers if c in clear2.columns]))
+            .unionByName(edge.drop(*[c for c in helpers if c in edge.columns])))
+
+
+def _boundary(counts: DataFrame, label_col: str, bucket: str, need: str) -> DataFrame:
+    """Per label: the first bucket (in hash order) whose cumulative count reaches
+    ``need``, and how many of its rows are still needed. One row per label."""
+    w = Window.partitionBy(label_col).orderBy(bucket)
+    cum = counts.withColumn(
+        "_cum", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return (cum.filter(F.col("_cum") >= F.col(need))
+            .groupBy(label_col)
+            .agg(F.min(F.struct(bucket, "_cum", "_c", need)).alias("_m"))
+            .select(label_col, F.col(f"_m.{bucket}").alias("_bkt"),
+                    (F.col(f"_m.{need}") - (F.col("_m._cum") - F.col("_m._c"))).alias("_need")))
 
 
 def stratified_folds(df: DataFrame, label_col: str, id_col: str, k: int = 5,
