@@ -7,6 +7,7 @@ in settings that are unset, so cluster configuration always wins.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -40,18 +41,23 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    worker_path(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    Reads ``spark.checkpoint.dir`` from the session. Only when it is unset (local
-    tests) a fresh scratch folder is created and registered.
+    Reads ``spark.checkpoint.dir`` from the session. When it is unset, a local
+    master gets a fresh scratch folder; a cluster raises, as a folder of one
+    machine is not seen by the others.
     """
     conf = spark.sparkContext.getConf()
     path = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = conf.get("spark.master", "")
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder all machines share (master {master!r})")
         path = tempfile.mkdtemp(prefix="revspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -59,6 +65,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def worker_path(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver did.
+
+    Matters when the driver found it by a path of its own; on a cluster the package
+    is shipped (``--py-files``) or installed, and an absent folder does no harm.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in parts:
+        env["PYTHONPATH"] = os.pathsep.join([*parts, root])
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A unique path under the shared checkpoint folder."""
     base = checkpoint_dir(spark).rstrip("/")
