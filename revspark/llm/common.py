@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revspark.session import scratch_path
+from revspark.session import scratch_path, worker_path
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     Cuts lineage with a table every executor can read, so a lost executor costs
     a re-read, never a recomputation that might draw other row positions.
     """
+    worker_path(df.sparkSession)
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revspark.llm import mixing, packing, secrets, sharding, topk, toxicity
+from revspark.llm import ann, mixing, near_dup, packing, page_text, secrets, sharding, topk, toxicity
 from revspark.llm.common import held_out, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,27 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op4_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = read_table(spark, sf_dir, "pages")
+    out = page_text.extract_text(pages, page_text.train(pages), keep=["page_id", "url"])
+    return out.select(F.col("row.page_id").alias("page_id"), F.col("row.url").alias("url"), "text",
+                      F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest found of every fiftieth vector among all vectors."""
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vid") % 50 == 0, 5)
+
+
+@query
+def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document at shingle similarity 0.8."""
+    return near_dup.linked_documents(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 best inner products of every hundredth vector against all vectors."""
