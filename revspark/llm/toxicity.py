@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revspark.llm.common import held_out, staged
+from revspark.llm.logistic import fit_logistic
 
 MAX_LABELLED = 20_000
 MAX_TERMS = 2_000
@@ -191,8 +192,9 @@ class Model:
     base: float
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int = MAX_LABELLED) -> DataFrame:
-    """(``text``, ``y``) of about ``bound`` labelled documents outside the held-out fifth, chosen by hash."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int = MAX_LABELLED,
+                    columns: tuple[str, ...] = ()) -> DataFrame:
+    """(``text``, ``y``, ``columns``) of about ``bound`` labelled documents outside the held-out fifth, by hash."""
     known = (labels.where(F.col(label).isin(0, 1) & ~held_out())
              .groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y")))
     n = known.count()
@@ -200,7 +202,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int =
         share = bound / n
         known = known.where(F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     picked = F.broadcast(known)  # bounded by `bound`
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(picked, "doc_id").select("text", "y")
+    return (docs.select("doc_id", F.col("text").cast("string").alias("text"), *columns)
+            .join(picked, "doc_id").select("text", "y", *columns))
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,19 +267,6 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     return Lexicon(terms, stems)
 
 
-def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Coefficients (last: intercept) by Newton steps on the ridge-penalised likelihood."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    coef, penalty = np.zeros(x.shape[1]), np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ coef, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ coef)
-        coef = coef + step
-        if np.abs(step).max() < 1e-8:
-            break
-    return coef
-
-
 def _evidence(lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = Scanner(lexicon)
@@ -303,7 +293,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
              .orderBy(F.col("n").desc(), "w").limit(MAX_TERMS).collect())
     lexicon.exceptions = frozenset(r["w"] for r in known)
     rows = sample.mapInArrow(_evidence(lexicon), "x array<double>, y int, near array<string>").select("x", "y").collect()
-    coef = _fit_logistic(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], dtype=float))
+    coef = fit_logistic(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], dtype=float))
     return Model(lexicon, coef.tolist(), base)
 
 
