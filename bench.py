@@ -30,9 +30,11 @@ def main() -> None:
     names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or HEADLINE
 
     from revspark.plans.catalog import QUERIES
+    from revspark.plans.tables import SPREAD_CONF
     from revspark.session import get_session
 
     spark = get_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus))
+    spark.conf.set(SPREAD_CONF, cpus)  # the tables are single files, so single scan tasks
     # warm-up: JVM start, first-job code generation
     spark.range(1000).selectExpr("sum(id)").collect()
 

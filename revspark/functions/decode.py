@@ -99,11 +99,6 @@ def unix_seconds_of(c) -> Column:
             + F.minute(col) * 60 + F.second(col))
 
 
-def unix_seconds_ltz(c) -> Column:
-    """TIMESTAMP (an instant) -> whole Unix seconds."""
-    return F.unix_seconds(_col(c))
-
-
 def days_since(ts_seconds, as_of_seconds) -> Column:
     """Whole days from ``ts`` to ``as_of``, truncated toward zero.
 

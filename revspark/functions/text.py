@@ -1,13 +1,15 @@
 """Column expressions over text and token arrays.
 
-All of these build JVM-side expressions (regex, higher-order array functions),
-so they stay inside whole-stage code generation and need no Python workers.
+All but ``element_text`` (an HTML parser) build JVM-side expressions (regex, higher-order
+array functions), so they stay inside whole-stage code generation.
 """
 
 from __future__ import annotations
 
 import re
+from html.parser import HTMLParser
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -134,26 +136,50 @@ def normalize_emoticons(c) -> Column:
     return replace_emoticons(collapse_masked(c))
 
 
-def html_unescape(c) -> Column:
-    """Decode the five predefined HTML entities (``&amp;`` last)."""
-    out = _col(c)
-    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                    ("&apos;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+class _FirstElement(HTMLParser):
+    """Collects the text of the first element of a tag and class, inner elements included."""
 
+    def __init__(self, tag: str, class_name: str):
+        super().__init__(convert_charrefs=True)
+        self.tag, self.class_name, self.depth, self.found, self.text = tag, class_name, 0, False, []
 
-def strip_tags(c) -> Column:
-    return F.regexp_replace(_col(c), F.lit(r"<[^>]*>"), F.lit(""))
+    def handle_starttag(self, tag, attrs):
+        if tag == self.tag and self.depth:
+            self.depth += 1
+        elif tag == self.tag and not self.found and self.class_name in (dict(attrs).get("class") or "").split():
+            self.found, self.depth = True, 1
+
+    def handle_startendtag(self, tag, attrs):  # "<div/>" opens a div in HTML
+        self.handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag):
+        if tag == self.tag and self.depth:
+            self.depth -= 1
+
+    def handle_data(self, data):
+        if self.depth:
+            self.text.append(data)
+
+
+def first_element_text(html: str | None, tag: str, class_name: str) -> str | None:
+    """Trimmed text of the first such element; None without one."""
+    if not html or class_name not in html:
+        return None
+    parser = _FirstElement(tag, class_name)
+    parser.feed(html)
+    parser.close()
+    return "".join(parser.text).strip() if parser.found else None
 
 
 def element_text(html, class_name: str, tag: str = "div", default: str = K.MISSING_TITLE) -> Column:
-    """Text of the first ``<tag>`` whose class attribute is exactly ``class_name``.
+    """Text of the first ``<tag>`` that has the class, as a CSS selector ``tag.class`` finds it.
 
-    Inner tags are stripped, entities decoded and the text trimmed; pages
-    without such an element give ``default``.
+    Elements inside it are part of it, comments and other attributes are not looked at, and every
+    character reference is decoded; pages without such an element give ``default``. Nesting is beyond
+    regular expressions, so a small parser runs in Arrow batches.
     """
-    pat = f'(?s)<{tag}[^>]*class="{re.escape(class_name)}"[^>]*>(.*?)</{tag}>'
-    raw = F.regexp_extract(_col(html), pat, 1)
-    txt = F.trim(html_unescape(strip_tags(raw)))
-    return F.when(_col(html).rlike(pat), txt).otherwise(F.lit(default))
+    @F.pandas_udf("string")
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda page: first_element_text(page, tag, class_name)).astype(object)
+
+    return F.coalesce(run(_col(html)), F.lit(default))

@@ -4,7 +4,8 @@ Scale notes. A single text (or review) may be repeated in a third of all rows,
 so every step first collapses duplicates with a partial aggregation (one row
 per key per map task) before anything is shuffled by key:
 
-* ``dedupe_rows`` is ``groupBy(key).agg(min_by(...))`` -- combinable map side;
+* ``dedupe_rows`` finds the smallest order value per key by a hash aggregate that
+  combines map side, then fetches those rows by (key, value);
 * ``drop_seen`` reduces the history to distinct keys, dedupes the batch, and
   only then runs the anti-join, so no key is hot on either side; with
   ``within_batch=False`` AQE's skew-join splitting covers a hot batch key.
@@ -37,19 +38,30 @@ def with_row_key(df: DataFrame, key_cols=None, name: str = KEY) -> DataFrame:
     return df.withColumn(name, row_key(cols))
 
 
-def dedupe_rows(df: DataFrame, key_cols=None, order_col: str | None = None) -> DataFrame:
-    """One row per key. With ``order_col`` the row with the smallest value is kept."""
-    keyed = with_row_key(df, key_cols)
+def dedupe_rows(df: DataFrame, key_cols=None, order_col: str | None = None,
+                unique_order: bool = False) -> DataFrame:
+    """One row per key. With ``order_col`` the row with the smallest value is kept.
+
+    A NULL order value counts as largest: it is kept only when the key has no other.
+    The smallest value per key is a hash aggregate of two small columns; the rows
+    are then fetched by a semi-join on (key, value), which no hot key skews. Rows that tie on it
+    are cut to one, which ``unique_order`` (the column is an id) makes unnecessary.
+    """
     if order_col is None:
-        return keyed.dropDuplicates([KEY]).drop(KEY)
-    cols = df.columns
-    return (keyed.groupBy(KEY)
-            .agg(F.min_by(F.struct(*cols), F.col(order_col)).alias("_r"))
-            .select("_r.*"))
+        if key_cols is None or set(key_cols) == set(df.columns):
+            return df.distinct()
+        return with_row_key(df, key_cols).dropDuplicates([KEY]).drop(KEY)
+    keyed = with_row_key(df, key_cols)
+    best = keyed.groupBy(KEY).agg(F.min(order_col).alias("_best")).withColumnRenamed(KEY, "_key")
+    first = keyed.join(best, (keyed[KEY] == best["_key"]) & keyed[order_col].eqNullSafe(best["_best"]),
+                       "left_semi")
+    if not unique_order:
+        first = first.dropDuplicates([KEY])
+    return first.select(*df.columns)
 
 
 def drop_seen(new: DataFrame, hist: DataFrame, key_cols=None, within_batch: bool = True,
-              order_col: str | None = None) -> DataFrame:
+              order_col: str | None = None, unique_order: bool = False) -> DataFrame:
     """Rows of ``new`` whose key is not among the stored rows ``hist``.
 
     ``key_cols`` default: all columns of ``new``. ``within_batch`` also removes
@@ -59,7 +71,7 @@ def drop_seen(new: DataFrame, hist: DataFrame, key_cols=None, within_batch: bool
     """
     cols = list(key_cols) if key_cols else list(new.columns)
     seen = hist.select(row_key(cols).alias(KEY)).distinct()
-    batch = dedupe_rows(new, cols, order_col) if within_batch else new
+    batch = dedupe_rows(new, cols, order_col, unique_order) if within_batch else new
     return (batch.withColumn(KEY, row_key(cols))
             .join(seen, KEY, "left_anti").drop(KEY))
 

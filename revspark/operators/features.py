@@ -21,12 +21,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revspark.functions.text import filtered_tokens, ngrams
+from revspark.functions.text import filtered_tokens, ngrams, tokenize
 
 
 def doc_terms(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
-              n_min: int = 1, n_max: int = 3, tokenizer=None, stop: bool = True) -> DataFrame:
-    """``(doc_id, terms)``: the n-grams of each document's kept tokens.
+              n_min: int = 1, n_max: int = 3, tokenizer=None, stop: bool = True, keep=()) -> DataFrame:
+    """``(doc_id, *keep, terms)``: the n-grams of each document's kept tokens.
 
     ``tokenizer`` maps the text column to an array of tokens; by default the
     lower-cased tokens that pass ``keep_token``.
@@ -34,17 +34,18 @@ def doc_terms(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     toks = tokenizer(F.col(text_col)) if tokenizer is not None else filtered_tokens(text_col, stop)
     # Tokens first, in their own projection: the n-gram lambdas then read a
     # column instead of re-running the tokenizer for every position.
-    return (docs.select(F.col(id_col).alias("doc_id"), toks.alias("_toks"))
-            .select("doc_id", ngrams(F.col("_toks"), n_min, n_max).alias("terms")))
+    made = docs.select(F.col(id_col).alias("doc_id"), *keep, toks.alias("_toks"))
+    return made.select(*made.columns[:-1], ngrams(F.col("_toks"), n_min, n_max).alias("terms"))
 
 
 def term_counts(terms: DataFrame) -> DataFrame:
-    """``(doc_id, term, tf)`` from ``(doc_id, terms)``."""
+    """``(doc_id, ..., term, tf)`` from ``(doc_id, ..., terms)``."""
+    own = [c for c in terms.columns if c != "terms"]
     # explode_outer: plain explode makes Catalyst infer a size(terms) > 0 filter
     # and push it under the projection, re-running the tokenizer for it.
-    return (terms.select("doc_id", F.explode_outer("terms").alias("term"))
+    return (terms.select(*own, F.explode_outer("terms").alias("term"))
             .filter(F.col("term").isNotNull())
-            .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
+            .groupBy(*own, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
 def corpus_counts(tf: DataFrame) -> DataFrame:
@@ -92,7 +93,7 @@ def alphabetical_ids(vocab: DataFrame, term_col: str = "term", start: int = 1,
         .alias("_off"))
     offsets = offsets.select("_pid", F.coalesce("_off", F.lit(0)).alias("_off"))
     return (ranged.join(F.broadcast(offsets), "_pid")
-            .withColumn("id", (F.col("_off") + F.col("_local") + F.lit(start)).cast("int"))
+            .withColumn("id", (F.col("_off") + F.col("_local") + F.lit(start)).cast("bigint"))
             .drop("_mid", "_pid", "_local", "_off"))
 
 
@@ -158,7 +159,9 @@ class TfIdf:
                           self.tokenizer, self.stop)
         tf = term_counts(terms)
         n_docs = docs.select(F.count(F.lit(1))).scalar()
-        vocab = build_vocab(tf, self.min_df, self.max_features) \
+        # The filter is always true; it keeps the counts in the vocabulary's branch, so
+        # both branches need the same exchange of tf and Spark runs it once.
+        vocab = build_vocab(tf, self.min_df, self.max_features).filter(F.col("cf") >= 1) \
             .select("term", smooth_idf(F.col("df"), n_docs).alias("idf"))
         return tfidf_weights(tf, vocab, normalize)
 
@@ -178,21 +181,26 @@ def pad_ids(arr, length: int) -> Column:
     """Pad with 0 or cut to ``length``, both at the front (the end of the text is kept)."""
     a = F.col(arr) if isinstance(arr, str) else arr
     n = F.size(a)
-    return F.concat(F.array_repeat(F.lit(0), F.greatest(F.lit(0), F.lit(length) - n)),
+    return F.concat(F.array_repeat(F.lit(0).cast("bigint"), F.greatest(F.lit(0), F.lit(length) - n)),
                     F.slice(a, F.greatest(F.lit(1), n - length + 1), length))
 
 
 def tokens_to_ids(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     """``(doc_id, ids)``: each token's vocabulary id in text order, 0 when unknown.
 
-    Token table left-joined to ``(term, id)`` (AQE broadcasts a small
-    vocabulary, else a shuffle join whose hot terms are split), then one group
-    per document, bounded by the document's length.
+    A document's occurrences of a token travel as one row with their positions, so
+    what meets on a hot token is at most one row a document; documents without tokens
+    stay out of the join. AQE broadcasts a small vocabulary, else it splits hot tokens.
     """
-    v = vocab.select(F.col("term").alias("token"), F.col("id").alias("_id"))
-    j = tokens.join(v, "token", "left")
-    item = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("_id", F.lit(0)).alias("id")))
-    return (j.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("_s"))
+    v = vocab.select(F.col("term").alias("token"), F.col("id").cast("bigint").alias("_id"))
+    pairs = (tokens.filter(F.col("token").isNotNull()).groupBy("doc_id", "token")
+             .agg(F.collect_list("pos").alias("_at")))
+    known = pairs.join(v, "token", "left").select("doc_id", F.transform("_at", lambda p: F.struct(
+        p.alias("pos"), F.coalesce("_id", F.lit(0)).cast("bigint").alias("id"))).alias("_i"))
+    none = F.array().cast(known.schema["_i"].dataType)
+    empty = tokens.filter(F.col("token").isNull()).select("doc_id", none.alias("_i"))
+    return (known.unionByName(empty).groupBy("doc_id")
+            .agg(F.array_sort(F.flatten(F.collect_list("_i"))).alias("_s"))
             .select("doc_id", F.transform("_s", lambda x: x["id"]).alias("ids")))
 
 
@@ -203,10 +211,19 @@ class PadIdsModel:
     stop: bool = True
     text_col: str = "text"
     id_col: str = "doc_id"
+    tokenizer: object = None
 
-    def transform(self, docs: DataFrame) -> DataFrame:
-        """``(doc_id, ids)`` padded/cut to ``pad_length``."""
-        toks = kept_token_table(docs, self.text_col, self.id_col, self.stop)
+    def transform(self, docs: DataFrame, remove_junk: bool | None = None) -> DataFrame:
+        """``(doc_id, ids)`` padded/cut to ``pad_length``.
+
+        ``remove_junk=False`` keeps stop words and junk tokens in the sequence (as ids when
+        known, else 0); by default they go as they did when fitting.
+        """
+        tok = self.tokenizer
+        if remove_junk is False:
+            def tok(text):
+                return tokenize(F.lower(text))
+        toks = kept_token_table(docs, self.text_col, self.id_col, self.stop, tok)
         ids = tokens_to_ids(toks, self.vocab)
         return ids.select("doc_id", pad_ids("ids", self.pad_length).alias("ids"))
 
@@ -220,17 +237,20 @@ class PadIds:
     (the longest kept-token document of the fitting set unless given)."""
 
     def __init__(self, pad_length: int | None = None, stop: bool = True,
-                 text_col: str = "text", id_col: str = "doc_id"):
+                 text_col: str = "text", id_col: str = "doc_id", tokenizer=None):
         self.pad_length, self.stop, self.text_col, self.id_col = pad_length, stop, text_col, id_col
+        self.tokenizer = tokenizer
 
     def fit(self, docs: DataFrame) -> PadIdsModel:
-        toks = kept_token_table(docs, self.text_col, self.id_col, self.stop)
+        toks = kept_token_table(docs, self.text_col, self.id_col, self.stop, self.tokenizer)
         vocab = alphabetical_ids(toks.filter(F.col("token").isNotNull())
                                  .select(F.col("token").alias("term")).distinct())
         length = self.pad_length
         if length is None:
-            length = docs.select(F.max(F.size(filtered_tokens(self.text_col, self.stop)))).first()[0]
-        return PadIdsModel(vocab, int(length or 0), self.stop, self.text_col, self.id_col)
+            own = (self.tokenizer(F.col(self.text_col)) if self.tokenizer is not None
+                   else filtered_tokens(self.text_col, self.stop))
+            length = docs.select(F.max(F.size(own))).first()[0]
+        return PadIdsModel(vocab, int(length or 0), self.stop, self.text_col, self.id_col, self.tokenizer)
 
 
 def embed_vocab(vocab: DataFrame, vectors: DataFrame, key: str = "term",
@@ -248,13 +268,15 @@ def embed_vocab(vocab: DataFrame, vectors: DataFrame, key: str = "term",
 def pool_embeddings(ids: DataFrame, emb: DataFrame, dim: int) -> DataFrame:
     """Global max pooling per document over the vectors of its ids (id 0 = zero vector).
 
-    Each distinct id of a document is joined to its vector once, then one
-    aggregation per document computes every dimension (no per-dimension explode).
+    Each distinct known id of a document is joined to its vector once. Id 0 (padding and
+    unknown, in nearly every document) has no vector and stays out of the join: its zero
+    vector is added per document. One aggregation computes every dimension.
     """
-    d = ids.select("doc_id", F.explode(F.array_distinct("ids")).alias("id"))
+    zeros = F.array_repeat(F.lit(0.0).cast("float"), dim)
+    d = ids.select("doc_id", F.explode(F.array_distinct("ids")).alias("id")).filter(F.col("id") != 0)
     e = emb.select("id", F.col("vector").alias("_v"))
-    j = d.join(e, "id", "left").withColumn(
-        "_v", F.coalesce("_v", F.array_repeat(F.lit(0.0).cast("float"), dim)))
+    j = d.join(e, "id", "left").select("doc_id", F.coalesce("_v", zeros).alias("_v"))
+    padded = ids.filter(F.array_contains("ids", F.lit(0).cast("bigint"))).select("doc_id", zeros.alias("_v"))
     cols = [F.max(F.col("_v")[i]).alias(f"_d{i}") for i in range(dim)]
-    return j.groupBy("doc_id").agg(*cols).select(
+    return j.unionByName(padded).groupBy("doc_id").agg(*cols).select(
         "doc_id", F.array(*[F.col(f"_d{i}") for i in range(dim)]).alias("pooled"))

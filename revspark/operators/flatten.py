@@ -21,8 +21,8 @@ def flatten_reviews(pages: DataFrame, title=None, appid=None, extra: bool = Fals
 
     ``title``/``appid`` are column names on ``pages`` (or literals); missing ones
     become "NA". The developer reply defaults to "". Ids are decoded from their
-    string form; ``with_validity`` adds ``is_valid``/``reject_reason`` instead of
-    silently keeping rows whose id or language does not parse. ``extra`` keeps the
+    string form. A row whose ids or language do not decode is rejected; ``with_validity``
+    keeps it and adds ``is_valid``/``reject_reason``. ``extra`` keeps the
     order-mode columns (update time, vote score) that the flat table drops.
     """
     keep = [c for c in (title, appid) if isinstance(c, str) and c in pages.columns]
@@ -52,39 +52,31 @@ def flatten_reviews(pages: DataFrame, title=None, appid=None, extra: bool = Fals
     if extra:
         out += [F.col("r.timestamp_updated").alias("timestamp_updated"),
                 to_double_or_zero("r.weighted_vote_score").alias("weighted_vote_score")]
-    if with_validity:
-        out += [F.col("r.recommendationid").alias("_rid"), F.col("r.author.steamid").alias("_sid"),
-                F.col("r.language").alias("_lang")]
     flat = rows.select(*out)
-    if with_validity:
-        reason = (F.when(F.col("recommendation_id").isNull(), F.lit("bad recommendationid"))
-                  .when(F.col("steam_id").isNull(), F.lit("bad steamid"))
-                  .when(F.col("language").isNull(), F.lit("unknown language")))
-        flat = (flat.withColumn("reject_reason", reason)
-                .withColumn("is_valid", F.col("reject_reason").isNull())
-                .drop("_rid", "_sid", "_lang"))
-    return flat
+    bad_id = F.col("recommendation_id").isNull()
+    bad_author = F.col("steam_id").isNull()
+    bad_language = F.col("language").isNull()
+    if not with_validity:
+        return flat.filter(~(bad_id | bad_author | bad_language))
+    reason = (F.when(bad_id, F.lit("bad recommendationid")).when(bad_author, F.lit("bad steamid"))
+              .when(bad_language, F.lit("unknown language")))
+    return (flat.withColumn("reject_reason", reason)
+            .withColumn("is_valid", F.col("reject_reason").isNull()))
 
 
 def attach_title(reviews: DataFrame, titles: DataFrame, on: str = "appid") -> DataFrame:
     """Fill ``title`` from a title dimension ``(appid, title)``; "NA" when absent.
 
-    The dimension has one row per product; AQE broadcasts it when its measured
+    Of several pages of one product the least title counts. AQE broadcasts it when its measured
     size is small and falls back to a shuffle join otherwise.
     """
-    dim = titles.select(F.col(on), F.col("title").alias("_title")).dropDuplicates([on])
+    dim = titles.groupBy(on).agg(F.min("title").alias("_title"))
     out = reviews.drop("title").join(dim, on, "left")
     out = out.withColumn("title", F.coalesce("_title", F.lit(K.MISSING_TITLE))).drop("_title")
     cols = [c for c in FLAT_COLUMNS if c in out.columns]
     return out.select(*cols, *[c for c in out.columns if c not in cols])
 
 
-def is_missing(c) -> F.Column:
-    """True for the "NA" sentinel (or NULL)."""
-    col = F.col(c) if isinstance(c, str) else c
-    return col.isNull() | (col == F.lit(K.MISSING_TITLE))
-
-
 def add_vote_label(df: DataFrame, name: str = "up_funny") -> DataFrame:
     """Derived label: more helpful votes than funny votes."""
     return df.withColumn(name, F.col("votes_up") > F.col("votes_funny"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revspark.functions import constants as K
-from revspark.functions.decode import normalize_language
+from revspark.functions.decode import LANGUAGE_ALIASES
 
 ORDER_COLUMNS = {"recent": "timestamp_created", "updated": "timestamp_updated",
                  "all": "weighted_vote_score"}
@@ -58,7 +58,6 @@ class ReviewQuery:
             raise ValueError(f"review_type must be one of {REVIEW_TYPES}, got {self.review_type!r}")
         if self.purchase_type not in PURCHASE_TYPES:
             raise ValueError(f"purchase_type must be one of {PURCHASE_TYPES}")
-        from revspark.functions.decode import LANGUAGE_ALIASES
         if self.language not in LANGUAGE_ALIASES:
             raise ValueError(f"unknown language {self.language!r}")
         if self.day_range is not None:
@@ -79,7 +78,6 @@ class ReviewQuery:
 
     @property
     def canonical_language(self) -> str:
-        from revspark.functions.decode import LANGUAGE_ALIASES
         return LANGUAGE_ALIASES[self.language]
 
     def predicate(self):
@@ -112,29 +110,27 @@ class ReviewQuery:
         return reviews if pred is None else reviews.filter(pred)
 
 
-def language_filter(reviews: DataFrame, language: str) -> DataFrame:
-    lang = normalize_language(F.lit(language))
-    return reviews.filter(F.col("language") == lang)
-
-
 def page(reviews: DataFrame, q: ReviewQuery, id_col: str = "recommendation_id") -> DataFrame:
     """One page of the request: filter, keyset cursor, newest/best first, top-k.
 
-    Ties on the sort value are broken by id (descending), so pages never
-    overlap and never skip rows.
+    Ties on the sort value are broken by id (descending) and rows without one come
+    last, so pages never overlap and never skip rows.
     """
     key = ORDER_COLUMNS[q.order]
     df = q.apply(reviews)
     if q.cursor is not None:
         v, i = F.lit(q.cursor.value), F.lit(q.cursor.id)
-        df = df.filter((F.col(key) < v) | ((F.col(key) == v) & (F.col(id_col) < i)))
-    return df.orderBy(F.desc(key), F.desc(id_col)).limit(q.page_size)
+        if q.cursor.value is None:
+            df = df.filter(F.col(key).isNull() & (F.col(id_col) < i))
+        else:
+            df = df.filter(F.col(key).isNull() | (F.col(key) < v) | ((F.col(key) == v) & (F.col(id_col) < i)))
+    return df.orderBy(F.desc_nulls_last(key), F.desc(id_col)).limit(q.page_size)
 
 
 def next_cursor(page_df: DataFrame, q: ReviewQuery, id_col: str = "recommendation_id") -> Cursor | None:
     """Cursor after a served page (reads at most one row); None when the page is empty."""
     key = ORDER_COLUMNS[q.order]
-    last = (page_df.select(key, id_col).orderBy(F.asc(key), F.asc(id_col)).limit(1).collect())
+    last = (page_df.select(key, id_col).orderBy(F.asc_nulls_first(key), F.asc(id_col)).limit(1).collect())
     if not last:
         return None
     return Cursor(last[0][0], last[0][1])
@@ -145,5 +141,5 @@ def first_pages(reviews: DataFrame, q: ReviewQuery, n_pages: int) -> DataFrame:
     if n_pages < 1:
         raise ValueError("n_pages must be positive")
     key = ORDER_COLUMNS[q.order]
-    return q.apply(reviews).orderBy(F.desc(key), F.desc("recommendation_id")) \
+    return q.apply(reviews).orderBy(F.desc_nulls_last(key), F.desc("recommendation_id")) \
         .limit(n_pages * q.page_size)

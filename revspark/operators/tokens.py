@@ -1,9 +1,9 @@
 """Token tables: title dictionary, title phrase tagging, token filter, lemmas.
 
-Title tagging is an equi-join, never a document x title product: every
-document yields its word n-grams for the lengths that occur in the dictionary,
-each n-gram is looked up by its normalised key, and overlapping matches are
-resolved per document (longest first, then earliest) with array functions.
+Title tagging is an equi-join, never a document x title product: documents find
+the title beginnings they hold, cut candidates only there, look each up by its
+required tokens, and overlapping matches are resolved per document (longest
+first, then earliest) with array functions.
 """
 
 from __future__ import annotations
@@ -12,12 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revspark.functions import constants as K
-from revspark.functions.text import (PUNCT_PATTERN, is_punct, keep_token, lower_strip,
-                                     tokenize)
-
-WORD_RE = r"^[\p{L}\p{N}]+$"
-# Dictionaries up to this many rows are broadcast; larger ones are shuffle-joined.
-BROADCAST_ROWS = 500_000
+from revspark.functions.text import is_punct, keep_token, lower_strip, ngrams, tokenize
 
 
 def title_dictionary(titles: DataFrame, aliases=None, title_col: str = "title") -> DataFrame:
@@ -32,82 +27,99 @@ def title_dictionary(titles: DataFrame, aliases=None, title_col: str = "title")
 
 
 def _word_layout(df: DataFrame, tok_col: str) -> DataFrame:
-    """Adds ``widx`` (1-based positions of word tokens) and ``gaps`` (the symbols
-    right before each word), in two projections so each array is built once."""
+    """Adds ``widx`` (1-based positions of the tokens that are not punctuation) and ``gaps`` (the
+    punctuation before each of them and, last, after all), in two projections so each
+    array is built once."""
     n = F.size(tok_col)
     widx = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                    lambda i: (i <= n) & F.element_at(F.col(tok_col), i).rlike(WORD_RE))
+                    lambda i: (i <= n) & ~is_punct(F.element_at(F.col(tok_col), i)))
     df = df.withColumn("widx", widx)
     prev_end = lambda j: F.when(j == 0, F.lit(1)).otherwise(F.element_at("widx", j) + 1)
     gaps = F.transform("widx", lambda p, j: F.array_join(
         F.slice(F.col(tok_col), prev_end(j), p - prev_end(j)), ""))
-    return df.withColumn("gaps", gaps)
+    last = F.when(F.size("widx") > 0, F.element_at("widx", -1)).otherwise(F.lit(0))
+    after = F.array_join(F.slice(F.col(tok_col), last + 1, F.greatest(n - last, F.lit(0))), "")
+    return df.withColumn("gaps", F.concat(gaps, F.array(after)))
 
 
 def title_patterns(dictionary: DataFrame) -> DataFrame:
-    """``(key, n, tgaps, title)``: the words of each title, their count and the
-    symbols between them (optional in the text). Leading and trailing symbols
-    are dropped."""
+    """``(key, n, head, tgaps, title)``: the required tokens of each title, their count, the first one
+    or two of them, and the punctuation before, between and after them, every mark of which is
+    optional in the text. Titles of punctuation alone name nothing and are dropped."""
     toks = dictionary.select("title", tokenize(F.col("title")).alias("_t"))
     pat = _word_layout(toks, "_t")
-    return pat.select(
-        F.array_join(F.transform("widx", lambda i: F.element_at(F.col("_t"), i)), " ").alias("key"),
-        F.size("widx").alias("n"), F.col("gaps").alias("tgaps"), "title").filter(F.col("n") > 0)
+    words = F.transform("widx", lambda i: F.element_at(F.col("_t"), i))
+    return (pat.select(F.array_join(words, " ").alias("key"), F.size("widx").alias("n"),
+                       F.array_join(F.slice(words, 1, 2), " ").alias("head"),
+                       F.col("gaps").alias("tgaps"), "title").filter(F.col("n") > 0))
 
 
 def doc_words(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``(doc_id, toks, widx, gaps)``: lower-cased tokens, word positions, symbol gaps."""
+    """``(doc_id, toks, widx, gaps)``: lower-cased tokens, positions of those that are not punctuation,
+    punctuation around them."""
     t = docs.select(F.col(id_col).alias("doc_id"), tokenize(F.lower(F.col(text_col))).alias("toks"))
     return _word_layout(t, "toks").select("doc_id", "toks", "widx", "gaps")
 
 
-# First words are tested inside each row with a hash set when there are at most
-# this many distinct ones; otherwise every position is a candidate start.
-FIRST_WORDS_INLINE = 100_000
+def _marks_left(gap: Column, marks: Column) -> Column:
+    """What is left of ``gap`` when its characters are matched, in order, against ``marks``, each mark optional."""
+    each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(marks), F.lit(1))),
+                       lambda i: F.substring(marks, i, F.lit(1)))
+    return F.aggregate(each, gap, lambda rest, c: F.when(
+        (F.length(c) > 0) & F.startswith(rest, c), F.substring(rest, F.lit(2), F.length(rest))).otherwise(rest))
+
+
+def _heads_present(words: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``(doc_id, heads)``: title beginnings (one or two tokens) that occur in each document.
+
+    One row per document and distinct beginning meets the distinct beginnings of the titles in a join.
+    """
+    word = F.transform("widx", lambda i: F.element_at(F.col("toks"), i))
+    flat = words.select("doc_id", word.alias("w"))
+    flat = flat.select("doc_id", F.array_distinct(ngrams("w", 1, 2)).alias("h"))
+    pairs = flat.select("doc_id", F.explode_outer("h").alias("head")).filter(F.col("head").isNotNull())
+    found = pairs.join(patterns.select("head").distinct(), "head")
+    return found.groupBy("doc_id").agg(F.collect_set("head").alias("heads"))
 
 
-def title_candidates(words: DataFrame, patterns: DataFrame, lengths, first_words=None,
-                     first_pairs=None) -> DataFrame:
-    """Every document word n-gram (n in ``lengths``) whose words equal a title's words
-    and whose inner symbols are absent or equal to the title's.
+def title_candidates(words: DataFrame, patterns: DataFrame, lengths) -> DataFrame:
+    """Every match of a title: its required tokens in a row, with any of its punctuation left out.
 
-    Candidates are built inside each document row (only at positions whose word
-    starts some title) and only those small structs are exploded, so a long
-    document's arrays are never copied per position. The lookup is an equi-join
-    on the n-gram key.
+    Documents first learn which title beginnings they hold; only there candidates of the title
+    ``lengths`` are cut, inside the document's row, and looked up by an equi-join on the required tokens.
+    Between them, the document's punctuation must be some of the title's, in order; before and after
+    them the span takes in as much as the title allows.
     """
     word_at = lambda s: F.element_at(F.col("toks"), F.element_at(F.col("widx"), s))
-    # Positions whose word starts some title: computed once, then cut per length.
-    every = F.sequence(F.lit(1), F.greatest(F.size("widx"), F.lit(1)))
-    heads = F.filter(every, lambda s: (s <= F.size("widx"))
-                     & (word_at(s).isin(first_words) if first_words else F.lit(True)))
-    words = words.withColumn("_heads", heads)
+    words = words.join(_heads_present(words, patterns), "doc_id")
+    every = F.sequence(F.lit(1), F.size("widx"))
+    one = F.filter(every, lambda s: F.array_contains("heads", word_at(s)))
+    two = F.filter(every, lambda s: (s < F.size("widx")) & F.array_contains(
+        "heads", F.concat(word_at(s), F.lit(" "), word_at(s + 1))))
+    words = words.withColumn("_one", one).withColumn("_two", two)
     parts = []
     for n in sorted(set(lengths)):
-        width = F.size("widx") - n + 1
-        if n >= 2 and first_pairs:
-            starts = F.filter("_heads", lambda s: (s <= width) & F.concat(
-                word_at(s), F.lit(" "), word_at(s + 1)).isin(first_pairs))
-        else:
-            starts = F.filter("_heads", lambda s: s <= width)
+        starts = F.filter("_one" if n == 1 else "_two", lambda s: s <= F.size("widx") - n + 1)
         parts.append(F.transform(starts, lambda s: F.struct(
-            s.alias("start"), F.lit(n).alias("n"),
+            F.lit(n).alias("n"),
             F.array_join(F.transform(F.slice("widx", s, n),
                                      lambda i: F.element_at(F.col("toks"), i)), " ").alias("key"),
-            F.slice("gaps", s, n).alias("dgaps"),
-            F.element_at("widx", s).alias("tok_start"),
-            F.element_at("widx", s + n - 1).alias("tok_end"))))
+            F.slice("gaps", s, n + 1).alias("dgaps"),
+            F.element_at("widx", s).alias("first"),
+            F.element_at("widx", s + n - 1).alias("last"))))
     allc = parts[0] if len(parts) == 1 else F.concat(*parts)
     cand = words.select("doc_id", F.explode_outer(allc).alias("c")) \
         .filter(F.col("c").isNotNull()).select("doc_id", "c.*")
-    pat = patterns
-    if patterns.count() <= BROADCAST_ROWS:
-        pat = F.broadcast(patterns)
-    m = cand.join(pat, ["key", "n"])
-    ok = F.forall(F.sequence(F.lit(2), F.greatest(F.col("n"), F.lit(2))),
-                  lambda k: (k > F.col("n")) | (F.element_at("dgaps", k) == "")
-                  | (F.element_at("dgaps", k) == F.element_at("tgaps", k)))
-    return m.filter(ok).select("doc_id", "start", "n", "tok_start", "tok_end", "title")
+    m = cand.join(patterns.drop("head"), ["key", "n"])
+    inner = F.forall(F.sequence(F.lit(2), F.greatest(F.col("n"), F.lit(2))),
+                     lambda k: (k > F.col("n")) | (_marks_left(F.element_at("dgaps", k), F.element_at("tgaps", k)) == ""))
+    before, after = F.element_at("dgaps", 1), F.element_at("dgaps", -1)
+    taken_before = F.length(before) - F.length(_marks_left(F.reverse(before), F.reverse(F.element_at("tgaps", 1))))
+    taken_after = F.length(after) - F.length(_marks_left(after, F.element_at("tgaps", -1)))
+    m = (m.filter(inner).withColumn("tok_start", (F.col("first") - taken_before).cast("int"))
+         .withColumn("tok_end", (F.col("last") + taken_after).cast("int")))
+    return m.select("doc_id", F.col("tok_start").alias("start"),
+                    (F.col("tok_end") - F.col("tok_start") + 1).alias("n"), "tok_start", "tok_end", "title").distinct()
 
 
 def resolve_spans(cand: DataFrame) -> DataFrame:
@@ -131,35 +143,15 @@ def resolve_spans(cand: DataFrame) -> DataFrame:
 
 def tag_titles(docs: DataFrame, dictionary: DataFrame, text_col: str = "text",
                id_col: str = "doc_id") -> DataFrame:
-    """Title spans ``(doc_id, start, n, tok_start, tok_end, title)``; ``start``/``n``
-    count words, ``tok_*`` are 1-based token positions (symbols inside included)."""
-    # The dictionary is read several times below (sizes, lengths, first words,
-    # the join); keep its small pattern table in memory.
-    patterns = title_patterns(dictionary).persist()
-    # Title lengths (a handful of values) and, when few enough, first words
-    # come to the driver; the dictionary itself stays distributed.
+    """Title spans ``(doc_id, start, n, tok_start, tok_end, title)``: 1-based token positions,
+    ``n`` tokens from ``start``, the optional punctuation found included."""
+    patterns = title_patterns(dictionary)
+    # the distinct title lengths, a handful of numbers; the dictionary itself stays distributed
     lengths = [r[0] for r in patterns.select("n").distinct().collect()]
-    firsts = patterns.select(F.substring_index("key", " ", 1).alias("w")).distinct()
-    pairs = patterns.filter(F.col("n") >= 2).select(
-        F.concat_ws(" ", F.slice(F.split("key", " "), 1, 2)).alias("w")).distinct()
-    first_words = first_pairs = None
-    if firsts.count() <= FIRST_WORDS_INLINE:
-        first_words = [r[0] for r in firsts.collect()]
-    if pairs.count() <= FIRST_WORDS_INLINE:
-        first_pairs = [r[0] for r in pairs.collect()]
     if not lengths:
         schema = "doc_id bigint, start int, n int, tok_start int, tok_end int, title string"
         return docs.sparkSession.createDataFrame([], schema)
-    words = doc_words(docs, text_col, id_col)
-    return resolve_spans(title_candidates(words, patterns, lengths, first_words, first_pairs))
-
-
-def token_table(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``(doc_id, pos, token)`` for every token (1-based positions)."""
-    return (docs.select(F.col(id_col).alias("doc_id"),
-                        F.posexplode_outer(tokenize(F.col(text_col))).alias("pos", "token"))
-            .filter(F.col("token").isNotNull())
-            .withColumn("pos", F.col("pos") + 1))
+    return resolve_spans(title_candidates(doc_words(docs, text_col, id_col), patterns, lengths))
 
 
 def kept_with_titles(docs: DataFrame, spans: DataFrame, stop: bool = True,
@@ -194,17 +186,16 @@ def lemma_table_from_vocab(vocab: DataFrame, term_col: str = "term") -> DataFram
 def lemmatize(tokens: DataFrame, lemmas: DataFrame | None, token_col: str = "token") -> DataFrame:
     """Replace each token by its lemma (lower-cased, trimmed); identity when none.
 
-    ``lemmas`` is a user table ``(form, lemma)``; it is joined on the form, so
-    its size only decides between broadcast and shuffle join (AQE).
+    ``lemmas`` is a user table ``(form, lemma)``. Tokens that carry a position (``pos``) are looked up
+    once per document and form, so a hot token meets the join as one row a document.
     """
     if lemmas is None:
         return tokens.withColumn(token_col, F.lower(F.trim(F.col(token_col))))
-    lm = lemmas.select(F.col("form").alias("_form"), F.col("lemma").alias("_lemma")) \
-        .dropDuplicates(["_form"])
-    out = tokens.join(lm, F.lower(F.col(token_col)) == F.col("_form"), "left")
-    return out.withColumn(token_col, F.lower(F.trim(F.coalesce("_lemma", F.col(token_col))))) \
+    lm = lemmas.groupBy(F.col("form").alias("_form")).agg(F.min("lemma").alias("_lemma"))
+    own = [c for c in tokens.columns if c != "pos"]
+    positions = "pos" in tokens.columns
+    rows = tokens.groupBy(*own).agg(F.collect_list("pos").alias("_at")) if positions else tokens
+    out = rows.join(lm, F.lower(F.col(token_col)) == F.col("_form"), "left")
+    out = out.withColumn(token_col, F.lower(F.trim(F.coalesce("_lemma", F.col(token_col))))) \
         .drop("_form", "_lemma")
-
-
-__all__ = ["PUNCT_PATTERN", "is_punct", "keep_token", "lemmatize", "tag_titles",
-           "title_dictionary", "token_table", "kept_with_titles"]
+    return out.withColumn("pos", F.explode("_at")).select(*tokens.columns) if positions else out

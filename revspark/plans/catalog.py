@@ -10,7 +10,6 @@ library's operators, and most have an equivalent DuckDB SQL string in
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -233,7 +232,8 @@ def title_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dedupe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One document per distinct text (smallest id kept)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return DD.dedupe_rows(docs, key_cols=["text"], order_col="doc_id").select("doc_id")
+    return DD.dedupe_rows(docs, key_cols=["text"], order_col="doc_id",
+                          unique_order=True).select("doc_id")
 
 
 @query("drop_seen")
@@ -242,7 +242,7 @@ def drop_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     stored = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
     return DD.drop_seen(docs, stored, key_cols=["text", "lang", "source"],
-                        order_col="doc_id").select("doc_id")
+                        order_col="doc_id", unique_order=True).select("doc_id")
 
 
 @query("resume_info")
@@ -378,7 +378,7 @@ def padded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _vectors(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").cast("int").alias("id"), F.col("embedding").alias("vector"))
+    return e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
 
 @query("embed_vocab")
@@ -471,7 +471,7 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
            .select("event_id", "user_id", "event_type", "value"))
     store = scratch_path(spark, "events-store")
     SM.run_dedupe(src, store, scratch_path(spark, "events-checkpoint"),
-                  key_cols=["user_id", "event_type", "value"], order_col="event_id")
+                  key_cols=["user_id", "event_type", "value"], order_col="event_id", unique_order=True)
     return spark.read.parquet(store).select("event_id")
 
 
@@ -549,10 +549,6 @@ def watermark_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(store).select("event_id", "event_type")
 
 
-# Training vectors per partition for the parallel candidate fits of a search.
-ROWS_PER_PARTITION = 50_000
-
-
 @query("svm_search")
 def svm_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Linear SVM, C sampled from 1..10, 5 stratified folds (accuracy), refit on the
@@ -563,11 +559,6 @@ def svm_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = split.filter(~F.col("is_test"))
     vec = MD.fit_vectorizer(train, 1, 1)
     tr = vec.transform(train, keep=[F.col("label").cast("double").alias("label"), "fold"])
-    # Candidates are fitted in parallel and each fit passes over the training
-    # vectors once per iteration: keep them cached, in partitions sized to the
-    # rows (many at scale; one here, so the parallel fits do not contend).
-    n = tr.count()
-    tr = tr.coalesce(max(1, math.ceil(n / ROWS_PER_PARTITION))).persist()
     res = MD.svm_search(tr, parallelism=8)
     te = split.filter(F.col("is_test"))
     pred = MD.predict(res.model, vec, te)

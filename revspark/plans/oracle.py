@@ -43,7 +43,7 @@ ORDER BY cf DESC, term ASC LIMIT 25
 ORACLE["vocab_ids"] = f"""
 WITH t AS (SELECT doc_id, {S.kept_tokens('text')} AS a FROM documents),
 v AS (SELECT DISTINCT unnest(a) AS term FROM t)
-SELECT term, CAST(row_number() OVER (ORDER BY term) AS INTEGER) AS id FROM v
+SELECT term, row_number() OVER (ORDER BY term) AS id FROM v
 """
 
 LANG_CASE = "CASE " + " ".join(
@@ -256,7 +256,7 @@ SELECT doc_id, CAST(len(ids) AS INTEGER) AS n_ids,
        md5(array_to_string(ids, ',')) AS ids_md5 FROM p"""
 
 ORACLE["embed_vocab"] = f"""WITH {PAD_CTE}
-SELECT v.term, CAST(v.id AS INTEGER) AS id, e.embedding IS NOT NULL AS has_vector,
+SELECT v.term, v.id AS id, e.embedding IS NOT NULL AS has_vector,
        round(coalesce(sqrt(list_sum(list_transform(e.embedding,
              lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 0.0), 4) AS norm
 FROM v LEFT JOIN embeddings e ON e.vec_id = v.id"""

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from revspark.functions.decode import normalize_language, unix_seconds_of
 from revspark.plans.tables import table
-from revspark.schemas import FLAT_COLUMNS
 
 DEV_REPLY = "We are looking into it."
 
@@ -96,5 +95,3 @@ def review_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("title", "appid", F.lit(1).alias("success"),
                     F.col("page_no").cast("string").alias("cursor"), "reviews"))
 
-
-FLAT = FLAT_COLUMNS

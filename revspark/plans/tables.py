@@ -9,30 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
-# Tables whose rows carry whole texts: per-row CPU work (regex, tokenising)
-# dominates, so they are spread over all cores when the scan yields too few
-# splits (a small file is a single row group, hence a single task).
+# Tables whose rows carry whole texts (per-row regex and tokenising dominates).
 TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
-
-
-def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin ``df`` over at least ``min_partitions`` tasks when the scan has fewer.
-
-    Planning only (no job runs). On a large input the scan already has many
-    splits and ``df`` is returned unchanged, so no shuffle is added there.
-    """
-    spark = df.sparkSession
-    try:
-        want = min_partitions or spark.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD access (e.g. a remote session): leave as is
-        return df
-    return df.repartition(want) if have < want else df
+# Session setting: spread text tables over this many tasks. Unset (the default) the scan's
+# own splits are kept; a laptop run on one small file, which is a single split, sets it.
+SPREAD_CONF = "spark.revspark.textPartitions"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet scan of one table; Catalyst prunes columns and pushes filters into it."""
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    if name in TEXT_TABLES:
-        df = ensure_parallelism(df)
-    return df
+    spread = spark.conf.get(SPREAD_CONF, None)
+    return df.repartition(int(spread)) if spread and name in TEXT_TABLES else df

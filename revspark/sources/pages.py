@@ -12,16 +12,8 @@ def extract_titles(pages: DataFrame, class_name: str, tag: str = "div",
                    id_col: str = "page_id") -> DataFrame:
     """``(appid, title)`` from ``(page_id, url, html)``.
 
-    The title is the text of the first ``<tag>`` whose class is exactly
-    ``class_name``; "NA" when the page has none. Pure regex work, one pass over
-    the pages, no shuffle.
+    The title is the text of the first ``<tag>`` that has the class; "NA" when the
+    page has none. One pass over the pages, no shuffle.
     """
     return pages.select(F.col(id_col).cast("string").alias("appid"),
                         element_text("html", class_name, tag).alias("title"))
-
-
-def read_pages(spark, path: str, fmt: str = "parquet") -> DataFrame:
-    """Stored pages ``(page_id, url, html)``: Parquet, or JSON lines with that schema."""
-    if fmt == "parquet":
-        return spark.read.parquet(path)
-    return spark.read.schema("page_id BIGINT, url STRING, html STRING").json(path)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from revspark.functions.constants import MISSING_TITLE
 from revspark.operators.flatten import flatten_reviews
 from revspark.schemas import ENVELOPE, FLAT_REVIEW, SENTIMENT
+from revspark.session import path_exists
 
 
 def read_review_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -20,10 +21,17 @@ def read_flat_reviews(spark: SparkSession, path: str, title=None, appid=None) ->
     return flatten_reviews(read_review_pages(spark, path), title=title, appid=appid)
 
 
+# Holds the text of a line with too few or too many fields.
+CORRUPT = "_corrupt_line"
+# A stored review without these is no review.
+REQUIRED = ("recommendation_id", "timestamp_created", "voted_up")
+
+
 def _csv_strings(spark: SparkSession, path: str, columns) -> DataFrame:
-    schema = ", ".join(f"`{c}` STRING" for c in columns)
+    schema = ", ".join(f"`{c}` STRING" for c in [*columns, CORRUPT])
     return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
+            .option("escape", '"').option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", CORRUPT).csv(path))
 
 
 def read_reviews(spark: SparkSession, path: str, strict: bool = False,
@@ -31,7 +39,8 @@ def read_reviews(spark: SparkSession, path: str, strict: bool = False,
     """Stored flat review CSV, typed.
 
     Every column is read as a string and cast with ``try_cast``; a row is valid
-    when every non-null source value converted. ``strict`` raises on the first
+    when it has all fields, its required ones are present and every non-null source
+    value converted. ``strict`` raises on the first
     invalid row (one small action); otherwise invalid rows are dropped, or kept
     with ``is_valid`` when ``with_validity``. Stray header rows (from appending
     to a file that already had one) are invalid rows, never data.
@@ -50,9 +59,9 @@ def read_reviews(spark: SparkSession, path: str, strict: bool = False,
         typed = F.lower(src).try_cast(f.dataType) if f.dataType.simpleString() == "boolean" \
             else src.try_cast(f.dataType)
         cols.append(typed.alias(f.name))
-        checks.append(src.isNull() | typed.isNotNull())
-    ok = checks[0]
-    for c in checks[1:]:
+        checks.append(typed.isNotNull() if f.name in REQUIRED else src.isNull() | typed.isNotNull())
+    ok = F.col(CORRUPT).isNull()
+    for c in checks:
         ok = ok & c
     typed_df = raw.select(*cols, ok.alias("is_valid"))
     if strict:
@@ -70,12 +79,6 @@ def read_sentiment_csv(spark: SparkSession, path: str) -> DataFrame:
             .option("escape", '"').csv(path))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def write_reviews(df: DataFrame, path: str, mode: str = "new", fmt: str = "parquet") -> None:
     """Store flat review rows.
 
@@ -84,7 +87,7 @@ def write_reviews(df: DataFrame, path: str, mode: str = "new", fmt: str = "parqu
     part file; Parquet is the better store (typed, splittable, prunable).
     """
     spark = df.sparkSession
-    exists = _exists(spark, path)
+    exists = path_exists(spark, path)
     if mode == "new" and exists:
         raise FileExistsError(path)
     if mode == "append" and not exists:

@@ -11,19 +11,23 @@
 * ``dedupe_within_watermark``: the bounded alternative (state kept only for the
   watermark delay); it also drops rows older than the watermark.
 * ``score_stream``: fitted vectoriser + model applied to each micro-batch.
+* ``incremental_load``: resume a stored load from new page files, with stop rules.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from revspark.operators.dedupe import drop_seen
+from revspark.operators.dedupe import ResumeInfo, drop_seen, resume_info
 from revspark.operators.flatten import flatten_reviews
+from revspark.operators.models import predict
 from revspark.schemas import ENVELOPE
+from revspark.session import path_exists
 
 BATCH_DIR = "batch_id"
 
@@ -42,78 +46,116 @@ class BatchLog:
     """New-row counts per micro-batch; ``exhausted`` once a batch adds nothing."""
 
     counts: dict = field(default_factory=dict)
+    stopped: bool = False
 
     @property
     def exhausted(self) -> bool:
         return bool(self.counts) and list(self.counts.values())[-1] == 0
 
 
+class StopLoad(Exception):
+    """A stop rule holds: the batch at hand is left for a later run."""
+
+
 def read_store(spark: SparkSession, store: str, schema) -> DataFrame:
     """Everything stored so far (empty frame before the first batch)."""
-    try:
-        return spark.read.schema(schema).parquet(store)
-    except Exception:  # noqa: BLE001 - no batch written yet
+    if not path_exists(spark, store):
         return spark.createDataFrame([], schema)
-
-
-# At most this many distinct partition values of one micro-batch are used to
-# prune the stored history; above it the whole store is read.
-PRUNE_VALUES = 10_000
+    return spark.read.schema(schema).parquet(store)
 
 
 def dedupe_into_store(store: str, key_cols=None, order_col: str | None = None,
-                      log: BatchLog | None = None, partition_col: str | None = None):
+                      log: BatchLog | None = None, partition_col: str | None = None,
+                      unique_order: bool = False, stop_when_exhausted: bool = False,
+                      max_batches: int | None = None):
     """``foreachBatch`` function: append only unseen rows of each micro-batch to ``store``.
 
     With ``partition_col`` (e.g. the creation day, which must be part of the
-    key) the store is partitioned by it and each batch reads back only the
-    partitions its own rows fall in, so the history scan does not grow with
-    the whole store.
+    key) the store is partitioned by it and a batch is compared only with the
+    partitions its own rows fall in (NULL is a partition like any).
+
+    Stop rules: after a batch that added nothing (``stop_when_exhausted``), or after
+    ``max_batches`` batches, the next batch is refused and stays uncommitted.
     """
     if partition_col is not None and key_cols is not None and partition_col not in key_cols:
         raise ValueError("partition_col must be one of key_cols")
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        if log is not None and ((stop_when_exhausted and log.exhausted)
+                                or (max_batches is not None and len(log.counts) >= max_batches)):
+            log.stopped = True
+            raise StopLoad()
         spark = batch.sparkSession
         schema = StructType(batch.schema.fields + [StructField(BATCH_DIR, LongType())])
         hist = read_store(spark, store, schema)
         hist = hist.filter(F.col(BATCH_DIR) != batch_id)
         if partition_col is not None:
-            vals = batch.select(partition_col).distinct().limit(PRUNE_VALUES + 1).collect()
-            if len(vals) <= PRUNE_VALUES:
-                hist = hist.filter(F.col(partition_col).isin([v[0] for v in vals]))
-        new = drop_seen(batch, hist.drop(BATCH_DIR), key_cols=key_cols, order_col=order_col)
-        obs = Observation(f"new_rows_{batch_id}")
-        new = new.observe(obs, F.count(F.lit(1)).alias("n"))
+            own = batch.select(F.col(partition_col).alias("_own")).distinct()
+            hist = hist.join(own, hist[partition_col].eqNullSafe(own["_own"]), "left_semi")
+        new = drop_seen(batch, hist.drop(BATCH_DIR), key_cols=key_cols, order_col=order_col,
+                        unique_order=unique_order)
         w = new.write.mode("overwrite")
         if partition_col is not None:
             w = w.partitionBy(partition_col)
         w.parquet(f"{store}/{BATCH_DIR}={batch_id}")
         if log is not None:
-            log.counts[batch_id] = obs.get["n"]
+            # from the files' footers: an Observation would tie the session, which cannot be
+            # serialised, to models that keep a training summary
+            written = spark.read.schema(batch.schema).parquet(f"{store}/{BATCH_DIR}={batch_id}")
+            log.counts[batch_id] = written.count()
     return run
 
 
 def run_dedupe(stream: DataFrame, store: str, checkpoint: str, key_cols=None,
                order_col: str | None = None, available_now: bool = True,
-               partition_col: str | None = None) -> BatchLog:
-    """Drive ``stream`` into ``store`` until the input is exhausted; returns batch counts."""
+               partition_col: str | None = None, **rules) -> BatchLog:
+    """Drive ``stream`` into ``store`` until the input is exhausted or a stop rule of
+    :func:`dedupe_into_store` holds; returns batch counts."""
     log = BatchLog()
-    fn = dedupe_into_store(store, key_cols, order_col, log, partition_col)
+    fn = dedupe_into_store(store, key_cols, order_col, log, partition_col, **rules)
     writer = stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer
     q = writer.start()
-    q.awaitTermination()
+    try:
+        q.awaitTermination()
+    except StreamingQueryException:
+        if not log.stopped:
+            raise
     return log
 
 
+def incremental_load(spark: SparkSession, pages: str, store: str, checkpoint: str, title=None, appid=None,
+                     key_cols=None, max_files: int = 1, max_pages: int | None = None,
+                     stop_when_exhausted: bool = True) -> tuple[ResumeInfo, BatchLog]:
+    """Resume a stored load: read page files in order of arrival, store the reviews not stored yet.
+
+    ``store`` may hold earlier loads, of one product only (else an error is raised before
+    anything is read). Stops on a page file that adds nothing, or after ``max_pages``;
+    page files not reached stay for the next run. Returns what was stored before
+    (product, oldest review) and the new rows per page file.
+    """
+    rows = stream_review_pages(spark, pages, max_files, title, appid)
+    before = ResumeInfo(None, None)
+    if path_exists(spark, store):
+        before = resume_info(spark.read.parquet(store))
+    log = run_dedupe(rows, store, checkpoint, key_cols=key_cols, order_col="recommendation_id",
+                     stop_when_exhausted=stop_when_exhausted, max_batches=max_pages)
+    return before, log
+
+
 def dedupe_within_watermark(stream: DataFrame, ts_col: str, key_cols, delay: str = "1 day") -> DataFrame:
     """Bounded-state streaming dedupe (event time must be a TIMESTAMP)."""
     return (stream.withColumn(ts_col, F.col(ts_col).cast("timestamp"))
             .withWatermark(ts_col, delay).dropDuplicatesWithinWatermark(list(key_cols)))
 
 
-def score_stream(stream: DataFrame, vectorizer, model) -> DataFrame:
-    """``(doc_id, prediction)`` for each micro-batch of new documents."""
-    return model.transform(vectorizer.transform(stream)).select(
-        "doc_id", F.col("prediction").cast("int").alias("prediction"))
+def score_stream(stream: DataFrame, vectorizer, model, store: str, checkpoint: str) -> None:
+    """Score each micro-batch of new documents into ``store``: ``(doc_id, prediction)``.
+
+    A replayed batch replaces its own folder.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        predict(model, vectorizer, batch).write.mode("overwrite").parquet(f"{store}/{BATCH_DIR}={batch_id}")
+
+    (stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+     .trigger(availableNow=True).start().awaitTermination())

@@ -41,3 +41,18 @@ def test_resume_info_f12(spark):
         DD.resume_info(spark.createDataFrame([("7", 1), ("8", 2)], s))
     assert DD.resume_info(spark.createDataFrame([], s)) == DD.ResumeInfo(None, None)
     assert DD.day_range_for(DD.ResumeInfo("7", 0), 86400 * 3 + 5) == 3
+
+
+def test_null_order_values_keep_their_rows(spark):
+    df = spark.createDataFrame([(None, 1, "a"), (None, 1, "a"), (5, 2, "b"), (None, 3, "b"), (None, 4, "c"), (2, 9, None), (1, 8, None)], SCHEMA)
+    got = sorted((r.rid, r.votes, r.text) for r in DD.dedupe_rows(df, ["text"], "rid").collect() if r.rid is not None)
+    assert got == [(1, 8, None), (5, 2, "b")]
+    rest = sorted((r.votes, r.text) for r in DD.dedupe_rows(df, ["text"], "rid").collect() if r.rid is None)
+    assert rest == [(1, "a"), (4, "c")]
+
+
+def test_dedupe_is_a_hash_aggregate(spark):
+    df = spark.createDataFrame([(1, 5, "a")], SCHEMA)
+    plan = DD.dedupe_rows(df, ["text"], "rid", unique_order=True)._jdf.queryExecution().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    assert DD.dedupe_rows(df.union(df)).count() == 1

@@ -105,3 +105,13 @@ def test_unix_seconds_ignore_session_zone(spark):
         assert v == 1618826641
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_element_text_follows_the_selector():
+    from revspark.functions.text import first_element_text as f
+    assert f('<div class="ad">A<div>B</div>C</div><div class="ad">no</div>', "div", "ad") == "ABC"
+    assert f('<!-- <div class="ad">no</div> --><div class="ad">yes</div>', "div", "ad") == "yes"
+    assert f('<div data-class="ad">no</div><p class="ad">no</p>', "div", "ad") is None
+    assert f("<div class='x ad'> yes </div>", "div", "ad") == "yes"
+    assert f('<div class="ad">&trade; &#233; &amp;lt;</div>', "div", "ad") == "\u2122 \u00e9 &lt;"
+    assert f('<div class="bad">no</div>', "div", "ad") is None and f(None, "div", "ad") is None

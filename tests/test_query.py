@@ -35,3 +35,18 @@ def test_paging_covers_all_rows_once(spark):
         q = QY.ReviewQuery(order="recent", per_page=7, cursor=cur)
     expect = [r[0] for r in sorted(rows, key=lambda r: (r[1], r[0]), reverse=True)]
     assert seen == expect
+
+
+def test_pages_reach_rows_without_sort_value(spark):
+    from revspark.operators import query as Q
+    df = spark.createDataFrame([(i, None if i % 2 else 100 - i, "english") for i in range(11)],
+                               "recommendation_id long, timestamp_created long, language string")
+    seen, cursor = [], None
+    while True:
+        q = Q.ReviewQuery(order="recent", per_page=3, cursor=cursor)
+        rows = Q.page(df, q)
+        if not rows.count():
+            break
+        seen += [r.recommendation_id for r in rows.collect()]
+        cursor = Q.next_cursor(rows, q)
+    assert seen == [0, 2, 4, 6, 8, 10, 9, 7, 5, 3, 1]

@@ -40,22 +40,54 @@ def test_envelope_decode(spark):
     assert [r.weighted_vote_score for r in extra.collect()] == [0.56, 0.0]
 
 
-CSV = 'id,up,review\n1,true,"a\nb ""q"""\nid,up,review\nx,true,z\n2,false,ok\n'
+def test_csv_broken_rows_f14(spark):
+    d = tempfile.mkdtemp(prefix="revspark-test-")
+    names = SR.FLAT_REVIEW.fieldNames()
+    good = {"title": "t", "appid": "1", "recommendation_id": "85", "steam_id": "9", "num_games_owned": "1", "num_reviews": "1",
+            "playtime_forever": "5", "language": "english", "review": '"a\nb ""q"""', "timestamp_created": "7", "voted_up": "true",
+            "votes_up": "1", "votes_funny": "0", "comment_count": "0", "steam_purchase": "true", "received_for_free": "false",
+            "written_during_early_access": "false", "developer_response": ""}
+    line = lambda **kw: ",".join((good | kw)[n] for n in names)
+    with open(os.path.join(d, "r.csv"), "w") as fh:
+        fh.write("\n".join([",".join(names), line(), ",".join(names), line(recommendation_id="x"), "only one field",
+                            line(recommendation_id="86", review="ok"), line(recommendation_id="87") + ",one too many",
+                            line(recommendation_id=""), line(recommendation_id="88", voted_up="maybe")]) + "\n")
+    rows = SR.read_reviews(spark, d).orderBy("recommendation_id").collect()
+    assert [(r.recommendation_id, r.review) for r in rows] == [(85, 'a\nb "q"'), (86, "ok")]
+    assert SR.read_reviews(spark, d, with_validity=True).filter("not is_valid").count() == 6
+    with pytest.raises(ValueError):
+        SR.read_reviews(spark, d, strict=True)
 
 
-def test_csv_broken_rows_f14(spark):
-    from pyspark.sql import functions as F
+def test_short_row_alone_is_refused(spark):
+    d = tempfile.mkdtemp(prefix="revspark-test-")
+    with open(os.path.join(d, "r.csv"), "w") as fh:
+        fh.write(",".join(SR.FLAT_REVIEW.fieldNames()) + "\ntitle only\n")
+    assert SR.read_reviews(spark, d).count() == 0
+    with pytest.raises(ValueError):
+        SR.read_reviews(spark, d, strict=True)
+
+
+def test_sentiment_csv(spark):
+    d = tempfile.mkdtemp(prefix="revspark-test-")
+    with open(os.path.join(d, "s.csv"), "w") as fh:
+        fh.write('title,user_review,user_suggestion,votes_up,votes_funny\ng,"a, ""b""",1,3,4\n')
+    from revspark.operators.flatten import add_vote_label
+    row = add_vote_label(SR.read_sentiment_csv(spark, d)).collect()[0]
+    assert row.user_review == 'a, "b"' and row.user_suggestion == 1 and row.up_funny is False
+
+
+def test_undecodable_rows_are_rejected(spark):
+    from revspark.operators.flatten import flatten_reviews
     d = tempfile.mkdtemp(prefix="revspark-test-")
-    p = os.path.join(d, "r.csv")
-    with open(p, "w") as fh:
-        fh.write(CSV)
-    raw = (spark.read.schema("id STRING, up STRING, review STRING").option("header", True)
-           .option("multiLine", True).option("escape", '"').csv(p))
-    typed = raw.select(F.col("id").try_cast("bigint").alias("id"),
-                       F.lower("up").try_cast("boolean").alias("up"), "review")
-    ok = typed.filter(F.col("id").isNotNull() & F.col("up").isNotNull())
-    assert sorted(r.review for r in ok.collect()) == ['a\nb "q"', "ok"]
-    assert ok.select("review").count() == 2
+    bad = [dict(REVIEW_A, recommendationid="x1"), dict(REVIEW_A, recommendationid="87", language="klingon"),
+           dict(REVIEW_A, recommendationid="99999999999999999999")]
+    with open(os.path.join(d, "p.json"), "w") as fh:
+        fh.write(json.dumps(_envelope([REVIEW_A, *bad])) + "\n")
+    pages = SR.read_review_pages(spark, d)
+    assert [r.recommendation_id for r in flatten_reviews(pages).collect()] == [85]
+    kept = flatten_reviews(pages, with_validity=True)
+    assert sorted(r.reject_reason or "" for r in kept.collect()) == ["", "bad recommendationid", "bad recommendationid", "unknown language"]
 
 
 def test_read_reviews_strict_and_write_modes(spark):

@@ -52,3 +52,86 @@ def test_foreach_batch_dedupe_partitioned(spark):
     n = spark.read.parquet(EVENTS).count()
     assert list(log.counts.values()) == [n, 0]
     assert spark.read.parquet(store).count() == n
+
+
+def _files(spark, batches, schema="event_id long, day string"):
+    """One Parquet file a batch, in order of modification."""
+    src = tempfile.mkdtemp(prefix="revspark-src-")
+    for i, rows in enumerate(batches):
+        one = tempfile.mkdtemp(prefix="revspark-one-")
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(one)
+        part = next(f for f in os.listdir(one) if f.startswith("part-"))
+        target = os.path.join(src, f"{i}.parquet")
+        shutil.copy(os.path.join(one, part), target)
+        os.utime(target, (1_700_000_000 + i, 1_700_000_000 + i))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+
+
+def test_null_partition_value_is_stored_once(spark):
+    stream = _files(spark, [[(1, None), (2, "a")], [(1, None), (3, "a")], [(1, None), (2, "a")]])
+    store = tempfile.mkdtemp(prefix="revspark-store-") + "/s"
+    log = SM.run_dedupe(stream, store, tempfile.mkdtemp(prefix="revspark-ck-"), key_cols=["event_id", "day"], partition_col="day")
+    assert list(log.counts.values()) == [2, 1, 0]
+    assert spark.read.parquet(store).count() == 3
+
+
+def test_stop_rules_leave_the_rest_for_later(spark):
+    batches = [[(1, "a")], [(1, "a")], [(2, "b")]]
+    store, ck = tempfile.mkdtemp(prefix="revspark-store-") + "/s", tempfile.mkdtemp(prefix="revspark-ck-")
+    stream = _files(spark, batches)
+    log = SM.run_dedupe(stream, store, ck, key_cols=["event_id"], stop_when_exhausted=True)
+    assert log.stopped and list(log.counts.values()) == [1, 0]
+    assert spark.read.parquet(store).count() == 1
+    log = SM.run_dedupe(stream, store, ck, key_cols=["event_id"])  # the refused file comes again
+    assert not log.stopped and list(log.counts.values()) == [1]
+    store, ck = tempfile.mkdtemp(prefix="revspark-store-") + "/s", tempfile.mkdtemp(prefix="revspark-ck-")
+    log = SM.run_dedupe(_files(spark, batches), store, ck, key_cols=["event_id"], max_batches=1)
+    assert log.stopped and list(log.counts.values()) == [1]
+
+
+def test_replayed_batch_replaces_its_output(spark):
+    batch = spark.createDataFrame([(1, "a"), (2, "b")], "event_id long, day string")
+    store = tempfile.mkdtemp(prefix="revspark-store-") + "/s"
+    write = SM.dedupe_into_store(store, ["event_id"])
+    write(batch, 0)
+    write(batch, 0)
+    assert spark.read.parquet(store).count() == 2
+
+
+def test_incremental_load_resumes(spark):
+    import json
+    from test_sources import REVIEW_A, _envelope
+    pages, store = tempfile.mkdtemp(prefix="revspark-pages-"), tempfile.mkdtemp(prefix="revspark-store-") + "/s"
+    ck = tempfile.mkdtemp(prefix="revspark-ck-")
+
+    def page(name, ids, mtime):
+        path = os.path.join(pages, name)
+        with open(path, "w") as fh:
+            fh.write(json.dumps(_envelope([dict(REVIEW_A, recommendationid=str(i), timestamp_created=1000 + i) for i in ids])) + "\n")
+        os.utime(path, (mtime, mtime))
+
+    page("0.json", [1, 2, 3], 1_700_000_000)
+    before, log = SM.incremental_load(spark, pages, store, ck)
+    assert before.oldest_created is None and list(log.counts.values()) == [3]
+    page("1.json", [3, 4], 1_700_000_100)
+    page("2.json", [1, 4], 1_700_000_200)
+    page("3.json", [9], 1_700_000_300)
+    before, log = SM.incremental_load(spark, pages, store, ck)
+    assert before.oldest_created == 1001 and log.stopped and list(log.counts.values()) == [1, 0]
+    assert sorted(r[0] for r in spark.read.parquet(store).select("recommendation_id").collect()) == [1, 2, 3, 4]
+
+
+def test_score_stream(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.sql import functions as F
+    from revspark.operators import models as MD
+    docs = spark.createDataFrame([(i, "good fun" if i % 2 else "bad slow", i % 2) for i in range(20)], "doc_id long, text string, label int")
+    vec = MD.fit_vectorizer(docs, 1, 1)
+    model = LogisticRegression(regParam=0.01).fit(vec.transform(docs, [F.col("label").cast("double").alias("label")]))
+    stream = _files(spark, [[(1, "good fun fun")], [(2, "slow slow bad")]], "doc_id long, text string")
+    store = tempfile.mkdtemp(prefix="revspark-store-") + "/s"
+    SM.score_stream(stream, vec, model, store, tempfile.mkdtemp(prefix="revspark-ck-"))
+    got = spark.read.parquet(store)
+    assert sorted((r.doc_id, r.prediction) for r in got.collect()) == [(1, 1), (2, 0)]
+    truth = got.withColumn("label", F.when(F.col("doc_id") == 1, 1).otherwise(0))
+    assert MD.accuracy(truth).first()[0] == 1.0

@@ -2,6 +2,7 @@
 
 import random
 import re
+import unicodedata
 
 from revspark.operators import tokens as TK
 
@@ -9,33 +10,30 @@ TOKEN_RE = re.compile(r"[^\W_]+|[^\s\w]|_", re.UNICODE)
 
 
 def brute_spans(text, titles):
-    toks = [t for t in TOKEN_RE.findall(text.lower())]
-    words = [(i, t) for i, t in enumerate(toks) if re.fullmatch(r"[^\W_]+", t)]
-    gaps = []
-    for j, (i, _) in enumerate(words):
-        prev = words[j - 1][0] + 1 if j else 0
-        gaps.append("".join(toks[prev:i]))
-    pats = []
-    for t in titles:
-        tt = TOKEN_RE.findall(t.lower())
-        tw = [(i, x) for i, x in enumerate(tt) if re.fullmatch(r"[^\W_]+", x)]
-        tg = []
-        for j, (i, _) in enumerate(tw):
-            prev = tw[j - 1][0] + 1 if j else 0
-            tg.append("".join(tt[prev:i]))
-        if tw:
-            pats.append(([x for _, x in tw], tg, t.lower()))
-    cands = []
-    for s in range(len(words)):
-        for pw, pg, title in pats:
-            n = len(pw)
-            if [w for _, w in words[s:s + n]] != pw:
-                continue
-            if all(gaps[s + k] in ("", pg[k]) for k in range(1, n)):
-                cands.append((n, s + 1, title))
-    cands.sort(key=lambda c: (-c[0], c[1], c[2]))
+    """By the rule: each token of a title must come in order, punctuation tokens may be left out, one by one."""
+    toks = TOKEN_RE.findall(text.lower())
+
+    def punct(t):
+        return all(unicodedata.category(c).startswith("P") for c in t)
+
+    def ends(pattern, at):
+        if not pattern:
+            return {at}
+        out = ends(pattern[1:], at) if punct(pattern[0]) else set()
+        if at < len(toks) and toks[at] == pattern[0]:
+            out |= ends(pattern[1:], at + 1)
+        return out
+
+    cands = set()
+    for title in titles:
+        pattern = TOKEN_RE.findall(title.lower())
+        if all(punct(t) for t in pattern):
+            continue
+        for s in range(len(toks)):
+            for e in ends(pattern, s):
+                cands.add((e - s, s + 1, title.lower()))
     kept = []
-    for n, s, title in cands:
+    for n, s, title in sorted(cands, key=lambda c: (-c[0], c[1], c[2])):
         if all(s + n <= ks or ks + kn <= s for kn, ks, _ in kept):
             kept.append((n, s, title))
     return sorted((s, n, t) for n, s, t in kept)
@@ -43,15 +41,16 @@ def brute_spans(text, titles):
 
 def test_tag_titles_matches_brute_force(spark):
     rnd = random.Random(7)
-    vocab = ["fallout", "new", "vegas", "bad", "company", "sky", "rim", "the", "x"]
-    titles = ["fallout: new vegas", "new vegas", "bad company", "fallout", "sky rim", "x x x"]
+    vocab = ["fallout", "new", "vegas", "bad", "company", "sky", "rim", "the", "x", "a", "b", "plus", "two"]
+    titles = ["fallout: new vegas", "new vegas", "bad company!", "fallout", "sky rim", "x x x", "a - : b", "plus+ two",
+              "(the) rim?!", "...", "+"]
     docs = []
-    for i in range(40):
+    for i in range(150):
         parts = []
         for _ in range(rnd.randint(0, 25)):
             parts.append(rnd.choice(vocab))
-            if rnd.random() < 0.2:
-                parts.append(rnd.choice([":", ",", "!"]))
+            if rnd.random() < 0.3:
+                parts.append(rnd.choice([":", ",", "!", "+", "-", "- :", "(", ")", "?!"]))
         docs.append((i, " ".join(parts)))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     dic = spark.createDataFrame([(t,) for t in titles], "title string")
@@ -62,6 +61,14 @@ def test_tag_titles_matches_brute_force(spark):
         assert sorted(got.get(i, [])) == brute_spans(text, titles), (i, text)
 
 
+def test_title_rule_probes(spark):
+    texts = ["x a : b y", "a-:b", "bad company!", "plus two plus+ two", "Bad, Company"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    dic = spark.createDataFrame([(t,) for t in ["a - : b", "bad company!", "plus+ two"]], "title string")
+    got = sorted((r.doc_id, r.start, r.n) for r in TK.tag_titles(df, TK.title_dictionary(dic, aliases=[])).collect())
+    assert got == [(0, 2, 3), (1, 1, 4), (2, 1, 3), (3, 3, 3)]
+
+
 def test_span_resolution_f9(spark):
     cand = spark.createDataFrame(
         [(1, s, n, s, s + n - 1, f"t{n}{s}") for n, s in [(3, 1), (2, 2), (2, 4), (1, 7), (1, 4)]],
@@ -74,4 +81,6 @@ def test_lemmatize_identity_and_table(spark):
     toks = spark.createDataFrame([(1, 0, "Games"), (1, 1, "run")], "doc_id long, pos long, token string")
     lem = spark.createDataFrame([("games", "game")], "form string, lemma string")
     assert [r.token for r in TK.lemmatize(toks, lem).orderBy("pos").collect()] == ["game", "run"]
+    again = spark.createDataFrame([(1, p, "games") for p in range(4)] + [(2, 0, "games")], "doc_id long, pos long, token string")
+    assert sorted(tuple(r) for r in TK.lemmatize(again, lem).collect()) == [(1, p, "game") for p in range(4)] + [(2, 0, "game")]
     assert [r.token for r in TK.lemmatize(toks, None).orderBy("pos").collect()] == ["games", "run"]
