@@ -160,6 +160,50 @@ def cursor_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QY.page(reviews, q2).select("recommendation_id", "timestamp_updated")
 
 
+@query("helpful_pages")
+def helpful_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two most helpful pages (50 each) of reviews created within the last 15 minutes
+    before the newest one (order mode "all", ties by id)."""
+    reviews = _reviews(spark, sf_dir, extra=True)
+    q = QY.ReviewQuery(order="all", per_page=50, language="all")
+    recent = reviews.filter(F.col("timestamp_created") >= _as_of(reviews) - 900)
+    return QY.first_pages(recent, q, 2).select("recommendation_id", "weighted_vote_score")
+
+
+@query("review_days")
+def review_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews within 7 days before the newest one, their times spread over 30 days by id, so that
+    the range drops most rows."""
+    reviews = _reviews(spark, sf_dir, extra=True).withColumn(
+        "timestamp_created", F.col("timestamp_created") - F.pmod("recommendation_id", F.lit(30)) * 86400)
+    q = QY.ReviewQuery(order="all", day_range=7, as_of=_as_of(reviews))
+    return q.apply(reviews).select("recommendation_id", "timestamp_created")
+
+
+@query("null_pages")
+def null_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of 100 from among the reviews without update time (those without label): the cursor lies
+    past all reviews that have one."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("recommendation_id"), "quality")
+    r = (table(spark, sf_dir, "documents").select(F.col("doc_id").alias("recommendation_id"), "n_chars")
+         .join(labels, "recommendation_id", "left")
+         .select("recommendation_id", F.when(F.col("quality").isNotNull(), F.col("n_chars")).alias("timestamp_updated")))
+    after = QY.Cursor(None, r.agg(F.max("recommendation_id")).first()[0])
+    q = QY.ReviewQuery(order="updated", per_page=100, cursor=after)
+    return QY.page(r, q)
+
+
+@query("null_order_dedupe")
+def null_order_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per (source, lang), the one of the shortest labelled text; unlabelled documents
+    have no length to order by and count only where there is no other."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
+    lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    r = docs.join(lab, "doc_id", "left").select(
+        "source", "lang", F.when(F.col("quality").isNotNull(), F.col("n_chars")).alias("n"))
+    return DD.dedupe_rows(r, ["source", "lang"], "n").select("source", "lang", "n")
+
+
 @query("review_summary")
 def review_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positive / negative / all review totals per product."""
@@ -406,6 +450,34 @@ def pool_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.array_max("pooled").cast("double").alias("pooled_max"))
 
 
+@query("embed_vocab_terms")
+def embed_vocab_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors looked up by term: the store holds a vector for each of the benchmark's words (the
+    vector whose id is the word's rank), the vocabulary is that of the labelled documents."""
+    _, model = _pad_model(spark, sf_dir)
+    words = FE.kept_token_table(table(spark, sf_dir, "benchmark"), id_col="item_id").filter(F.col("token").isNotNull())
+    ranked = FE.alphabetical_ids(words.select(F.col("token").alias("term")).distinct())
+    store = ranked.join(_vectors(spark, sf_dir), "id").select("term", "vector")
+    emb = model.embeddings(store, key="term")
+    return emb.select("term", "id", "has_vector",
+                      F.round(F.sqrt(F.aggregate("vector", F.lit(0.0),
+                                                 lambda a, x: a + x.cast("double") * x)), 4)
+                      .alias("norm"))
+
+
+@query("feature_vectors")
+def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TF-IDF vectors (unigrams fitted on the train split) of all labelled documents: number of
+    features, first and last feature id, sum of weights."""
+    docs = _labelled_docs(spark, sf_dir)
+    split = SP.stratified_split(docs, "label", "doc_id", 0.25)
+    vec = MD.fit_vectorizer(split.filter(~F.col("is_test")), 1, 1)
+    w = vec.weights(docs)
+    return w.select("doc_id", F.size("indices").alias("n_features"), F.array_min("indices").alias("first_id"),
+                    F.array_max("indices").alias("last_id"),
+                    F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 6).alias("weight_sum"))
+
+
 # --- step 11: models ----------------------------------------------------------------
 
 def _model_data(spark, sf_dir):
@@ -454,6 +526,27 @@ def embedding_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                                        F.col("prediction").cast("int").alias("prediction"))
 
 
+@query("text_embedding_classifier")
+def text_embedding_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents as padded ids, looked up vectors and global max pooling into the embedding
+    classifier; predictions for the validation split."""
+    docs, model = _pad_model(spark, sf_dir)
+    vectors = _vectors(spark, sf_dir)
+    dim = vectors.select(F.size("vector")).first()[0]
+    pooled = FE.pool_embeddings(model.transform(docs), model.embeddings(vectors, key="id", dim=dim), dim)
+    pooled = pooled.join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    from revspark.session import scratch_path
+    path = scratch_path(spark, "pooled")  # read many times below: pool once
+    pooled.write.parquet(path)
+    split = SP.stratified_split(spark.read.parquet(path), "label", "doc_id", 0.25)
+    fitted = MD.embedding_classifier(split.filter(~F.col("is_test")), max_iter=30)
+    from pyspark.ml.functions import array_to_vector
+    val = split.filter(F.col("is_test")).select(
+        "doc_id", "label", array_to_vector(F.col("pooled").cast("array<double>")).alias("features"))
+    return fitted.transform(val).select("doc_id", F.col("label").cast("int").alias("label"),
+                                        F.col("prediction").cast("int").alias("prediction"))
+
+
 # --- step 12: streaming ---------------------------------------------------------------
 
 @query("stream_dedupe")
@@ -511,6 +604,25 @@ def stream_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                                             "timestamp_created", "voted_up")
 
 
+@query("incremental_load")
+def incremental_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored load (the labelled documents' reviews of one product) resumed from page files that
+    deliver all of that product's reviews: every review is stored once."""
+    from revspark.operators.flatten import flatten_reviews
+    from revspark.session import scratch_path
+    from revspark.streaming import stream as SM
+    pages = ST.review_pages(spark, sf_dir).filter(F.col("appid") == "0")
+    pages_dir, store = scratch_path(spark, "load-pages"), scratch_path(spark, "load-store")
+    pages.repartition(3, "cursor").write.json(pages_dir)
+    labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("recommendation_id"))
+    flat = flatten_reviews(pages, title="title", appid="appid").join(labelled, "recommendation_id", "left_semi")
+    from revspark.schemas import FLAT_COLUMNS
+    flat.select(*FLAT_COLUMNS).write.parquet(f"{store}/{SM.BATCH_DIR}=-1")
+    SM.incremental_load(spark, pages_dir, store, scratch_path(spark, "load-checkpoint"), title="src0", appid="0",
+                        key_cols=["recommendation_id"], stop_when_exhausted=False)
+    return spark.read.parquet(store).select("recommendation_id", "appid", "steam_id", "timestamp_created")
+
+
 @query("csv_store")
 def csv_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The review table stored as CSV (new store, then an append that repeats every

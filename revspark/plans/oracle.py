@@ -297,3 +297,47 @@ SELECT DISTINCT recommendation_id, title, language, md5(review) AS review_md5, t
        voted_up, votes_funny, developer_response FROM reviews"""
 
 ORACLE["watermark_dedupe"] = "SELECT DISTINCT event_id, event_type FROM events"
+
+ORACLE["helpful_pages"] = f"""WITH {REVIEWS_CTE}
+SELECT recommendation_id, weighted_vote_score FROM reviews
+WHERE timestamp_created >= (SELECT max(timestamp_created) FROM reviews) - 900
+ORDER BY weighted_vote_score DESC NULLS LAST, recommendation_id DESC LIMIT 100"""
+
+ORACLE["review_days"] = f"""WITH {REVIEWS_CTE},
+r AS (SELECT recommendation_id, timestamp_created - (recommendation_id % 30) * 86400 AS timestamp_created FROM reviews)
+SELECT * FROM r WHERE timestamp_created >= (SELECT max(timestamp_created) FROM r) - 7 * 86400"""
+
+ORACLE["null_pages"] = """
+SELECT d.doc_id AS recommendation_id, CASE WHEN l.quality IS NOT NULL THEN d.n_chars END AS timestamp_updated
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
+WHERE l.quality IS NULL AND d.doc_id < (SELECT max(doc_id) FROM documents)
+ORDER BY d.doc_id DESC LIMIT 100"""
+
+ORACLE["null_order_dedupe"] = """
+SELECT d.source, d.lang, min(CASE WHEN l.quality IS NOT NULL THEN d.n_chars END) AS n
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY d.source, d.lang"""
+
+ORACLE["embed_vocab_terms"] = f"""WITH {PAD_CTE},
+bt AS (SELECT DISTINCT unnest({S.kept_tokens('text')}) AS term FROM benchmark),
+bv AS (SELECT term, row_number() OVER (ORDER BY term) AS rnk FROM bt),
+st AS (SELECT bv.term, e.embedding FROM bv JOIN embeddings e ON e.vec_id = bv.rnk)
+SELECT v.term, v.id AS id, st.embedding IS NOT NULL AS has_vector,
+       round(coalesce(sqrt(list_sum(list_transform(st.embedding,
+             lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 0.0), 4) AS norm
+FROM v LEFT JOIN st ON st.term = v.term"""
+
+ORACLE["feature_vectors"] = f"""WITH {PAD_CTE},
+dfs AS (SELECT token AS term, count(DISTINCT tok.doc_id) AS df FROM tok
+        JOIN t ON t.doc_id = tok.doc_id WHERE NOT t.is_test GROUP BY token),
+n AS (SELECT count(*) AS n FROM t WHERE NOT is_test),
+w AS (SELECT tok.doc_id, v.id - 1 AS id,
+             count(*) * (ln((1.0 + any_value(n.n)) / (1.0 + any_value(dfs.df))) + 1.0) AS w
+      FROM tok JOIN v ON v.term = tok.token JOIN dfs ON dfs.term = tok.token CROSS JOIN n
+      GROUP BY tok.doc_id, v.id),
+g AS (SELECT doc_id, count(*) AS c, min(id) AS lo, max(id) AS hi, sum(w) / sqrt(sum(w * w)) AS s FROM w GROUP BY doc_id)
+SELECT ld.doc_id, CAST(coalesce(g.c, 0) AS INTEGER) AS n_features, CAST(g.lo AS INTEGER) AS first_id,
+       CAST(g.hi AS INTEGER) AS last_id, round(coalesce(g.s, 0.0), 6) AS weight_sum
+FROM ld LEFT JOIN g ON g.doc_id = ld.doc_id"""
+
+ORACLE["incremental_load"] = f"""WITH {REVIEWS_CTE}
+SELECT recommendation_id, appid, steam_id, timestamp_created FROM reviews WHERE appid = '0'"""

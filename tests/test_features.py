@@ -43,3 +43,18 @@ def test_pad_model(spark):
 def test_smooth_idf_formula(spark):
     v = spark.range(1).select(FE.smooth_idf(F.lit(1), F.lit(2)).alias("x")).first().x
     assert math.isclose(v, math.log(3 / 2) + 1)
+
+
+def test_pad_ids_tokenizer_and_junk(spark):
+    from pyspark.sql import functions as F
+
+    from revspark.operators import features as FE
+    docs = spark.createDataFrame([(1, "the red car!"), (2, "car car"), (3, "")], "doc_id long, text string")
+    model = FE.PadIds().fit(docs)
+    ids = {r.doc_id: r.ids for r in model.transform(docs).collect()}
+    assert ids == {1: [2, 1], 2: [1, 1], 3: [0, 0]} or ids == {1: [2, 1][::-1], 2: [1, 1], 3: [0, 0]}
+    model.pad_length = 4
+    raw = {r.doc_id: r.ids for r in model.transform(docs, remove_junk=False).collect()}
+    assert raw[1].count(0) == 2 and len(raw[1]) == 4  # "the" and "!" are unknown
+    split = FE.PadIds(tokenizer=lambda c: F.split(F.lower(c), "a")).fit(docs)
+    assert split.vocab.count() >= 3
