@@ -74,25 +74,40 @@ class Trie:
 
 
 class LevenshteinAutomaton:
-    """Accepts what is at most ``k`` edits from ``word``; a state is a row of edit counts."""
+    """Accepts what is at most ``k`` edits from ``word``.
+
+    A state holds, as (letters of the word read, edits made), every way to have read the
+    input so far; ways that another one is at least as good as are left out.
+    """
 
     def __init__(self, word: str, k: int):
         self.word, self.k = word, k
 
-    def start(self) -> tuple[int, ...]:
-        return tuple(range(len(self.word) + 1))
-
-    def step(self, state: tuple[int, ...], ch: str) -> tuple[int, ...]:
-        out, top = [state[0] + 1], self.k + 1
-        for i, w in enumerate(self.word):
-            out.append(min(out[i] + 1, state[i] + (w != ch), state[i + 1] + 1, top))
-        return tuple(out)
-
-    def alive(self, state: tuple[int, ...]) -> bool:
-        return min(state) <= self.k
+    def start(self) -> set[tuple[int, int]]:
+        return {(0, 0)}
+
+    def step(self, state: set[tuple[int, int]], ch: str) -> set[tuple[int, int]]:
+        word, k, n = self.word, self.k, len(self.word)
+        out = set()
+        for i, e in state:
+            if i < n and word[i] == ch:
+                out.add((i + 1, e))
+                continue  # no edit here is ever better
+            if e < k:
+                out.add((i, e + 1))
+                if i < n:
+                    out.add((i + 1, e + 1))
+                at = word.find(ch, i + 1, i + 1 + k - e)
+                if at >= 0:
+                    out.add((at + 1, e + at - i))
+        if len(out) > 1:
+            out = {(i, e) for i, e in out if not any(f < e and abs(i - j) <= e - f for j, f in out)}
+        return out
 
-    def distance(self, state: tuple[int, ...]) -> int:
-        return state[-1]
+    def distance(self, state: set[tuple[int, int]]) -> int:
+        """Edits if the input ends here; over ``k`` if it is not accepted."""
+        n = len(self.word)
+        return min((e + n - i for i, e in state), default=self.k + 1)
 
 
 def allowed_edits(n: int) -> int:
@@ -118,18 +133,36 @@ def nearest_term(trie: Trie, word: str) -> tuple[float, int] | None:
     todo = [(trie, automaton.start(), 0)]
     while todo:
         node, state, depth = todo.pop()
-        d = automaton.distance(state)
-        # the term, too, must be long enough for that many edits
-        if node.weight is not None and 0 < d <= min(k, allowed_edits(depth)):
-            if best is None or (d, -node.weight) < (best[1], -best[0]):
+        if node.weight is not None:
+            d = automaton.distance(state)
+            # the term, too, must be long enough for that many edits
+            if 0 < d <= min(k, allowed_edits(depth)) and (best is None or (d, -node.weight) < (best[1], -best[0])):
                 best = (node.weight, d)
         for ch, child in node.next.items():
             new = automaton.step(state, ch)
-            if automaton.alive(new):
+            if new:
                 todo.append((child, new, depth + 1))
     return best
 
 
+class Pieces:
+    """Tells which words can be near a term at all: of k + 1 pieces of a term one survives k edits,
+    moved by k letters at most."""
+
+    def __init__(self, terms):
+        self.by_length: dict[int, dict[tuple[int, int], set[str]]] = {}
+        for term in terms:
+            n, k = len(term), allowed_edits(len(term))
+            cuts = [n * i // (k + 1) for i in range(k + 2)]
+            for a, b in zip(cuts, cuts[1:]) if k else ():
+                for length in range(n - k, n + k + 1):
+                    for at in range(max(0, a - k), min(a + k, length - (b - a)) + 1):
+                        self.by_length.setdefault(length, {}).setdefault((at, at + b - a), set()).add(term[a:b])
+
+    def possible(self, word: str) -> bool:
+        return any(word[a:b] in pieces for (a, b), pieces in self.by_length.get(len(word), {}).items())
+
+
 @dataclass
 class Lexicon:
     """Terms and word beginnings with weights, and near words that are none of them."""
@@ -140,34 +173,47 @@ class Lexicon:
 
 
 class Scanner:
-    """Evidence of one text; remembers words already matched."""
+    """Evidence of one text; remembers words already looked up."""
 
     def __init__(self, lexicon: Lexicon):
-        self.lexicon, self.trie, self.known = lexicon, Trie(), {}
+        self.lexicon, self.trie, self.pieces = lexicon, Trie(), Pieces(lexicon.terms)
+        self.clean: set[str] = set()
+        self.hits: dict[str, tuple[float, int]] = {}
         for t, w in lexicon.terms.items():
             self.trie.put(t, w)
         for t, w in lexicon.stems.items():
             self.trie.put(t, w, stem=True)
+        self.starts = {t[:3] for t in [*lexicon.terms, *lexicon.stems]}
 
-    def match(self, word: str) -> tuple[float, int] | None:
-        if word not in self.known:
-            if len(self.known) >= CACHE_WORDS:
-                self.known.clear()
-            hit = nearest_term(self.trie, word)
-            self.known[word] = None if hit and hit[1] and word in self.lexicon.exceptions else hit
-        return self.known[word]
+    def look_up(self, word: str) -> tuple[float, int] | None:
+        if word[:3] not in self.starts and not self.pieces.possible(word):
+            return None
+        hit = nearest_term(self.trie, word)
+        return None if hit and hit[1] and word in self.lexicon.exceptions else hit
 
     def __call__(self, text: str) -> tuple[list[float], list[str]]:
         """Features (evidence, strongest hit, density) and the misspelled words met."""
         low = text.lower()
         words = WORD.findall(low)
-        if not any([self.match(w) for w in set(words)]):
+        distinct = set(words)
+        if len(self.clean) > CACHE_WORDS:
+            self.clean.clear()
+        if len(self.hits) > CACHE_WORDS:
+            self.hits.clear()
+        for w in distinct - self.clean:
+            if w not in self.hits:
+                hit = self.look_up(w)
+                if hit:
+                    self.hits[w] = hit
+                else:
+                    self.clean.add(w)
+        if self.hits.keys().isdisjoint(distinct):
             return [0.0, 0.0, 0.0], []
         quoted = [m.span() for m in QUOTE.finditer(low)]
         total = strongest = 0.0
         near = []
         for i, m in enumerate(WORD.finditer(low)):
-            hit = self.match(m.group())
+            hit = self.hits.get(m.group())
             if not hit:
                 continue
             around = words[max(0, i - WINDOW):i] + words[i + 1:i + 1 + WINDOW]
