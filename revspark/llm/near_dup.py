@@ -285,18 +285,25 @@ def in_blocks(members: DataFrame, group: list[str]) -> DataFrame:
             .withColumn("side", (F.col("_own") > F.col("_o")).cast("int"))
             .withColumn("diagonal", F.col("_own") == F.col("_o"))
             .drop("_m", "_n", "_own", "_o", *group)
-            .repartition("g").sortWithinPartitions("g"))
+            .repartition("g").sortWithinPartitions("g", "key"))
+
+
+def _stars(edges: DataFrame) -> bool:
+    ends = (edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("root"))
+            .unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("root"))))
+    return (ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("root").alias("root"))
+            .where("up > 1 OR (up = 1 AND root = 1)").isEmpty())
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(``node``, ``root``) of every node of the edges (a, b); the root is the least key.
 
-    Alternates large-star and small-star steps, each written out, until the edges stay.
+    Alternates large-star and small-star steps, each written out, until the edges are stars: no node
+    has two edges up, and none that has one is another's root.
     """
     current = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                      .distinct(), "cc")
-    state = None
-    while True:
+    while not _stars(current):
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
         large = staged(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -305,13 +312,9 @@ def components(edges: DataFrame) -> DataFrame:
         joined = large.join(least, "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         new = staged(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "cc")
-        now = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         release(large)
         release(current)
         current = new
-        if now == state:
-            break
-        state = now
     roots = current.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
