@@ -36,7 +36,7 @@ MAX_WASTE = 0.04
 #: Pieces of one class that a task ranks on average.
 BUCKET_ROWS = 8192
 #: Words whose ids a worker remembers before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 
 # What these texts' characters are split into by the vocabulary's own pattern, after
 # lower-casing; texts with any other character go through the tokenizer whole.
