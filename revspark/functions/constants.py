@@ -65,7 +65,6 @@ SAD_WORD = "sad"
 # --- Fixed values: request limits --------------------------------------------
 PAGE_SIZE_DEFAULT = 20
 PAGE_SIZE_MAX = 100
-WRITE_BUFFER_ROWS = 500
 MISSING_TITLE = "NA"
 
 # --- Fixed values: Spark's default English stop-word list --------------------

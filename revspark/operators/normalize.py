@@ -159,11 +159,6 @@ def required_literals(pattern: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(lits))
 
 
-def required_literal(pattern: str) -> str:
-    lits = required_literals(pattern)
-    return lits[0] if len(lits) == 1 else ""
-
-
 def _valid(pattern: str) -> bool:
     try:
         re.compile(pattern)
@@ -197,21 +192,6 @@ def load_rules(path: str | None = None, on_bad_rule: str = "error") -> list[Rule
     return rules
 
 
-def rules_frame(spark, rules: list[Rule]) -> DataFrame:
-    """Rules as a table ``(rule_order, scope_title, pattern, literal, replacement)``."""
-    rows = [(r.order, r.scope_title, r.pattern, "|".join(r.gate), r.replacement) for r in rules]
-    return spark.createDataFrame(
-        rows, "rule_order int, scope_title string, pattern string, literal string, replacement string")
-
-
-def read_rules_json(spark, path: str) -> DataFrame:
-    """The generic rules of a rule file read by Spark, numbered in file order."""
-    raw = spark.read.option("multiLine", True).json(path)
-    return raw.select(F.posexplode("generic").alias("rule_order", "r")).select(
-        "rule_order", F.lit(None).cast("string").alias("scope_title"),
-        F.col("r.term").alias("pattern"), F.col("r.replace").alias("replacement"))
-
-
 def java_pattern(rule: Rule) -> str:
     p = rule.pattern
     if rule.match == "word":
