@@ -378,17 +378,21 @@ def _id_key(column):
 def keep_one_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, one of each group: the one of the least id (of fully repeated rows, one).
 
-    Documents without words are kept.
+    Documents without words are kept, every copy; what has words is decided by the join's own rows.
     """
-    _, classes = link_documents(docs, id_col=id_col, text_col=text_col)
+    signed, classes = link_documents(docs, id_col=id_col, text_col=text_col)
     first = F.min(F.struct(F.col("rep_id").isNull().alias("nul"), "rep_id", "rep_th"))
     keep = (classes.groupBy("root").agg(first.alias("k"))
             .select(_id_key(F.col("k.rep_id")).alias("ik"), F.col("k.rep_th").alias("th")))
+    wordless = signed.where(F.col("key").isNull()).select(_id_key(F.col("doc_id")).alias("ik"), "th")
     rows = docs.select(F.struct("*").alias("row"), _id_key(F.col(id_col)).alias("ik"),
                        F.col(text_col).cast("string").alias("text"))
-    worded = F.coalesce(F.col("text").rlike(r"(?U)\w"), F.lit(False))
+    some = F.coalesce(F.col("text") != "", F.lit(False))
+    hashed = rows.where(some).select("row", "ik", "text", F.xxhash64(F.lit(1), "text").alias("th"))
     # the grouping follows the join's partitioning; it drops the repeats of a repeated row
-    one = (rows.where(worded).select("row", "ik", F.xxhash64(F.lit(1), "text").alias("th"))
-           .join(keep, ["ik", "th"], "left_semi").groupBy("ik", "th").agg(F.first("row").alias("row")))
-    both = one.select("row").unionByName(rows.where(~worded).select("row"))
+    one = (hashed.select("row", "ik", "th").join(keep, ["ik", "th"], "left_semi")
+           .groupBy("ik", "th").agg(F.first("row").alias("row")))
+    # these letters are words by any rule: such texts need not be looked up
+    signs = hashed.where(~F.col("text").rlike("[0-9A-Za-z_]")).join(wordless, ["ik", "th"], "left_semi")
+    both = one.select("row").unionByName(signs.select("row")).unionByName(rows.where(~some).select("row"))
     return both.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -89,6 +89,17 @@ def test_one_of_each_group_stays(spark):
     assert kept == want
 
 
+def test_words_are_decided_once(spark):
+    # no word by the classes' rule, though Java's \\w holds their marks and joiners; then words by theirs, not by Java's
+    signs = ["\u2764\ufe0f", "\U0001f468\u200d\U0001f469\u200d\U0001f467", "\u0301\u0308", "\u203f", "\u2764 \u2764"]
+    words = ["\u00bd", "\u00b2"]
+    rows = [(100 * i + k, t, "s0") for i, t in enumerate(signs + words, 1) for k in range(3)]
+    rows += [(None, signs[0], "s0"), (5, "plain words", "s0"), (6, "plain words", "s0")]
+    df = documents(spark, rows)
+    kept = Counter(r["doc_id"] for r in N.keep_one_per_group(df).collect())
+    assert kept == Counter([d for d, t, _ in rows if t in signs] + [600, 700, 5])
+
+
 def test_empty_table(spark):
     assert N.linked_documents(documents(spark, [])).count() == 0
     assert N.keep_one_per_group(documents(spark, [])).count() == 0
