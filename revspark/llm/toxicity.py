@@ -309,8 +309,8 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
         covered = any(t.startswith(s) for s in stems)
         if not covered and r["tox"] >= 0.9 * r["n"]:
             stems[t] = weight(r)
-    terms = {t: w for t, w in words.items() if not any(t.startswith(s) for s in stems)}
-    return Lexicon(terms, stems)
+    # terms that a stem covers stay: a stem is matched as it is written, a term through its misspellings too
+    return Lexicon(words, stems)
 
 
 def _evidence(lexicon: Lexicon):

@@ -77,6 +77,33 @@ def test_learns_terms_and_scores_held_out_rows(spark):
     assert kept.columns == df.columns and kept.count() == len(rows) - sum(truth.values()) - 1
 
 
+def misspelled(rng, word, at):
+    """One random edit at a letter of ``at``."""
+    i, letters = rng.choice(at), "abcdefghijklmnopqrstuvwxyz"
+    return rng.choice([word[:i] + word[i + 1:], word[:i] + rng.choice(letters) + word[i:],
+                       word[:i] + rng.choice(letters.replace(word[i], "")) + word[i + 1:]])
+
+
+def test_stems_made_by_misspellings_leave_the_term_its_edits(spark):
+    rng = random.Random(8)
+    term, rows, labels = "worthless", [], []
+    for i in range(900):
+        toxic = i % 3 == 0
+        w = sentence(rng, rng.randint(20, 60)).split()
+        if toxic:
+            w.insert(rng.randrange(len(w)), misspelled(rng, term, range(len(term))) if rng.random() < .3 else term)
+        rows.append((i, " ".join(w), "s"))
+        labels.append((i, int(toxic)))
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = T.train(documents(spark, rows), labels)
+    assert any(term.startswith(s) for s in model.lexicon.stems)  # what the misspellings bring about
+    assert term in model.lexicon.terms
+    scan = T.Scanner(model.lexicon)
+    early = {misspelled(rng, term, range(4)) for _ in range(200)}
+    assert not [w for w in early if not scan.look_up(w)]
+    assert T.nearest_term(scan.trie, "w0rthless")[1] == 1
+
+
 def test_copies_do_not_make_terms(spark):
     rows, labels = corpus(spark, 300)
     copied = "only here zanzibar quokka " * 3
