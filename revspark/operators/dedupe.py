@@ -61,17 +61,24 @@ def dedupe_rows(df: DataFrame, key_cols=None, order_col: str | None = None,
 
 
 def drop_seen(new: DataFrame, hist: DataFrame, key_cols=None, within_batch: bool = True,
-              order_col: str | None = None, unique_order: bool = False) -> DataFrame:
+              order_col: str | None = None, unique_order: bool = False,
+              earliest: bool = False) -> DataFrame:
     """Rows of ``new`` whose key is not among the stored rows ``hist``.
 
     ``key_cols`` default: all columns of ``new``. ``within_batch`` also removes
     repeats inside ``new`` (keeping the row with the smallest ``order_col`` when
     given); ``within_batch=False`` keeps them, as a filter that compares the
-    whole batch with the stored set only.
+    whole batch with the stored set only. ``earliest`` lets a stored row hide only those that
+    are not before it in ``order_col`` (a NULL counts as largest).
     """
     cols = list(key_cols) if key_cols else list(new.columns)
-    seen = hist.select(row_key(cols).alias(KEY)).distinct()
     batch = dedupe_rows(new, cols, order_col, unique_order) if within_batch else new
+    if earliest:
+        seen = hist.groupBy(row_key(cols).alias("_key")).agg(F.min(order_col).alias("_least"))
+        keyed = batch.withColumn(KEY, row_key(cols))
+        hides = (F.col(KEY) == F.col("_key")) & (F.col(order_col).isNull() | (F.col("_least") <= F.col(order_col)))
+        return keyed.join(seen, hides, "left_anti").drop(KEY)
+    seen = hist.select(row_key(cols).alias(KEY)).distinct()
     return (batch.withColumn(KEY, row_key(cols))
             .join(seen, KEY, "left_anti").drop(KEY))
 

@@ -10,6 +10,7 @@ library's operators, and most have an equivalent DuckDB SQL string in
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -551,21 +552,24 @@ def text_embedding_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_dedupe")
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events streamed from their file (available-now trigger) into a store that keeps
-    only rows whose (user, type, value) was not stored before; earliest id wins."""
-    import os
-
+    """Events streamed from their files (available-now trigger) into a store that keeps
+    only rows whose (user, type, value) was not stored before with an earlier id; earliest id wins."""
     from revspark.session import scratch_path
     from revspark.streaming import stream as SM
+    events = table(spark, sf_dir, "events")
+    files = events.inputFiles()
+    cols, key = ["event_id", "user_id", "event_type", "value"], ["user_id", "event_type", "value"]
     path = os.path.join(sf_dir, "events.parquet")
-    schema = spark.read.parquet(path).schema
-    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-           .option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-           .select("event_id", "user_id", "event_type", "value"))
+    if len(files) == 1:  # one file is one batch: stream a copy of several that repeat rows
+        path = scratch_path(spark, "events-files")
+        for part in ST.event_deliveries(events.select("ts", *cols)):
+            part.write.mode("append").parquet(path)
+    src = (spark.readStream.schema(spark.read.parquet(path).schema)
+           .option("maxFilesPerTrigger", max(1, len(files) // ST.EVENT_FILES)).parquet(path).select(*cols))
     store = scratch_path(spark, "events-store")
-    SM.run_dedupe(src, store, scratch_path(spark, "events-checkpoint"),
-                  key_cols=["user_id", "event_type", "value"], order_col="event_id", unique_order=True)
-    return spark.read.parquet(store).select("event_id")
+    SM.run_dedupe(src, store, scratch_path(spark, "events-checkpoint"), key_cols=key,
+                  order_col="event_id", unique_order=True, earliest=True)
+    return spark.read.parquet(store).groupBy(*key).agg(F.min("event_id").alias("event_id")).select("event_id")
 
 
 @query("first_pages")
@@ -642,22 +646,21 @@ def csv_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("watermark_dedupe")
 def watermark_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events streamed from their file, deduplicated on id with bounded state
-    (watermark one day on the event time)."""
+    """Events delivered in order of time, with repeats, and streamed delivery by delivery: deduplicated on
+    id with bounded state (watermark one day on the event time; rows more than a day late would not pass)."""
     import uuid
 
     from revspark.session import scratch_path
     from revspark.streaming import stream as SM
-    schema = table(spark, sf_dir, "events").schema
-    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-           .option("pathGlobFilter", "events.parquet").parquet(sf_dir))
-    out = SM.dedupe_within_watermark(src.select("event_id", "ts", "event_type"), "ts",
-                                     ["event_id"], "1 day")
-    store = scratch_path(spark, "events-watermark")
-    q = (out.writeStream.format("parquet").option("path", store)
-         .option("checkpointLocation", scratch_path(spark, "events-watermark-checkpoint"))
-         .queryName(f"watermark_{uuid.uuid4().hex[:8]}").trigger(availableNow=True).start())
-    q.awaitTermination()
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
+    path, store = scratch_path(spark, "events-files"), scratch_path(spark, "events-watermark")
+    checkpoint = scratch_path(spark, "events-watermark-checkpoint")
+    for part in ST.event_deliveries(events):
+        part.write.mode("append").parquet(path)
+        out = SM.dedupe_within_watermark(spark.readStream.schema(events.schema).parquet(path), "ts", ["event_id"], "1 day")
+        q = (out.writeStream.format("parquet").option("path", store).option("checkpointLocation", checkpoint)
+             .queryName(f"watermark_{uuid.uuid4().hex[:8]}").trigger(availableNow=True).start())
+        q.awaitTermination()
     return spark.read.parquet(store).select("event_id", "event_type")
 
 

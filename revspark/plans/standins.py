@@ -15,6 +15,8 @@ from revspark.functions.decode import normalize_language, unix_seconds_of
 from revspark.plans.tables import table
 
 DEV_REPLY = "We are looking into it."
+#: Deliveries of the event stream.
+EVENT_FILES = 4
 
 
 def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,3 +97,17 @@ def review_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("title", "appid", F.lit(1).alias("success"),
                     F.col("page_no").cast("string").alias("cursor"), "reviews"))
 
+
+def event_deliveries(events: DataFrame) -> list[DataFrame]:
+    """``events`` as ``EVENT_FILES`` deliveries in order of ``ts`` (rows without come first).
+
+    Each also repeats the latest quarter of the time range of the one before.
+    """
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = events.select(at.alias("at")).approxQuantile("at", [i / EVENT_FILES for i in range(EVENT_FILES + 1)], 0.01)
+    cuts = cuts or [0.0] * (EVENT_FILES + 1)  # no row has a time
+    out = [events.where(at.isNull() | (at <= F.lit(cuts[1])))]
+    for before, low, high in zip(cuts, cuts[1:], cuts[2:]):
+        part = events.where(at > F.lit(low - (low - before) / 4))
+        out.append(part if len(out) == EVENT_FILES - 1 else part.where(at <= F.lit(high)))
+    return out

@@ -67,13 +67,16 @@ def read_store(spark: SparkSession, store: str, schema) -> DataFrame:
 def dedupe_into_store(store: str, key_cols=None, order_col: str | None = None,
                       log: BatchLog | None = None, partition_col: str | None = None,
                       unique_order: bool = False, stop_when_exhausted: bool = False,
-                      max_batches: int | None = None):
+                      max_batches: int | None = None, earliest: bool = False):
     """``foreachBatch`` function: append only unseen rows of each micro-batch to ``store``.
 
     With ``partition_col`` (e.g. the creation day, which must be part of the
     key) the store is partitioned by it and a batch is compared only with the
     partitions its own rows fall in (NULL is a partition like any).
 
+    ``earliest`` also stores a row whose key is stored with larger ``order_col`` only, so
+    that the least of the stored rows of a key is its earliest, in whatever order files come.
+
     Stop rules: after a batch that added nothing (``stop_when_exhausted``), or after
     ``max_batches`` batches, the next batch is refused and stays uncommitted.
     """
@@ -93,7 +96,7 @@ def dedupe_into_store(store: str, key_cols=None, order_col: str | None = None,
             own = batch.select(F.col(partition_col).alias("_own")).distinct()
             hist = hist.join(own, hist[partition_col].eqNullSafe(own["_own"]), "left_semi")
         new = drop_seen(batch, hist.drop(BATCH_DIR), key_cols=key_cols, order_col=order_col,
-                        unique_order=unique_order)
+                        unique_order=unique_order, earliest=earliest)
         w = new.write.mode("overwrite")
         if partition_col is not None:
             w = w.partitionBy(partition_col)

@@ -135,3 +135,47 @@ def test_score_stream(spark):
     assert sorted((r.doc_id, r.prediction) for r in got.collect()) == [(1, 1), (2, 0)]
     truth = got.withColumn("label", F.when(F.col("doc_id") == 1, 1).otherwise(0))
     assert MD.accuracy(truth).first()[0] == 1.0
+
+
+def _event_dir(spark, parts):
+    """A data folder whose events table is a folder of ``parts`` files, the latest events first (0: one plain file)."""
+    from pyspark.sql import functions as F
+    sf = tempfile.mkdtemp(prefix="revspark-sf-")
+    rows = [(i, i % 7, "view", float(i % 5)) for i in range(400)]
+    df = (spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double")
+          .withColumn("ts", F.timestamp_seconds(1_700_000_000 + F.col("event_id") * 3600)))
+    if parts:
+        for k in reversed(range(parts)):
+            df.where(F.floor(F.col("event_id") * parts / 400) == k).coalesce(1).write.mode("append").parquet(f"{sf}/events.parquet")
+    else:
+        df.coalesce(1).write.parquet(f"{sf}/whole")
+        part = next(f for f in os.listdir(f"{sf}/whole") if f.startswith("part-"))
+        shutil.copy(f"{sf}/whole/{part}", f"{sf}/events.parquet")
+    return sf, rows
+
+
+def test_event_streams_read_whole_tables_in_several_batches(spark, monkeypatch):
+    from revspark.plans.catalog import QUERIES
+    logs, run = [], SM.run_dedupe
+    monkeypatch.setattr(SM, "run_dedupe", lambda *a, **k: logs.append(run(*a, **k)) or logs[-1])
+    for parts in (5, 0):
+        sf, rows = _event_dir(spark, parts)
+        first = {}
+        for i, *key in rows:
+            first.setdefault(tuple(key), i)
+        got = sorted(r[0] for r in QUERIES["stream_dedupe"](spark, sf).collect())
+        assert got == sorted(first.values())
+        assert len(logs[-1].counts) >= 4
+        got = sorted(tuple(r) for r in QUERIES["watermark_dedupe"](spark, sf).collect())
+        assert got == [(i, "view") for i in range(400)]
+
+
+def test_event_deliveries_repeat_rows_and_lose_none(spark):
+    from pyspark.sql import functions as F
+    from revspark.plans import standins as ST
+    df = spark.range(1000).select(F.col("id").alias("event_id"), F.when(F.col("id") > 9, F.timestamp_seconds("id")).alias("ts"))
+    parts = [{r[0] for r in p.select("event_id").collect()} for p in ST.event_deliveries(df)]
+    assert len(parts) == ST.EVENT_FILES and set.union(*parts) == set(range(1000))
+    assert all(a & b for a, b in zip(parts, parts[1:])) and set(range(10)) <= parts[0]
+    assert sum(p.count() for p in ST.event_deliveries(df.where("event_id < 5"))) == 5
+    assert sum(p.count() for p in ST.event_deliveries(df.where("event_id < 0"))) == 0
