@@ -240,7 +240,10 @@ class Model:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int = MAX_LABELLED,
                     columns: tuple[str, ...] = ()) -> DataFrame:
-    """(``text``, ``y``, ``columns``) of about ``bound`` labelled documents outside the held-out fifth, by hash."""
+    """(``text``, ``y``, ``columns``) of about ``bound`` labelled documents outside the held-out fifth, by hash.
+
+    Of the rows that repeat an id one is taken, the first by hash of its content, so the bound holds for rows.
+    """
     known = (labels.where(F.col(label).isin(0, 1) & ~held_out())
              .groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y")))
     n = known.count()
@@ -248,8 +251,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int =
         share = bound / n
         known = known.where(F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     picked = F.broadcast(known)  # bounded by `bound`
-    return (docs.select("doc_id", F.col("text").cast("string").alias("text"), *columns)
-            .join(picked, "doc_id").select("text", "y", *columns))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), *columns).join(picked, "doc_id")
+    # rows that tie on the hash are alike; partial aggregates keep an id that holds most rows small
+    first = F.min(F.struct(F.xxhash64(F.lit(2), "text", *columns).alias("h"), "text", "y", *columns))
+    return rows.groupBy("doc_id").agg(first.alias("r")).select("r.text", "r.y", *[f"r.{c}" for c in columns])
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

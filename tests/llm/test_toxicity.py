@@ -112,6 +112,17 @@ def test_copies_do_not_make_terms(spark):
     assert not {"zanzibar", "quokka"} & set(T.train(documents(spark, rows), labels).lexicon.terms)
 
 
+def test_sample_holds_one_row_of_an_id(spark):
+    rows = [(7, f"text {i} of one id", "s") for i in range(50)] * 2 + [(8, None, "s"), (9, "other", "s")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int").where("doc_id IN (7, 8, 9)")
+    labels = labels.where(~T.held_out())
+    got = T.labelled_sample(documents(spark, rows), labels, "toxic")
+    again = T.labelled_sample(documents(spark, rows[::-1]), labels, "toxic")
+    assert got.columns == ["text", "y"]
+    assert got.count() == labels.count() > 1
+    assert sorted(map(str, got.collect())) == sorted(map(str, again.collect()))
+
+
 def test_awkward_rows_and_no_labels(spark):
     df = documents(spark, awkward())
     none = spark.createDataFrame([], "doc_id long, toxic int")
