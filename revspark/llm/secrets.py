@@ -2,11 +2,14 @@
 
 Three patterns give the base spans. Beyond them, every long run of token
 characters is a candidate; inside it a window slides over the runs of each
-character class (hexadecimal, base 64), and the Shannon entropy of the window is
-kept up to date from the counts of the character that leaves and the one that
-enters. Windows over their class's threshold are joined to ``entropy`` spans,
-unless the allow list knows the candidate (plain words, numbers, UUIDs, paths,
-alphabets, placeholders) or a base span already covers it.
+character class (hexadecimal, base 64, letters of one case with digits), and the
+Shannon entropy of the window is kept up to date from the counts of the character
+that leaves and the one that enters. Windows over their class's threshold are joined
+to ``entropy`` spans, unless the allow list knows the candidate (plain words, numbers,
+UUIDs, paths), the window touches a placeholder or an alphabet, or a base span
+already covers it. A window also needs the mix of its class: 3 digits and a letter
+(hexadecimal); 2 digits and letters of both cases (base 64); two runs of digits between
+letters (one case). Tokens without digits are words and give no span.
 
 Spans are in code points, end exclusive, over the whole text. Defined results:
 null and empty texts have no spans; null ids and repeated rows are scanned like
@@ -35,11 +38,15 @@ MIN_ASSIGNED = 12
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Character class: runs it covers, window length, least bits per character.
 CLASSES = (("hex", re.compile(r"[0-9a-fA-F]{20,}"), 20, 3.0),
-           ("base64", re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 20, 3.7))
+           ("base64", re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 20, 3.7),
+           ("lower", re.compile(r"[a-z0-9]{20,}"), 20, 3.4),
+           ("upper", re.compile(r"[A-Z0-9]{20,}"), 20, 3.4))
 ALLOWED = (re.compile(r"[A-Za-z/_=-]*\Z"), re.compile(r"[0-9/_=+-]*\Z"),
            re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z"),
-           re.compile(r"[a-z0-9]{0,18}([/_-][a-z0-9]{0,18})+\Z"),
-           re.compile(r".*(example|placeholder|changeme|x{6,}|0123456789|abcdefghij)", re.IGNORECASE))
+           re.compile(r"[a-z0-9]{0,18}([/_-][a-z0-9]{0,18})+\Z"))
+#: Parts of a candidate that no window may touch.
+MARKS = re.compile(r"example|placeholder|changeme|x{6,}|0123456789|abcdefghij", re.IGNORECASE)
+DIGITS = re.compile(r"[0-9]+")
 
 SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 
@@ -81,6 +88,8 @@ def _mixed(kind: str, part: str) -> bool:
     digits = sum(c.isdigit() for c in part)
     if kind == "hex":
         return 3 <= digits < len(part)
+    if kind in ("lower", "upper"):
+        return digits < len(part) and len(DIGITS.findall(part)) >= 2
     return digits >= 2 and any(c.islower() for c in part) and any(c.isupper() for c in part)
 
 
@@ -91,11 +100,13 @@ def entropy_spans(text: str) -> list[tuple[int, int, int]]:
         candidate = m.group()
         if any(a.match(candidate) for a in ALLOWED):
             continue
+        marks = [x.span() for x in MARKS.finditer(candidate)]
         for kind, runs, width, least in CLASSES:
             for r in runs.finditer(candidate):
-                for i, bits in enumerate(window_entropies(r.group(), width)):
-                    if bits >= least and _mixed(kind, r.group()[i:i + width]):
-                        found.append((m.start() + r.start() + i, m.start() + r.start() + i + width))
+                for i, bits in enumerate(window_entropies(r.group(), width), r.start()):
+                    if (bits >= least and not any(a < i + width and i < b for a, b in marks)
+                            and _mixed(kind, candidate[i:i + width])):
+                        found.append((m.start() + i, m.start() + i + width))
     joined: list[list[int]] = []
     for start, end in sorted(found):
         if joined and start <= joined[-1][1]:
