@@ -368,16 +368,20 @@ def training_sequences(pages: list[str], encode: Encoder, variants: int = VARIAN
 
 
 def train(pages: DataFrame, html_col: str = "html", bound: int = TRAIN_PAGES) -> BlockLabeller:
-    """Fit the labeller on ``bound`` pages, the first by hash of their html.
+    """Fit the labeller on ``bound`` distinct pages, the first by hash of their html.
 
-    Only pages of a hash range that holds about twice as many are ordered, so the tasks of
-    a large table send few pages each.
+    Only pages of a hash range that holds about twice as many distinct ones are ordered, so the tasks of
+    a large table send few pages each; were the range empty, all pages are.
     """
-    rows = pages.select(F.col(html_col).cast("string").alias("html"))
     hashed = F.xxhash64("html")
-    share = min(1.0, 2 * bound / max(1, rows.count()))
-    sample = (rows.where((F.length("html") > 0) & (F.pmod(hashed, F.lit(1 << 30)) < int(share * (1 << 30))))
-              .orderBy(hashed, "html").limit(bound).collect())
+    rows = pages.select(F.col(html_col).cast("string").alias("html")).where(F.length("html") > 0)
+    share = min(1.0, 2 * bound / max(1, rows.select(hashed.alias("h")).distinct().count()))
+
+    def first(share: float) -> list:
+        near = rows.where(F.pmod(hashed, F.lit(1 << 30)) < int(share * (1 << 30)))
+        return near.dropDuplicates(["html"]).orderBy(hashed, "html").limit(bound).collect()
+
+    sample = first(share) or first(1.0)
     encode = Encoder()
     model = BlockLabeller(PATH_DIM + WORD_DIM + SHAPE_DIM)
     sequences = training_sequences([r["html"] for r in sample], encode)

@@ -73,3 +73,14 @@ def test_awkward_pages(spark, model):
     assert got[3] == [" ".join(["a b"] * 5000)]
     empty = df.limit(0)
     assert P.extract_text(empty, P.train(empty)).count() == 0
+
+
+def test_training_pages_are_distinct_and_never_none(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(P, "training_sequences", lambda pages, encode: seen.append(pages) or [])
+    rows = [(i, f"<p>page {i % 5}</p>") for i in range(500)] + [(1000, None), (1001, "")]
+    df = spark.createDataFrame(rows, "page_id long, html string")
+    for bound in (1, 4, 5, 50):
+        P.train(df, bound=bound)
+        assert len(seen[-1]) == len(set(seen[-1])) and 1 <= len(seen[-1]) <= bound
+    assert len(seen[-1]) == 5
