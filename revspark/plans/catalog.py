@@ -540,7 +540,7 @@ def text_embedding_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "pooled")  # read many times below: pool once
     pooled.write.parquet(path)
     split = SP.stratified_split(spark.read.parquet(path), "label", "doc_id", 0.25)
-    fitted = MD.embedding_classifier(split.filter(~F.col("is_test")), max_iter=30)
+    fitted = MD.embedding_classifier(split.filter(~F.col("is_test")))
     from pyspark.ml.functions import array_to_vector
     val = split.filter(F.col("is_test")).select(
         "doc_id", "label", array_to_vector(F.col("pooled").cast("array<double>")).alias("features"))
