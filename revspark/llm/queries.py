@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revspark.llm import ann, mixing, near_dup, packing, page_text, quality, secrets, sharding, topk, toxicity
+from revspark.llm import ann, divergence, mixing, near_dup, packing, page_text, quality, secrets, sharding, topk, toxicity
 from revspark.llm.common import held_out, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score(docs, model, keep=["doc_id"])
     return scored.select(F.col("row.doc_id").alias("doc_id"), held_out("row.doc_id").alias("held_out"), "score",
                          F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "text_score", "meta_score")
+
+
+@query
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence between the sources of each language over all documents."""
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
