@@ -62,3 +62,19 @@ def ranked(rows: DataFrame, key: list[str], bucket: str, order: list, out: str =
             .join(offsets, [*key, bucket])
             .withColumn(out, (F.col("_r") + F.col("_off")).cast("long"))
             .drop("_r", "_off"))
+
+
+#: Most rows, and bytes of their columns as Spark estimates them, of a table that may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+
+
+def sized_broadcast(table: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``table`` marked for broadcast if it is counted to be small, else as it is (joined by shuffle).
+
+    ``table`` should be a staged one, as counting reads it.
+    """
+    widths = [F.sum(F.coalesce(F.length(c), F.lit(0))) if t in ("string", "binary") else F.sum(F.coalesce(F.size(c), F.lit(0))) * 32
+              for c, t in table.dtypes if t in ("string", "binary") or t.startswith("array")]
+    found = table.agg(F.count(F.lit(1)), *widths).first()
+    heavy = sum(int(x or 0) for x in found[1:]) + 16 * found[0] * len(table.columns)
+    return F.broadcast(table) if found[0] <= rows and heavy <= size else table

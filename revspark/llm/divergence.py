@@ -44,21 +44,21 @@ SMOOTH = 5
 _CHUNKS = "block long, chunk_no int, chunk string, docs int, langs array<string>, sources array<string>, body binary"
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray) -> bytes:
     """Compressed little-endian 32-bit arrays behind their lengths."""
     head = np.array([len(a) for a in arrays], "<i4")
     raw = b"".join([head.tobytes(), *(a.astype("<i4").tobytes() for a in arrays)])
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _unpack(body: bytes, n: int) -> list[np.ndarray]:
+def unpack(body: bytes, n: int) -> list[np.ndarray]:
     size = int.from_bytes(body[:8], "little")
     raw = np.frombuffer(pa.decompress(body[8:], decompressed_size=size, codec="zstd", asbytes=True), "<i4")
     cuts = np.cumsum(raw[:n])
     return [raw[n + a:n + b].astype(np.int64) for a, b in zip(np.r_[0, cuts[:-1]], cuts)]
 
 
-def _pairs(a: np.ndarray, b: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def pairs_of(a: np.ndarray, b: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pairs (a, b) with b < width, and the number of each entry's pair."""
     codes, keys = pd.factorize(a * max(width, 1) + b)
     return keys // max(width, 1), keys % max(width, 1), codes
@@ -72,17 +72,17 @@ def _factorise(batches):
     for i, rows in enumerate(packs(batches, "text", BLOCK)):
         spans = find_spans(*column_bytes(rows.column("text")), CHUNK)
         chunk, first = distinct_spans(spans)
-        doc, chunk, codes = _pairs(spans.row, chunk, len(first))
+        doc, chunk, codes = pairs_of(spans.row, chunk, len(first))
         count = np.bincount(codes, minlength=len(doc))
         langs, sources = (rows.column(c).combine_chunks().dictionary_encode() for c in ("lang", "source"))
         langs, sources = (pa.concat_arrays(x.chunks) if isinstance(x, pa.ChunkedArray) else x for x in (langs, sources))
-        lang_no, source_no, group = _pairs(langs.indices.to_numpy().astype(np.int64),
+        lang_no, source_no, group = pairs_of(langs.indices.to_numpy().astype(np.int64),
                                            sources.indices.to_numpy().astype(np.int64), len(sources.dictionary))
         group_langs = langs.dictionary.take(pa.array(lang_no)).to_pylist()
         group_sources = sources.dictionary.take(pa.array(source_no)).to_pylist()
         yield pa.RecordBatch.from_pydict({
             "block": [base + i], "chunk_no": [None], "chunk": [None], "docs": [None], "langs": [group_langs],
-            "sources": [group_sources], "body": [_pack(group, np.bincount(doc, minlength=len(group)), chunk, count)],
+            "sources": [group_sources], "body": [pack(group, np.bincount(doc, minlength=len(group)), chunk, count)],
         }, schema=schema)
         docs = np.bincount(chunk, minlength=len(first))
         for at in range(0, len(first), 1 << 16):
@@ -103,7 +103,7 @@ def _count_terms(terms: pa.Table, block: pa.Table) -> pa.Table:
                         ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
     if terms.num_rows == 0 or block.num_rows == 0:
         return schema.empty_table()
-    group, per_doc, chunk, count = _unpack(block.column("body")[0].as_py(), 4)
+    group, per_doc, chunk, count = unpack(block.column("body")[0].as_py(), 4)
     group_langs, group_sources = block.column("langs")[0].as_py(), block.column("sources")[0].as_py()
 
     # the terms of chunk number c: term_of[begin[c]:begin[c] + size[c]]
@@ -124,10 +124,10 @@ def _count_terms(terms: pa.Table, block: pa.Table) -> pa.Table:
     count, term = count * times[at], term_of[at]
 
     n_terms = len(coded.dictionary)
-    in_doc, in_term, codes = _pairs(doc, term, n_terms)
-    count = _sums(codes, count, len(in_doc))
-    g, t, codes = _pairs(group[in_doc], in_term, n_terms)
-    docs, count = np.bincount(codes, minlength=len(g)), _sums(codes, count, len(g))
+    in_doc, in_term, codes = pairs_of(doc, term, n_terms)
+    count = sums_of(codes, count, len(in_doc))
+    g, t, codes = pairs_of(group[in_doc], in_term, n_terms)
+    docs, count = np.bincount(codes, minlength=len(g)), sums_of(codes, count, len(g))
 
     langs = {x: i for i, x in enumerate(dict.fromkeys(group_langs))}
     lang_no = np.array([langs[x] for x in group_langs], np.int64)[g]
@@ -142,7 +142,7 @@ def _count_terms(terms: pa.Table, block: pa.Table) -> pa.Table:
         pa.ListArray.from_arrays(cuts, pa.array(count, pa.int64()))], schema=schema)
 
 
-def _sums(codes: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+def sums_of(codes: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Exact integer sums of ``values`` by code."""
     out = np.zeros(n, np.int64)
     np.add.at(out, codes, values)

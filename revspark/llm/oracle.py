@@ -79,3 +79,57 @@ u AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM u)
 SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 50
 """
+
+ORACLE["op12_decontamination"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+b AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark),
+i AS (
+  SELECT DISTINCT item, least(len(words), 10) AS span,
+         unnest(list_transform(range(1, len(words) - least(len(words), 10) + 2),
+                               lambda p: array_to_string(words[p:p + least(len(words), 10) - 1], ' '))) AS win
+  FROM b WHERE len(words) > 0),
+s AS (SELECT DISTINCT span FROM i),
+w AS (
+  SELECT doc, span, unnest(range(1, len(words) - span + 2)) AS start,
+         unnest(list_transform(range(1, len(words) - span + 2), lambda p: array_to_string(words[p:p + span - 1], ' '))) AS win
+  FROM d, s WHERE len(words) >= span),
+h AS (SELECT w.doc, w.start, w.span, i.item FROM w JOIN i USING (span, win)),
+c AS (
+  SELECT doc, count(*) AS n_hit
+  FROM (SELECT DISTINCT doc, unnest(range(start, start + span)) AS word FROM h) GROUP BY doc),
+n AS (SELECT doc, list_sort(list(DISTINCT item)) AS items FROM h GROUP BY doc)
+SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_hit,
+       coalesce(len(n.items), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(n.items, ','), '')) AS items_sha256,
+       coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc) LEFT JOIN n USING (doc)
+"""
+
+ORACLE["op13_lexical_search"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+g AS (SELECT count(*) AS docs, sum(len(terms))::BIGINT AS total FROM d WHERE len(terms) > 0),
+o AS (SELECT doc, unnest(terms) AS term FROM d),
+p AS (SELECT doc, term, count(*) AS tf FROM o GROUP BY doc, term),
+f AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, g GROUP BY term, docs),
+m AS (SELECT doc, doc_id, 100 - 25 + (25 * len(terms) * docs) // total AS m FROM d, g WHERE len(terms) > 0),
+b AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+s AS (
+  SELECT b.item_id, m.doc, m.doc_id, sum(f.w * ((1000000000 * p.tf) // (1000 * p.tf + 12 * m.m)))::BIGINT AS score
+  FROM b JOIN p USING (term) JOIN f USING (term) JOIN m USING (doc) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
+"""

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revspark.llm import ann, divergence, mixing, near_dup, packing, page_text, quality, secrets, sharding, topk, toxicity
+from revspark.llm import ann, divergence, lexical, mixing, near_dup, packing, page_text, quality, secrets, sharding, topk, toxicity, winnow
 from revspark.llm.common import held_out, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Divergence between the sources of each language over all documents."""
     return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages of ten words in every document."""
+    found = winnow.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
