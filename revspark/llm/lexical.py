@@ -29,7 +29,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -209,10 +208,12 @@ def _rows(best: list[_Best]) -> pa.RecordBatch:
 def _round(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame | None:
     """Results of the items of ``wanted`` (``item``, ``term``, ``times``), a bounded number."""
     spark = docs.sparkSession
-    pairs = wanted.toPandas()
-    if not len(pairs):
+    asked_of: dict = {}
+    for r in wanted.select("item", "term", "times").collect():  # QUERY_PAIRS of them, on average
+        asked_of.setdefault(r["item"], []).append((r["term"], r["times"]))
+    if not asked_of:
         return None
-    terms = sorted(set(pairs["term"]))
+    terms = sorted({t for asked in asked_of.values() for t, _ in asked})
     numbers = {t: i for i, t in enumerate(terms)}
     blocks = staged(docs.mapInArrow(_index(terms), _INDEX), "lexical-blocks")
     total = blocks.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"),
@@ -225,11 +226,11 @@ def _round(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame | None:
           .agg(F.sum("h.df").alias("df")).collect()}
     weight = {t: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * n + 1))) for t, n in df.items()}
     ids, queries = [], []
-    for item, rows in pairs.groupby("item", dropna=False, sort=False):
-        ids.append((len(ids), None if pd.isna(item) else item))
-        asked = [(numbers[t], n) for t, n in zip(rows["term"], rows["times"]) if numbers[t] in df]
-        short = [(t, weight[t] * int(n)) for t, n in asked if df[t] <= SHORT * n_docs]
-        long = [(t, weight[t] * int(n)) for t, n in asked if df[t] > SHORT * n_docs]
+    for item, of_item in asked_of.items():
+        ids.append((len(ids), item))
+        asked = [(numbers[t], n) for t, n in of_item if numbers[t] in df]
+        short = [(t, weight[t] * n) for t, n in asked if df[t] <= SHORT * n_docs]
+        long = [(t, weight[t] * n) for t, n in asked if df[t] > SHORT * n_docs]
         queries.append((short, long))
 
     schema = "query int, doc_id long, score long"
