@@ -136,9 +136,11 @@ def _as_of(reviews: DataFrame) -> int:
 
 @query("day_range")
 def day_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reviews created within 7 days before the newest one (order mode "all")."""
+    """Reviews created within 7 days before a day that lies 7 days after the middle of their time
+    span, so that the older half goes (order mode "all")."""
     reviews = _reviews(spark, sf_dir, extra=True)
-    q = QY.ReviewQuery(order="all", day_range=7, as_of=_as_of(reviews))
+    span = reviews.agg(F.min("timestamp_created").alias("a"), F.max("timestamp_created").alias("b")).first()
+    q = QY.ReviewQuery(order="all", day_range=7, as_of=(span["a"] + span["b"]) // 2 + 7 * 86400)
     return q.apply(reviews).select("recommendation_id", "timestamp_created")
 
 
@@ -163,12 +165,9 @@ def cursor_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("helpful_pages")
 def helpful_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two most helpful pages (50 each) of reviews created within the last 15 minutes
-    before the newest one (order mode "all", ties by id)."""
-    reviews = _reviews(spark, sf_dir, extra=True)
+    """The two most helpful pages (50 each) of all reviews (order mode "all", ties by id)."""
     q = QY.ReviewQuery(order="all", per_page=50, language="all")
-    recent = reviews.filter(F.col("timestamp_created") >= _as_of(reviews) - 900)
-    return QY.first_pages(recent, q, 2).select("recommendation_id", "weighted_vote_score")
+    return QY.first_pages(_reviews(spark, sf_dir, extra=True), q, 2).select("recommendation_id", "weighted_vote_score")
 
 
 @query("review_days")
@@ -574,8 +573,8 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("first_pages")
 def first_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three pages (20 reviews each) of positive German reviews, newest first."""
-    q = QY.ReviewQuery(language="german", review_type="positive", order="recent")
+    """The first three pages (20 reviews each) of positive English reviews, newest first."""
+    q = QY.ReviewQuery(language="english", review_type="positive", order="recent")
     return QY.first_pages(_reviews(spark, sf_dir), q, 3).select(
         "recommendation_id", "timestamp_created")
 
@@ -629,19 +628,21 @@ def incremental_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("csv_store")
 def csv_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The review table stored as CSV (new store, then an append that repeats every
-    row, as a resumed load does), read back typed (stray headers and bad rows
-    rejected) and deduplicated on all columns."""
+    """The review table, with texts of every awkward kind, stored as CSV: first the positive reviews,
+    then a resumed load of all reviews that stores those not stored yet, and that load once more
+    (it replaces itself). Read back typed, each review is there once."""
     from revspark.session import scratch_path
     from revspark.sources import reviews as RV
     path = scratch_path(spark, "reviews-csv")
-    flat = _reviews(spark, sf_dir)
-    RV.write_reviews(flat, path, mode="new", fmt="csv")
-    RV.write_reviews(flat, path, mode="append", fmt="csv")
-    back = RV.read_reviews(spark, path, strict=False)
-    out = DD.dedupe_rows(back)
-    return out.select("recommendation_id", "title", "language", F.md5("review").alias("review_md5"),
-                      "timestamp_created", "voted_up", "votes_funny", "developer_response")
+    flat = ST.awkward_texts(_reviews(spark, sf_dir))
+    RV.write_reviews(flat.filter("voted_up"), path, mode="new", fmt="csv", load="first")
+    new = DD.drop_seen(flat, RV.read_reviews(spark, path))
+    RV.write_reviews(new, path, mode="append", fmt="csv", load="resumed")
+    again = DD.drop_seen(flat, RV.read_reviews(spark, path).filter("voted_up"))
+    RV.write_reviews(again, path, mode="append", fmt="csv", load="resumed")
+    return RV.read_reviews(spark, path, strict=True).select(
+        "recommendation_id", "title", "language", F.md5("review").alias("review_md5"),
+        "timestamp_created", "voted_up", "votes_funny", "developer_response")
 
 
 @query("watermark_dedupe")

@@ -98,7 +98,7 @@ SELECT recommendation_id, language FROM reviews WHERE language = 'french'"""
 
 ORACLE["day_range"] = f"""WITH {REVIEWS_CTE}
 SELECT recommendation_id, timestamp_created FROM reviews
-WHERE timestamp_created >= (SELECT max(timestamp_created) FROM reviews) - 7 * 86400"""
+WHERE timestamp_created >= (SELECT (min(timestamp_created) + max(timestamp_created)) // 2 FROM reviews)"""
 
 ORACLE["recent_page"] = f"""WITH {REVIEWS_CTE}
 SELECT recommendation_id, timestamp_created, language FROM reviews
@@ -277,7 +277,7 @@ SELECT min(event_id) AS event_id FROM events GROUP BY user_id, event_type, value
 
 ORACLE["first_pages"] = f"""WITH {REVIEWS_CTE}
 SELECT recommendation_id, timestamp_created FROM reviews
-WHERE language = 'german' AND voted_up
+WHERE language = 'english' AND voted_up
 ORDER BY timestamp_created DESC, recommendation_id DESC LIMIT 60"""
 
 ORACLE["sentiment_table"] = f"""WITH {REVIEWS_CTE}
@@ -293,14 +293,18 @@ SELECT recommendation_id, steam_id, language, md5(review) AS review_md5, timesta
 FROM d WHERE rn = 1"""
 
 ORACLE["csv_store"] = f"""WITH {REVIEWS_CTE}
-SELECT DISTINCT recommendation_id, title, language, md5(review) AS review_md5, timestamp_created,
-       voted_up, votes_funny, developer_response FROM reviews"""
+SELECT recommendation_id, title, language,
+       md5(CASE recommendation_id % 8
+           WHEN 0 THEN '  ' || review || '  ' WHEN 1 THEN review || chr(9)
+           WHEN 2 THEN replace(review, chr(10), chr(13) || chr(10)) || chr(13) || chr(10)
+           WHEN 3 THEN '' WHEN 4 THEN NULL WHEN 5 THEN '"' || review || '","' WHEN 6 THEN chr(92) || 'N'
+           ELSE review END) AS review_md5,
+       timestamp_created, voted_up, votes_funny, developer_response FROM reviews"""
 
 ORACLE["watermark_dedupe"] = "SELECT DISTINCT event_id, event_type FROM events"
 
 ORACLE["helpful_pages"] = f"""WITH {REVIEWS_CTE}
 SELECT recommendation_id, weighted_vote_score FROM reviews
-WHERE timestamp_created >= (SELECT max(timestamp_created) FROM reviews) - 900
 ORDER BY weighted_vote_score DESC NULLS LAST, recommendation_id DESC LIMIT 100"""
 
 ORACLE["review_days"] = f"""WITH {REVIEWS_CTE},

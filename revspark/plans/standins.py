@@ -111,3 +111,12 @@ def event_deliveries(events: DataFrame) -> list[DataFrame]:
         part = events.where(at > F.lit(low - (low - before) / 4))
         out.append(part if len(out) == EVENT_FILES - 1 else part.where(at <= F.lit(high)))
     return out
+
+
+def awkward_texts(reviews: DataFrame) -> DataFrame:
+    """Seven of eight reviews get a text that a store may spoil: spaces and tabs at its ends, CRLF line
+    breaks, no characters, NULL, quotes and commas, the store's own mark for NULL."""
+    kinds = ["'  ' || review || '  '", r"review || '\t'", r"replace(review, '\n', '\r\n') || '\r\n'", "''",
+             "CAST(NULL AS STRING)", """'"' || review || '","'""", r"'\\N'", "review"]
+    cases = " ".join(f"WHEN {i} THEN {k}" for i, k in enumerate(kinds))
+    return reviews.withColumn("review", F.expr(f"CASE pmod(recommendation_id, 8) {cases} END"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from revspark.functions.constants import MISSING_TITLE
 from revspark.operators.flatten import flatten_reviews
 from revspark.schemas import ENVELOPE, FLAT_REVIEW, SENTIMENT
 from revspark.session import path_exists
+from revspark.sources import csvio
+from revspark.sources.log import commit, committed_files, has_log, manifests
 
 
 def read_review_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -27,34 +31,34 @@ CORRUPT = "_corrupt_line"
 REQUIRED = ("recommendation_id", "timestamp_created", "voted_up")
 
 
-def _csv_strings(spark: SparkSession, path: str, columns) -> DataFrame:
-    schema = ", ".join(f"`{c}` STRING" for c in [*columns, CORRUPT])
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("escape", '"').option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", CORRUPT).csv(path))
-
-
 def read_reviews(spark: SparkSession, path: str, strict: bool = False,
-                 with_validity: bool = False) -> DataFrame:
-    """Stored flat review CSV, typed.
+                 with_validity: bool = False, fmt: str = "csv") -> DataFrame:
+    """Stored flat reviews, typed: the files a store's log names, or all files of a path without one.
+
+    Texts come back as :func:`write_reviews` got them. A field with nothing between its commas,
+    which other writers leave for an empty text, is the flat table's default: "NA" for title and
+    product id, "" for other texts, NULL for the rest.
 
-    Every column is read as a string and cast with ``try_cast``; a row is valid
+    Every CSV column is read as a string and cast with ``try_cast``; a row is valid
     when it has all fields, its required ones are present and every non-null source
     value converted. ``strict`` raises on the first
     invalid row (one small action); otherwise invalid rows are dropped, or kept
     with ``is_valid`` when ``with_validity``. Stray header rows (from appending
     to a file that already had one) are invalid rows, never data.
     """
-    raw = _csv_strings(spark, path, [f.name for f in FLAT_REVIEW.fields])
-    # CSV can not tell an empty field from a missing one: apply the flat
-    # table's defaults ("" for no developer reply, "NA" for no title / id).
-    defaults = {"developer_response": "", "title": MISSING_TITLE, "appid": MISSING_TITLE}
+    files = committed_files(spark, path)
+    if not files:  # every load so far was empty
+        return spark.createDataFrame([], FLAT_REVIEW)
+    if fmt != "csv":
+        return spark.read.schema(FLAT_REVIEW).parquet(*files)
+    raw = csvio.read_csv(spark, files, FLAT_REVIEW.fieldNames(), CORRUPT)
+    defaults = {"title": MISSING_TITLE, "appid": MISSING_TITLE}
     cols, checks = [], []
     for f in FLAT_REVIEW.fields:
         src = F.col(f.name)
         if f.dataType.simpleString() == "string":
-            out = F.coalesce(src, F.lit(defaults[f.name])) if f.name in defaults else src
-            cols.append(out.alias(f.name))
+            absent = F.array_contains(csvio.ABSENT, f.name)
+            cols.append(F.when(absent, F.lit(defaults.get(f.name, ""))).otherwise(src).alias(f.name))
             continue
         typed = F.lower(src).try_cast(f.dataType) if f.dataType.simpleString() == "boolean" \
             else src.try_cast(f.dataType)
@@ -74,27 +78,44 @@ def read_reviews(spark: SparkSession, path: str, strict: bool = False,
 
 
 def read_sentiment_csv(spark: SparkSession, path: str) -> DataFrame:
-    """The sentiment table (title, user_review, user_suggestion, votes_up, votes_funny)."""
-    return (spark.read.schema(SENTIMENT).option("header", True).option("multiLine", True)
-            .option("escape", '"').csv(path))
+    """The sentiment table (title, user_review, user_suggestion, votes_up, votes_funny).
+
+    An empty text is "", a number that is none NULL; records with too few or too many fields go.
+    """
+    raw = csvio.read_csv(spark, path, SENTIMENT.fieldNames(), CORRUPT).where(F.col(CORRUPT).isNull())
+    cols = []
+    for f in SENTIMENT.fields:
+        src = F.col(f.name)
+        if f.dataType.simpleString() == "string":
+            cols.append(F.when(F.array_contains(csvio.ABSENT, f.name), F.lit("")).otherwise(src).alias(f.name))
+        else:
+            cols.append(src.try_cast(f.dataType).alias(f.name))
+    return raw.select(*cols)
 
 
-def write_reviews(df: DataFrame, path: str, mode: str = "new", fmt: str = "parquet") -> None:
-    """Store flat review rows.
+def write_reviews(df: DataFrame, path: str, mode: str = "new", fmt: str = "parquet", load: str | None = None) -> None:
+    """Store flat review rows as one load of a store with a commit log.
 
-    ``mode="new"`` refuses an existing path; ``mode="append"`` requires one (a
-    resume never starts a fresh store by accident). CSV gets a header in every
-    part file; Parquet is the better store (typed, splittable, prunable).
+    ``mode="new"`` refuses an existing store; ``mode="append"`` requires one (a
+    resume never starts a fresh store by accident). Rows count once the load is
+    published; a load repeated under its name ``load`` replaces itself. A store that a failed
+    first load left without any published one counts as not existing. CSV gets a header in
+    every part file; Parquet is the better store (typed, prunable).
     """
     spark = df.sparkSession
-    exists = path_exists(spark, path)
-    if mode == "new" and exists:
+    exists = path_exists(spark, path) and committed_files(spark, path) != []
+    started = exists and load is not None and load in manifests(spark, path)
+    if mode == "new" and exists and not started:
         raise FileExistsError(path)
     if mode == "append" and not exists:
         raise FileNotFoundError(path)
-    w = df.select(*[F.col(c) for c in FLAT_REVIEW.fieldNames()]).write \
-        .mode("errorifexists" if mode == "new" else "append")
-    if fmt == "csv":
-        w.option("header", True).option("escape", '"').csv(path)
-    else:
-        w.parquet(path)
+    if exists and not has_log(spark, path):
+        raise ValueError(f"{path} has no commit log; copy it to a new store first")
+    rows = df.select(*[F.col(c).cast(FLAT_REVIEW[c].dataType) for c in FLAT_REVIEW.fieldNames()])
+
+    def write(folder: str) -> None:
+        if fmt == "csv":
+            csvio.write_csv(rows, folder)
+        else:
+            rows.write.parquet(folder)
+    commit(spark, path, load or uuid.uuid4().hex, write)
