@@ -81,6 +81,16 @@ def _boundary(counts: DataFrame, label_col: str, bucket: str, need: str) -> Data
 
 def stratified_folds(df: DataFrame, label_col: str, id_col: str, k: int = 5,
                      seed: int = K.SEED) -> DataFrame:
-    """``df`` plus an int ``fold`` in ``0..k-1``: uniform hash buckets inside each stratum."""
-    hnum = F.conv(F.substring(order_hash(id_col, seed + 1), 1, 15), 16, 10).cast("bigint")
-    return df.withColumn("fold", F.pmod(hnum, F.lit(k)).cast("int"))
+    """``df`` plus an int ``fold`` in ``0..k-1``: in each stratum the folds differ by one row at most.
+
+    The fold is the row's rank in the stratum's hash order, modulo ``k``. Ranks come from counts
+    per 16-bit bucket of the hash, so a stratum is ranked by many tasks. Rows of equal id tie.
+    """
+    h = df.withColumn("_h", order_hash(id_col, seed + 1)).withColumn("_b", F.substring("_h", 1, BUCKET_HEX))
+    label = F.col(label_col)
+    counts = h.groupBy(label.alias("_s"), F.col("_b").alias("_t")).agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy("_s").orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_s", "_t", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    rank = F.row_number().over(Window.partitionBy(label_col, "_b").orderBy("_h")) - 1
+    placed = h.withColumn("_r", rank).join(offsets, label.eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_t")))
+    return placed.select(*[F.col(c) for c in df.columns], F.pmod(F.col("_r") + F.col("_off"), F.lit(k)).cast("int").alias("fold"))

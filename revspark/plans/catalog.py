@@ -665,6 +665,54 @@ def watermark_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(store).select("event_id", "event_type")
 
 
+def _search_data(spark, sf_dir):
+    """Vectoriser and vectors (unigrams) of the train split with label and fold, and the test split."""
+    split = SP.stratified_folds(SP.stratified_split(_labelled_docs(spark, sf_dir), "label", "doc_id", 0.25), "label", "doc_id", 5)
+    train = split.filter(~F.col("is_test"))
+    vec = MD.fit_vectorizer(train, 1, 1)
+    return vec, vec.transform(train, keep=[F.col("label").cast("double").alias("label"), "fold"]), split.filter(F.col("is_test"))
+
+
+def _search_result(found, vec, test: DataFrame) -> DataFrame:
+    pred = MD.predict(found.model, vec, test)
+    return pred.join(test.select("doc_id", F.col("label").cast("int").alias("label")), "doc_id")
+
+
+@query("folds")
+def folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five exactly stratified folds of all labelled documents."""
+    lab = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return SP.stratified_folds(lab, "label", "doc_id", 5)
+
+
+@query("logistic_search")
+def logistic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logistic regression, C sampled from 1..50, 5 stratified folds, all 60 models by the same passes over
+    the train split; predictions for the test split. Unigram TF-IDF features."""
+    vec, train, test = _search_data(spark, sf_dir)
+    return _search_result(MD.logistic_search(train), vec, test)
+
+
+@query("linear_search")
+def linear_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hinge loss with l1, l2 or elastic net penalty, 10 of 18 candidates, 5 stratified folds, all 60 models by
+    the same passes over the train split; predictions for the test split. Unigram TF-IDF features."""
+    vec, train, test = _search_data(spark, sf_dir)
+    return _search_result(MD.linear_search(train), vec, test)
+
+
+@query("search_accuracy")
+def search_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of right predictions, on the test split, of the ridge logistic model with C = 1."""
+    vec, train, test = _search_data(spark, sf_dir)
+    from revspark.operators import linear as LN
+    rows = LN.Rows(train)
+    weights, intercept, _ = LN.fit_models(rows, [LN.Penalty(1.0 / train.count())], [-1], "logistic", MD.TOL_LOGISTIC)
+    model = LN.LinearModel(weights[:, 0], float(intercept[0]))
+    pred = MD.predict(model, vec, test).join(test.select("doc_id", "label"), "doc_id")
+    return MD.accuracy(pred)
+
+
 @query("svm_search")
 def svm_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Linear SVM, C sampled from 1..10, 5 stratified folds (accuracy), refit on the

@@ -345,3 +345,8 @@ FROM ld LEFT JOIN g ON g.doc_id = ld.doc_id"""
 
 ORACLE["incremental_load"] = f"""WITH {REVIEWS_CTE}
 SELECT recommendation_id, appid, steam_id, timestamp_created FROM reviews WHERE appid = '0'"""
+
+ORACLE["folds"] = """
+SELECT doc_id, quality AS label,
+       CAST((row_number() OVER (PARTITION BY quality ORDER BY md5('43:' || doc_id)) - 1) % 5 AS INTEGER) AS fold
+FROM labels"""
