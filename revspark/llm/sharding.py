@@ -1,6 +1,7 @@
 """Uniform shuffle into shards of exact size by a communication matrix.
 
-Every scan partition (block) permutes its rows locally by a hash. How many rows
+Every scan partition (block) permutes its rows locally by a hash of their place in it
+(beyond ``MAX_BLOCKS`` partitions, several make a block, permuted after an exchange). How many rows
 block i sends to shard j is drawn beforehand from the multivariate hypergeometric
 law, so shard sizes are exact and the result is a uniform shuffle; a block then
 deals its permuted rows out by its row of the matrix. After the exchange each
@@ -10,7 +11,8 @@ DataFrame functions only. Block and place are written once, to the shared
 checkpoint folder, so a task run again cannot place a row differently.
 
 Defined results: a null text has no bytes (size 8, checksum 0); null ids and
-fully repeated rows are rows like any others; an empty table gives no rows.
+fully repeated rows are rows like any others, each with a place of its own, so copies
+are scattered too; rows tie on no key; an empty table gives no rows.
 Only id and text are read, whatever else the table has.
 """
 
@@ -86,13 +88,19 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 24, *, id_col: str = "doc
         F.col(id_col),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8).alias("size"),
         F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"))
-    rows = rows.coalesce(MAX_BLOCKS)  # joins scan splits beyond the bound, moves nothing
-    local = rows.withColumn("_h", F.xxhash64(F.lit(seed), F.col(id_col), "text_crc32", "size"))
-    local = local.sortWithinPartitions("_h", id_col)
-    place = F.monotonically_increasing_id()
-    local = staged(local.select(id_col, "size", "text_crc32", place.alias("_place")), "shard-blocks")
+    # the place a row was read from tells copies apart; it is fixed once written
+    local = rows.withColumn("_row", F.monotonically_increasing_id())
+    local = local.sortWithinPartitions(F.xxhash64(F.lit(seed), "_row"), "_row")
+    local = staged(local.select(id_col, "size", "text_crc32", F.monotonically_increasing_id().alias("_place")), "shard-blocks")
     local = (local.withColumn("_block", F.shiftright("_place", 33))
              .withColumn("_at", F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))))
+    last = local.agg(F.max("_block")).first()[0]
+    if last is not None and last >= MAX_BLOCKS:  # several scan partitions are one block, permuted as one
+        local = (local.withColumn("_block", F.pmod("_block", F.lit(MAX_BLOCKS)))
+                 .withColumn("_h0", F.xxhash64(F.lit(seed + 2), "_place"))
+                 .withColumn("_part", F.shiftrightunsigned("_h0", 56)))
+        local = ranked(local.drop("_at"), ["_block"], "_part", [F.shiftrightunsigned("_h0", 1), "_place"], out="_at").drop("_h0", "_part")
+        local = staged(local, "shard-joined-blocks")
 
     # at most MAX_BLOCKS rows, whatever the input
     counts = {r["_block"]: r["n"] for r in local.groupBy("_block").agg(F.count(F.lit(1)).alias("n")).collect()}

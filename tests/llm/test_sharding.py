@@ -38,6 +38,23 @@ def test_shuffle_is_uniform_over_shards(spark):
     assert all(25 < first[s] < 75 for s in range(24))  # mean 50, five deviations
 
 
+def test_copies_are_scattered(spark):
+    """240 fully equal rows of 2,400: chi-square over 24 shards, 23 degrees of freedom; and slots of a shard."""
+    rows = [(7, "copy", "s")] * 240 + [(i + 1000, str(i), "s") for i in range(2160)]
+    for blocks, most in ((4, 4096), (9, 3)):  # the second: several scan partitions a block
+        old, S.MAX_BLOCKS = S.MAX_BLOCKS, most
+        try:
+            out = S.shuffle_into_shards(documents(spark, rows, extra=False).repartition(blocks, "text"), 24).collect()
+        finally:
+            S.MAX_BLOCKS = old
+        counts = Counter(r["shard"] for r in out)
+        assert set(counts.values()) == {100}
+        copies = Counter(r["shard"] for r in out if r["doc_id"] == 7)
+        assert sum((copies[s] - 10) ** 2 / 10 for s in range(24)) < 58.6  # exceeded with probability 6e-5
+        assert 90 < sum(r["slot"] < 50 for r in out if r["doc_id"] == 7) < 150
+        assert all(sorted(r["slot"] for r in out if r["shard"] == s) == list(range(100)) for s in range(24))
+
+
 def test_fewer_rows_than_shards_and_none(spark):
     assert sorted(r["slot"] for r in S.shuffle_into_shards(documents(spark, [(1, "a", "s"), (1, "a", "s")]), 24).collect()) == [0, 0]
     assert S.shuffle_into_shards(documents(spark, []), 24).count() == 0
