@@ -5,11 +5,13 @@ characters is a candidate; inside it a window slides over the runs of each
 character class (hexadecimal, base 64, letters of one case with digits), and the
 Shannon entropy of the window is kept up to date from the counts of the character
 that leaves and the one that enters. Windows over their class's threshold are joined
-to ``entropy`` spans, unless the allow list knows the candidate (plain words, numbers,
-UUIDs, paths), the window touches a placeholder or an alphabet, or a base span
-already covers it. A window also needs the mix of its class: 3 digits and a letter
-(hexadecimal); 2 digits and letters of both cases (base 64); two runs of digits between
-letters (one case). Tokens without digits are words and give no span.
+to ``entropy`` spans, unless the allow list knows them: a window that touches a
+placeholder, an alphabet or a UUID is none, nor is a span that a base span overlaps. A
+window also needs the mix of its class: 3 digits and a letter (hexadecimal); 2 digits and
+letters of both cases (base 64); two runs of digits between letters (one case). Pieces
+of one case between separators are read as one run; as words and paths look like that
+too, a window of it needs four runs of digits that have letters on both sides in their
+piece. Tokens without digits are words and give no span. The time is linear in the text.
 
 Spans are in code points, end exclusive, over the whole text. Defined results:
 null and empty texts have no spans; null ids and repeated rows are scanned like
@@ -20,7 +22,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,12 +45,15 @@ CLASSES = (("hex", re.compile(r"[0-9a-fA-F]{20,}"), 20, 3.0),
            ("base64", re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 20, 3.7),
            ("lower", re.compile(r"[a-z0-9]{20,}"), 20, 3.4),
            ("upper", re.compile(r"[A-Z0-9]{20,}"), 20, 3.4))
-ALLOWED = (re.compile(r"[A-Za-z/_=-]*\Z"), re.compile(r"[0-9/_=+-]*\Z"),
-           re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z"),
-           re.compile(r"[a-z0-9]{0,18}([/_-][a-z0-9]{0,18})+\Z"))
+_DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 #: Parts of a candidate that no window may touch.
-MARKS = re.compile(r"example|placeholder|changeme|x{6,}|0123456789|abcdefghij", re.IGNORECASE)
-DIGITS = re.compile(r"[0-9]+")
+MARKS = re.compile(r"example|placeholder|changeme|x{6,}|0123456789|abcdefghij"
+                   r"|(?<![0-9a-f])[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}(?![0-9a-f])", re.IGNORECASE)
+#: Pieces of one case between separators, read as one run without them: words with digits beside
+#: them are no token, digits between letters are. Digit runs inside pieces, at least.
+PARTED = (re.compile(r"(?<![a-z0-9])[a-z0-9]++(?:[/_-]++[a-z0-9]++)+"),
+          re.compile(r"(?<![A-Z0-9])[A-Z0-9]++(?:[/_-]++[A-Z0-9]++)+"))
+PARTED_BITS, PARTED_INNER = 3.4, 4
 
 SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 
@@ -84,13 +91,54 @@ def window_entropies(run: str, width: int) -> Iterator[float]:
             yield math.log2(width) - total / width
 
 
-def _mixed(kind: str, part: str) -> bool:
-    digits = sum(c.isdigit() for c in part)
+def _prefix(flags) -> list[int]:
+    return [0, *accumulate(flags)]
+
+
+def _mixes(kind: str, run: str, width: int) -> Callable[[int], bool]:
+    """Does the window at a place have the mix of characters its class asks for? By prefix counts."""
+    digit = [c.isdigit() for c in run]
+    digits = _prefix(digit)
     if kind == "hex":
-        return 3 <= digits < len(part)
+        return lambda i: 3 <= digits[i + width] - digits[i] < width
     if kind in ("lower", "upper"):
-        return digits < len(part) and len(DIGITS.findall(part)) >= 2
-    return digits >= 2 and any(c.islower() for c in part) and any(c.isupper() for c in part)
+        begun = _prefix(d and not (i and digit[i - 1]) for i, d in enumerate(digit))
+        return lambda i: (digits[i + width] - digits[i] < width
+                          and begun[i + width] - begun[i + 1] + digit[i] >= 2)
+    lower, upper = _prefix(c.islower() for c in run), _prefix(c.isupper() for c in run)
+    return lambda i: (digits[i + width] - digits[i] >= 2 and lower[i + width] > lower[i] and upper[i + width] > upper[i])
+
+
+def _clear(spans: list[tuple[int, int]]) -> Callable[[int, int], bool]:
+    """Does a range, asked for in ascending order, touch none of the sorted spans?"""
+    at = 0
+
+    def clear(start: int, end: int) -> bool:
+        nonlocal at
+        while at < len(spans) and spans[at][1] <= start:
+            at += 1
+        return at == len(spans) or spans[at][0] >= end
+    return clear
+
+
+def _parted(candidate: str, marks: list[tuple[int, int]], width: int = 20) -> Iterator[tuple[int, int]]:
+    """Windows of single-case pieces read without the separators between them."""
+    for pattern in PARTED:
+        clear = _clear(marks)
+        for m in pattern.finditer(candidate):
+            places = [i for i in range(m.start(), m.end()) if candidate[i] not in "/_-"]
+            if len(places) < width:
+                continue
+            run = "".join(candidate[i] for i in places)
+            # a digit run counts where it ends, if its piece has letters on both sides of it
+            inner = [0] * len(run)
+            for d in re.finditer(r"(?<=[A-Za-z])[0-9]+(?=[A-Za-z])", m.group()):
+                inner[bisect_left(places, m.start() + d.end() - 1)] = 1
+            inner = _prefix(inner)
+            for i, bits in enumerate(window_entropies(run, width)):
+                a, b = places[i], places[i + width - 1] + 1
+                if bits >= PARTED_BITS and inner[i + width] - inner[i] >= PARTED_INNER and clear(a, b):
+                    yield a, b
 
 
 def entropy_spans(text: str) -> list[tuple[int, int, int]]:
@@ -98,15 +146,18 @@ def entropy_spans(text: str) -> list[tuple[int, int, int]]:
     found = []
     for m in CANDIDATE.finditer(text):
         candidate = m.group()
-        if any(a.match(candidate) for a in ALLOWED):
-            continue
+        if not (_DIGIT.search(candidate) and _LETTER.search(candidate)):
+            continue  # no class finds anything in it
         marks = [x.span() for x in MARKS.finditer(candidate)]
         for kind, runs, width, least in CLASSES:
+            clear = _clear(marks)
             for r in runs.finditer(candidate):
-                for i, bits in enumerate(window_entropies(r.group(), width), r.start()):
-                    if (bits >= least and not any(a < i + width and i < b for a, b in marks)
-                            and _mixed(kind, candidate[i:i + width])):
-                        found.append((m.start() + i, m.start() + i + width))
+                mixed = _mixes(kind, r.group(), width)
+                for i, bits in enumerate(window_entropies(r.group(), width)):
+                    at = r.start() + i
+                    if bits >= least and mixed(i) and clear(at, at + width):
+                        found.append((m.start() + at, m.start() + at + width))
+        found += [(m.start() + a, m.start() + b) for a, b in _parted(candidate, marks)]
     joined: list[list[int]] = []
     for start, end in sorted(found):
         if joined and start <= joined[-1][1]:
@@ -117,8 +168,15 @@ def entropy_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def all_spans(text: str) -> list[tuple[int, int, int]]:
+    """Base spans, and the entropy spans that overlap none of them."""
     base = base_spans(text)
-    extra = [x for x in entropy_spans(text) if not any(b[0] < x[2] and x[0] < b[2] for b in base)]
+    extra, at, reach = [], 0, 0  # reach: furthest end of the base spans that start before the span's end
+    for x in entropy_spans(text):
+        while at < len(base) and base[at][0] < x[2]:
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach <= x[0]:
+            extra.append(x)
     return sorted(base + extra)
 
 

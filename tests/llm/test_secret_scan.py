@@ -93,3 +93,49 @@ def test_query_digests(spark):
         assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == n for _, k, _ in base) for n in range(3)]
         assert set(joined.split(",")) - {""} <= set(r["spans"].split(","))
+
+
+def test_pieces_between_separators_are_one_token():
+    for key in ("sk-k7tq0zv4mwx9pj2hs6-ryn3gu4xwz8bq1vm", "K7TQ0Z-V4MWX9-PJ2HS6-RYN3GU"):
+        spans = [x for x in S.all_spans(f"key {key} end") if x[1] == 3]
+        assert spans and spans[0][0] <= 7 and spans[-1][2] >= 4 + len(key) - 1, key
+    for plain in ("usr/local/share/lib/python3/dist-packages", "how-to-use-python3-and-numpy2-in-2024-part-2", "chapter-1-2-3-4-5-6-7-8-9-10-11",
+                  "123e4567-e89b-12d3-a456-426614174000", "see/123e4567-e89b-12d3-a456-426614174000/x"):
+        assert S.entropy_spans(plain) == [], plain
+
+
+def naive_mix(kind, part):
+    digits = sum(c.isdigit() for c in part)
+    if kind == "hex":
+        return 3 <= digits < len(part)
+    if kind in ("lower", "upper"):
+        return digits < len(part) and len(re.findall("[0-9]+", part)) >= 2
+    return digits >= 2 and any(c.islower() for c in part) and any(c.isupper() for c in part)
+
+
+def test_mixes_equal_counting_each_window():
+    rng = random.Random(2)
+    for kind in ("hex", "base64", "lower", "upper"):
+        run = "".join(rng.choice("ab0123AB") for _ in range(300))
+        mixed = S._mixes(kind, run, 7)
+        assert [mixed(i) for i in range(len(run) - 6)] == [naive_mix(kind, run[i:i + 7]) for i in range(len(run) - 6)]
+
+
+def test_clear_equals_comparing_with_every_span():
+    rng = random.Random(3)
+    for _ in range(200):
+        cuts = sorted(rng.sample(range(60), 8))
+        spans = list(zip(cuts[::2], cuts[1::2]))
+        clear = S._clear(spans)
+        assert all(clear(i, i + 5) == (not any(a < i + 5 and i < b for a, b in spans)) for i in range(60))
+
+
+def test_long_texts_take_time_in_proportion():
+    import time
+    rng = random.Random(4)
+    token = "".join(rng.choice("abcdefghijkmnpqrstuvwyzABCDEFGHJK23456789") for _ in range(1 << 20))
+    for text in ("password=example12345 " * 40000, "xxxxxx1aB" * 110000, "a1-" * 300000, "0f" * 500000, "q8ZrT1vKx0LmP7sWbN4jYd2H " * 40000,
+                 "a" * (1 << 20), "secret" + " " * (1 << 20), token[:1 << 18], '"token": ' * 100000):
+        began = time.process_time()
+        S.all_spans(text)
+        assert time.process_time() - began < 10, text[:30]
