@@ -49,12 +49,41 @@ WINDOW = 6
 EDIT, QUOTED, QUOTED_TWICE, ADDRESSED = 0.7, 0.5, 0.2, 1.25
 
 WORD = re.compile(r"\w+(?:[@$*]\w+)*")
-QUOTE = re.compile(r'"[^"\n]{1,400}"|“[^”\n]{1,400}”|«[^»\n]{1,400}»|„[^“”\n]{1,400}[“”]')
+#: A quotation mark and those that close it, within the line.
+CLOSES = {'"': '"', "“": "”", "«": "»", "„": "“”"}
+QUOTE_MARK = re.compile('["“”«»„\\n]')
 REPORTING = frozenset("said says say quote quoted quotes called calls term word words wrote writes slur reported "
                       "dijo dice palabra dit mot sagte sagt wort zitat".split())
 ADDRESS = frozenset("you your youre ur u du dich dein sie tu vous toi te usted tú".split())
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Spans of quotations, in order, marks included, however long. None crosses a line's end.
+
+    A mark without a closing one in its line opens nothing, nor does any later one of its kind there.
+    """
+    marks = [(m.start(), m.group()) for m in QUOTE_MARK.finditer(text)]
+    out, i, lacking = [], 0, set()
+    while i < len(marks):
+        start, mark = marks[i]
+        if mark == "\n":
+            lacking.clear()
+        if mark in CLOSES and mark not in lacking:
+            j = i + 1
+            if j < len(marks) and marks[j][1] in CLOSES[mark] and marks[j][0] == start + 1:  # nothing between
+                i += 1
+                continue
+            while j < len(marks) and marks[j][1] != "\n" and marks[j][1] not in CLOSES[mark]:
+                j += 1
+            if j < len(marks) and marks[j][1] != "\n":
+                out.append((start, marks[j][0] + 1))
+                i = j
+            else:
+                lacking.add(mark)
+        i += 1
+    return out
+
+
 class Trie:
     __slots__ = ("next", "weight", "stem")
 
@@ -209,7 +238,8 @@ class Scanner:
                     self.clean.add(w)
         if self.hits.keys().isdisjoint(distinct):
             return [0.0, 0.0, 0.0], []
-        quoted = [m.span() for m in QUOTE.finditer(low)]
+        quoted = quotations(low)
+        at = 0
         total = strongest = 0.0
         near = []
         for i, m in enumerate(WORD.finditer(low)):
@@ -217,7 +247,9 @@ class Scanner:
             if not hit:
                 continue
             around = words[max(0, i - WINDOW):i] + words[i + 1:i + 1 + WINDOW]
-            marks = any(a < m.start() and m.end() < b for a, b in quoted)
+            while at < len(quoted) and quoted[at][1] <= m.start():
+                at += 1
+            marks = at < len(quoted) and quoted[at][0] < m.start() and m.end() < quoted[at][1]
             told = not REPORTING.isdisjoint(around)
             weight = hit[0] * EDIT ** hit[1]
             if marks or told:

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -132,3 +133,22 @@ def test_awkward_rows_and_no_labels(spark):
     assert T.reject_toxic(df, nulls).count() == df.count()
     empty = documents(spark, [])
     assert T.reject_toxic(empty, none).count() == 0
+
+
+def test_quotations_equal_the_patterns_without_their_bound():
+    pattern = re.compile(r'"[^"\n]+"|“[^”\n]+”|«[^»\n]+»|„[^“”\n]+[“”]')
+    rng = random.Random(8)
+    for _ in range(3000):
+        text = "".join(rng.choice('ab "“”«»„\n') for _ in range(rng.randint(0, 25)))
+        assert T.quotations(text) == [m.span() for m in pattern.finditer(text)], text
+    long = '"' + "word " * 500 + '"'
+    assert T.quotations(long) == [(0, len(long))]
+
+
+def test_long_texts_of_quotations_take_time_in_proportion():
+    import time
+    scanner = T.Scanner(T.Lexicon({"worthless": 1.0}))
+    for text in ('"worthless" ' * 80000, "« " * 500000 + "worthless", "„worthless" * 80000, '""' * 500000 + "worthless"):
+        began = time.process_time()
+        scanner(text)
+        assert time.process_time() - began < 5, text[:20]
