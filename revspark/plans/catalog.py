@@ -551,8 +551,9 @@ def text_embedding_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_dedupe")
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events streamed from their files (available-now trigger) into a store that keeps
-    only rows whose (user, type, value) was not stored before with an earlier id; earliest id wins."""
+    """Events streamed from their files (available-now trigger) into a store that keeps only rows whose
+    (user, type, value) was not seen before with an earlier id; earliest id wins. The keys seen are keyed
+    state; the store is never read back by a batch."""
     from revspark.session import scratch_path
     from revspark.streaming import stream as SM
     events = table(spark, sf_dir, "events")
@@ -566,8 +567,7 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = (spark.readStream.schema(spark.read.parquet(path).schema)
            .option("maxFilesPerTrigger", max(1, len(files) // ST.EVENT_FILES)).parquet(path).select(*cols))
     store = scratch_path(spark, "events-store")
-    SM.run_dedupe(src, store, scratch_path(spark, "events-checkpoint"), key_cols=key,
-                  order_col="event_id", unique_order=True, earliest=True)
+    SM.run_keyed_dedupe(src, store, scratch_path(spark, "events-checkpoint"), key_cols=key, order_col="event_id")
     return spark.read.parquet(store).groupBy(*key).agg(F.min("event_id").alias("event_id")).select("event_id")
 
 

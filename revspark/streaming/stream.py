@@ -8,6 +8,9 @@
   ``batch_id=<n>`` folder with overwrite, so a batch replayed after a failure
   replaces its own output instead of duplicating it. The store is the state:
   it never expires, exactly like the stored history it replaces.
+* ``run_keyed_dedupe``: the same with the seen keys in a keyed state store instead of the stored
+  table: a micro-batch looks up its own keys and reads nothing that was stored, so its
+  cost does not grow with the history. The state never expires either.
 * ``dedupe_within_watermark``: the bounded alternative (state kept only for the
   watermark delay); it also drops rows older than the watermark.
 * ``score_stream``: fitted vectoriser + model applied to each micro-batch.
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from revspark.operators.dedupe import ResumeInfo, drop_seen, resume_info
+from revspark.operators.dedupe import ResumeInfo, drop_seen, resume_info, row_key
 from revspark.operators.flatten import flatten_reviews
 from revspark.operators.models import predict
 from revspark.schemas import ENVELOPE
@@ -47,6 +50,7 @@ class BatchLog:
 
     counts: dict = field(default_factory=dict)
     stopped: bool = False
+    progress: list = field(default_factory=list)  # of a keyed dedupe, one report a micro-batch
 
     @property
     def exhausted(self) -> bool:
@@ -127,6 +131,55 @@ def run_dedupe(stream: DataFrame, store: str, checkpoint: str, key_cols=None,
     return log
 
 
+#: State on local disk with a change log in the checkpoint; the default provider holds it in memory.
+STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def first_of_each_key(stream: DataFrame, key_cols, order_col: str | None = None) -> DataFrame:
+    """Streaming rows that are, so far, the first of their key (update mode).
+
+    Per key the state holds the row of the least ``order_col`` (NULL counts as largest), of those the
+    earliest batch's, of those the least by content; without ``order_col`` the earliest batch's. A row
+    passes when its batch makes it the first: the first time its key is seen, and again only
+    when a later batch brings a smaller ``order_col``, so that the least of the rows passed is the
+    earliest of all. Repeats of a key are combined before the shuffle, so no key is hot.
+    """
+    row = F.struct(*[F.col(c) for c in stream.columns])
+    order = [F.col(order_col).isNull(), F.col(order_col)] if order_col else []
+    rank = F.struct(*order, F.col("_arrived"), F.to_json(row))
+    first = F.min_by(F.struct(F.col("_arrived").alias("arrived"), row.alias("row")), rank)
+    return (stream.withColumn("_arrived", F.current_timestamp())  # one value a micro-batch, kept by its log
+            .groupBy(row_key(key_cols).alias("_key")).agg(first.alias("_first"))
+            .where(F.col("_first.arrived") == F.current_timestamp())
+            .select(*[F.col(f"_first.row.`{c}`").alias(c) for c in stream.columns]))
+
+
+def run_keyed_dedupe(stream: DataFrame, store: str, checkpoint: str, key_cols=None, order_col: str | None = None) -> BatchLog:
+    """Drive ``stream`` into ``store`` until the input is exhausted, keeping :func:`first_of_each_key`.
+
+    Each micro-batch has its own folder, replaced when it is replayed. The state starts empty: the
+    checkpoint, not the store, knows the keys, so a store goes with one checkpoint.
+    """
+    spark, log = stream.sparkSession, BatchLog()
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{store}/{BATCH_DIR}={batch_id}")
+        written = spark.read.schema(batch.schema).parquet(f"{store}/{BATCH_DIR}={batch_id}")
+        log.counts[batch_id] = written.count()  # from the files' footers
+
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, STATE_PROVIDER)
+    try:
+        query = (first_of_each_key(stream, list(key_cols or stream.columns), order_col).writeStream.outputMode("update")
+                 .foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        query.awaitTermination()
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    log.progress = list(query.recentProgress)
+    return log
+
+
 def incremental_load(spark: SparkSession, pages: str, store: str, checkpoint: str, title=None, appid=None,
                      key_cols=None, max_files: int = 1, max_pages: int | None = None,
                      stop_when_exhausted: bool = True) -> tuple[ResumeInfo, BatchLog]:

@@ -54,7 +54,7 @@ def test_foreach_batch_dedupe_partitioned(spark):
     assert spark.read.parquet(store).count() == n
 
 
-def _files(spark, batches, schema="event_id long, day string"):
+def _folder(spark, batches, schema):
     """One Parquet file a batch, in order of modification."""
     src = tempfile.mkdtemp(prefix="revspark-src-")
     for i, rows in enumerate(batches):
@@ -64,7 +64,11 @@ def _files(spark, batches, schema="event_id long, day string"):
         target = os.path.join(src, f"{i}.parquet")
         shutil.copy(os.path.join(one, part), target)
         os.utime(target, (1_700_000_000 + i, 1_700_000_000 + i))
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    return src
+
+
+def _files(spark, batches, schema="event_id long, day string"):
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(_folder(spark, batches, schema))
 
 
 def test_null_partition_value_is_stored_once(spark):
@@ -179,3 +183,56 @@ def test_event_deliveries_repeat_rows_and_lose_none(spark):
     assert all(a & b for a, b in zip(parts, parts[1:])) and set(range(10)) <= parts[0]
     assert sum(p.count() for p in ST.event_deliveries(df.where("event_id < 5"))) == 5
     assert sum(p.count() for p in ST.event_deliveries(df.where("event_id < 0"))) == 0
+
+
+def _keyed(spark, batches, key_cols, order_col, schema="id long, k string, v string"):
+    src = _folder(spark, batches, schema)
+    store, checkpoint = tempfile.mkdtemp(prefix="revspark-store-") + "/s", tempfile.mkdtemp(prefix="revspark-ck-")
+    def stream():
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    log = SM.run_keyed_dedupe(stream(), store, checkpoint, key_cols, order_col)
+    return log, store, src, stream, checkpoint
+
+
+def test_keyed_dedupe_equals_brute_force(spark):
+    import random
+    rng = random.Random(6)
+    batches = [[(rng.choice([None, *range(200)]), rng.choice(["hot", "hot", None, *(f"k{i}" for i in range(30))]), rng.choice(["x", "y", None]))
+                for _ in range(80)] for _ in range(5)]
+    log, store, *_ = _keyed(spark, batches, ["k"], "id")
+    big = 10 ** 9
+    least, want = {}, []
+    for rows in batches:
+        now = {}
+        for i, k, v in rows:
+            now.setdefault(k, []).append(big if i is None else i)
+        changed = {k: min(x) for k, x in now.items() if k not in least or min(x) < least[k]}
+        least.update(changed)
+        want.append(len(changed))
+    assert list(log.counts.values()) == want
+    got = {}
+    for r in spark.read.parquet(store).collect():
+        got.setdefault(r.k, []).append(big if r.id is None else r.id)
+    assert {k: min(x) for k, x in got.items()} == least
+
+
+def test_keyed_dedupe_reads_no_store_and_resumes(spark):
+    rows = [(i, f"k{i}", "x") for i in range(50)]
+    log, store, src, stream, checkpoint = _keyed(spark, [rows, rows, [(100, "k7", "y"), (101, "new", None)], rows], ["k"], None)
+    assert list(log.counts.values()) == [50, 0, 1, 0]
+    # a batch takes its own rows only, and looks its keys up in the state
+    assert [p["numInputRows"] for p in log.progress if p["numInputRows"]] == [50, 50, 2, 50]
+    state = [p["stateOperators"][0] for p in log.progress if p["numInputRows"]]
+    assert [s["numRowsTotal"] for s in state] == [50, 50, 51, 51]
+    assert not any(store in str(p["sources"]) for p in log.progress)
+    # the same checkpoint goes on where it stopped
+    spark.createDataFrame([(1, "k1", "again"), (2, "later", "z")], "id long, k string, v string").coalesce(1).write.mode("append").parquet(src)
+    more = SM.run_keyed_dedupe(stream(), store, checkpoint, ["k"], None)
+    assert list(more.counts.values()) == [1]
+    assert spark.read.parquet(store).count() == 52
+
+
+def test_keyed_dedupe_of_whole_rows(spark):
+    rows = [(1, "a", None), (1, "a", None), (1, "a", "x"), (None, None, None), (None, None, None)]
+    log, store, *_ = _keyed(spark, [rows, rows], None, None)
+    assert list(log.counts.values()) == [3, 0] and spark.read.parquet(store).drop("batch_id").distinct().count() == 3
