@@ -4,14 +4,12 @@ Every document's text is cut at ASCII white space and its chunks are counted; te
 never cross white space. Documents are taken in blocks of about ``BLOCK`` bytes, each
 with its own list of distinct chunks and, per document, chunk numbers and counts. The
 lists meet in one exchange by chunk: there each globally distinct chunk is tokenized
-once and its terms go back to the blocks that hold it, by a join. A block then counts,
-per language, source and term, its distinct documents and occurrences; sums of these
-give the terms to keep, their shares and the divergences.
+once and its terms are joined to all blocks that list it. Bundles of ``BUNDLE`` blocks
+then count, per language, source and term, distinct documents and occurrences; sums of
+these give the terms to keep, their shares and the divergences.
 
-Bounds: a block, a chunk's list of blocks (streamed, never collected) and the sources
-of one language. A term whose chunks lie in fewer than ``min_docs`` documents, counted
-once a chunk, can not be kept and is left behind before terms go back; this drops no
-result. Counts are 64-bit, shares are computed in 38-digit decimals.
+Bounds: a bundle, a chunk's list of blocks (streamed, never collected) and the sources
+of one language. Counts are 64-bit, shares are computed in 38-digit decimals.
 
 Defined results: null text, lang and source read as ''; rows of equal id, or fully
 repeated ones, are documents of their own; a language of one source gives no ``pair``
@@ -31,29 +29,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revspark.llm.common import staged, text_or_empty
-from revspark.llm.spans import CHUNK, column_bytes, distinct_spans, find_spans, packs, span_texts
+from revspark.llm.spans import CHUNK, column_bytes, distinct_spans, find_spans, one_array, packs, span_texts
 
 #: Bytes of text of a block.
 BLOCK = 1 << 24
+#: Blocks counted together, on average.
+BUNDLE = 4
 #: Cells (terms x sources) that one task holds when sources are compared.
-CELLS = 1 << 21
+CELLS = 1 << 16
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SCALE = 1_000_000_000
 SMOOTH = 5
 
-_CHUNKS = "block long, chunk_no int, chunk string, docs int, langs array<string>, sources array<string>, body binary"
+_BLOCKS = "block long, langs array<string>, sources array<string>, body binary, chunks binary, lengths binary"
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Compressed little-endian 32-bit arrays behind their lengths."""
-    head = np.array([len(a) for a in arrays], "<i4")
-    raw = b"".join([head.tobytes(), *(a.astype("<i4").tobytes() for a in arrays)])
+def _squeeze(raw: bytes) -> bytes:
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
+def _expand(body: bytes) -> bytes:
+    return pa.decompress(body[8:], decompressed_size=int.from_bytes(body[:8], "little"), codec="zstd", asbytes=True)
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Little-endian 32-bit arrays behind their lengths, compressed byte place by byte place."""
+    raw = np.concatenate([[len(a) for a in arrays], *arrays]).astype("<i4")
+    return _squeeze(raw.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
 def unpack(body: bytes, n: int) -> list[np.ndarray]:
-    size = int.from_bytes(body[:8], "little")
-    raw = np.frombuffer(pa.decompress(body[8:], decompressed_size=size, codec="zstd", asbytes=True), "<i4")
+    raw = np.ascontiguousarray(np.frombuffer(_expand(body), np.uint8).reshape(4, -1).T).view("<i4").ravel()
     cuts = np.cumsum(raw[:n])
     return [raw[n + a:n + b].astype(np.int64) for a, b in zip(np.r_[0, cuts[:-1]], cuts)]
 
@@ -67,79 +73,108 @@ def pairs_of(a: np.ndarray, b: np.ndarray, width: int) -> tuple[np.ndarray, np.n
 def _factorise(batches):
     """Task: its documents as blocks of distinct chunks and per-document chunk counts."""
     base = TaskContext.get().partitionId() << 33
-    schema = pa.schema([("block", pa.int64()), ("chunk_no", pa.int32()), ("chunk", pa.string()), ("docs", pa.int32()),
-                        ("langs", pa.list_(pa.string())), ("sources", pa.list_(pa.string())), ("body", pa.binary())])
-    for i, rows in enumerate(packs(batches, "text", BLOCK)):
-        spans = find_spans(*column_bytes(rows.column("text")), CHUNK)
-        chunk, first = distinct_spans(spans)
-        doc, chunk, codes = pairs_of(spans.row, chunk, len(first))
-        count = np.bincount(codes, minlength=len(doc))
-        langs, sources = (rows.column(c).combine_chunks().dictionary_encode() for c in ("lang", "source"))
-        langs, sources = (pa.concat_arrays(x.chunks) if isinstance(x, pa.ChunkedArray) else x for x in (langs, sources))
-        lang_no, source_no, group = pairs_of(langs.indices.to_numpy().astype(np.int64),
-                                           sources.indices.to_numpy().astype(np.int64), len(sources.dictionary))
-        group_langs = langs.dictionary.take(pa.array(lang_no)).to_pylist()
-        group_sources = sources.dictionary.take(pa.array(source_no)).to_pylist()
-        yield pa.RecordBatch.from_pydict({
-            "block": [base + i], "chunk_no": [None], "chunk": [None], "docs": [None], "langs": [group_langs],
-            "sources": [group_sources], "body": [pack(group, np.bincount(doc, minlength=len(group)), chunk, count)],
-        }, schema=schema)
-        docs = np.bincount(chunk, minlength=len(first))
-        for at in range(0, len(first), 1 << 16):
-            part = first[at:at + (1 << 16)]
-            n = len(part)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(n, base + i)), pa.array(np.arange(at, at + n), pa.int32()), span_texts(spans, part),
-                pa.array(docs[at:at + n], pa.int32()), pa.nulls(n, pa.list_(pa.string())),
-                pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.binary())], schema=schema)
-
-
-_COUNTS = "lang string, term string, sources array<string>, docs array<long>, counts array<long>"
-
-
-def _count_terms(terms: pa.Table, block: pa.Table) -> pa.Table:
-    """One block: documents and occurrences of each of its terms by language and source."""
-    schema = pa.schema([("lang", pa.string()), ("term", pa.string()), ("sources", pa.list_(pa.string())),
-                        ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
-    if terms.num_rows == 0 or block.num_rows == 0:
+    number = 0
+    for some in packs(batches, "text", 2 * BLOCK):  # documents of one language share most chunks
+        for rows in packs(some.sort_by("lang").to_batches(), "text", BLOCK):
+            spans = find_spans(*column_bytes(rows.column("text")), CHUNK)
+            chunk, first = distinct_spans(spans)
+            pairs, count = summed(spans.row * max(len(first), 1) + chunk, np.ones(len(chunk), np.int64))
+            doc, chunk = pairs // max(len(first), 1), pairs % max(len(first), 1)
+            steps = np.diff(chunk, prepend=0)  # from the document's chunk before
+            new = np.diff(doc, prepend=-1) > 0
+            steps[new] = chunk[new]
+            langs, sources = (one_array(rows.column(c)).dictionary_encode() for c in ("lang", "source"))
+            lang_no, source_no, group = pairs_of(langs.indices.to_numpy().astype(np.int64),
+                                                 sources.indices.to_numpy().astype(np.int64), len(sources.dictionary))
+            texts = span_texts(spans, first)
+            yield pa.RecordBatch.from_pydict({
+                "block": [base + number],
+                "langs": [langs.dictionary.take(pa.array(lang_no)).to_pylist()],
+                "sources": [sources.dictionary.take(pa.array(source_no)).to_pylist()],
+                "body": [pack(group, np.bincount(doc, minlength=len(group)), steps, count)],
+                "chunks": [_squeeze(column_bytes(texts)[0].tobytes())],
+                "lengths": [pack(np.diff(column_bytes(texts)[1]))],
+            }, schema=pa.schema([("block", pa.int64()), ("langs", pa.list_(pa.string())), ("sources", pa.list_(pa.string())),
+                                 ("body", pa.binary()), ("chunks", pa.binary()), ("lengths", pa.binary())]))
+            number += 1
+
+
+def _list_chunks(batches):
+    """Task: one row per distinct chunk of each block."""
+    for b in batches:
+        for block, chunks, lengths in zip(*(b.column(c).to_pylist() for c in ("block", "chunks", "lengths"))):
+            length, = unpack(lengths, 1)
+            offsets = np.zeros(len(length) + 1, np.int64)
+            np.cumsum(length, out=offsets[1:])
+            texts = pa.LargeStringArray.from_buffers(len(length), pa.py_buffer(offsets), pa.py_buffer(_expand(chunks)))
+            for at in range(0, len(length), 1 << 16):
+                part = texts.slice(at, 1 << 16).cast(pa.string())
+                n = len(part)
+                yield pa.RecordBatch.from_pydict({
+                    "block": pa.array(np.full(n, block), pa.int64()), "chunk_no": pa.array(np.arange(at, at + n), pa.int32()),
+                    "chunk": part})
+
+
+_COUNTS = "lang string, term string, docs long, sources array<string>, counts array<int>"
+
+
+def _count_terms(terms: pa.Table, blocks: pa.Table) -> pa.Table:
+    """Some blocks: documents of each of their terms by language, occurrences by source."""
+    schema = pa.schema([("lang", pa.string()), ("term", pa.string()), ("docs", pa.int64()),
+                        ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int32()))])
+    if terms.num_rows == 0 or blocks.num_rows == 0:
         return schema.empty_table()
-    group, per_doc, chunk, count = unpack(block.column("body")[0].as_py(), 4)
-    group_langs, group_sources = block.column("langs")[0].as_py(), block.column("sources")[0].as_py()
-
-    # the terms of chunk number c: term_of[begin[c]:begin[c] + size[c]]
-    words = terms.column("term").combine_chunks()
-    words = pa.concat_arrays(words.chunks) if isinstance(words, pa.ChunkedArray) else words
-    coded = words.dictionary_encode()
-    numbers = terms.column("chunk_no").to_numpy().astype(np.int64)
-    order = np.argsort(numbers, kind="stable")
-    term_of = coded.indices.to_numpy().astype(np.int64)[order]
-    times = terms.column("times").to_numpy().astype(np.int64)[order]
-    size = np.bincount(numbers, minlength=int(chunk.max(initial=0)) + 1)
-    begin = np.cumsum(size) - size
-
-    doc = np.repeat(np.arange(len(group)), per_doc)
-    n = size[chunk]
-    doc, count = np.repeat(doc, n), np.repeat(count, n)
-    at = np.repeat(begin[chunk], n) + np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-    count, term = count * times[at], term_of[at]
-
+    lists = pc.split_pattern(one_array(terms.column("terms")), " ")
+    coded = lists.flatten().dictionary_encode()
+    size_of = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    block_of, chunk_of = (np.repeat(terms.column(c).to_numpy().astype(np.int64), size_of) for c in ("block", "chunk_no"))
+    order = np.lexsort((chunk_of, block_of))
+    block_of, chunk_of, term_of = block_of[order], chunk_of[order], coded.indices.to_numpy().astype(np.int64)[order]
+    del lists, order
     n_terms = len(coded.dictionary)
-    in_doc, in_term, codes = pairs_of(doc, term, n_terms)
-    count = sums_of(codes, count, len(in_doc))
-    g, t, codes = pairs_of(group[in_doc], in_term, n_terms)
-    docs, count = np.bincount(codes, minlength=len(g)), sums_of(codes, count, len(g))
-
-    langs = {x: i for i, x in enumerate(dict.fromkeys(group_langs))}
-    lang_no = np.array([langs[x] for x in group_langs], np.int64)[g]
-    order = np.lexsort((g, t, lang_no))
-    g, t, lang_no, docs, count = (x[order] for x in (g, t, lang_no, docs, count))
-    new = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (lang_no[1:] != lang_no[:-1])]) if len(t) else np.empty(0, np.int64)
-    cuts = pa.array(np.r_[new, len(t)], pa.int32())
+    groups: dict[tuple[str, str], int] = {}
+    key, docs, count = (np.empty(0, np.int64) for _ in range(3))  # key: group number * n_terms + term
+    for row in blocks.select(["home", "langs", "sources", "body"]).to_pylist():
+        lo, hi = np.searchsorted(block_of, [row["home"], row["home"] + 1])
+        group, per_doc, steps, n_chunk = unpack(row["body"], 4)
+        chunk = np.cumsum(steps)
+        first = (np.cumsum(per_doc) - per_doc)[per_doc > 0]
+        chunk -= np.repeat(chunk[first] - steps[first], per_doc[per_doc > 0])
+        numbers = np.array([groups.setdefault(g, len(groups)) for g in zip(row["langs"], row["sources"])], np.int64)
+        # the terms of chunk number c: term_of[lo + begin[c]:lo + begin[c] + size[c]]
+        size = np.bincount(chunk_of[lo:hi], minlength=int(chunk.max(initial=0)) + 1)
+        begin = np.cumsum(size) - size
+        n = size[chunk]
+        doc, n_chunk = np.repeat(np.repeat(np.arange(len(group)), per_doc), n), np.repeat(n_chunk, n)
+        at = lo + np.repeat(begin[chunk], n) + np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+        in_doc, n_term = summed(doc * n_terms + term_of[at], n_chunk)
+        del doc, n_chunk, at
+        keys, n_docs, n_term = summed(numbers[group[in_doc // n_terms]] * n_terms + in_doc % n_terms,
+                                      np.ones(len(in_doc), np.int64), n_term)
+        key, docs, count = summed(*(np.concatenate(x) for x in ((key, keys), (docs, n_docs), (count, n_term))))
+
+    group, term = key // n_terms, key % n_terms
+    langs = {x: i for i, x in enumerate(dict.fromkeys(g for g, _ in groups))}
+    lang = np.array([langs[g] for g, _ in groups], np.int64)[group]
+    alphabetical = np.empty(n_terms, np.int64)  # neighbours compress better
+    alphabetical[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(n_terms)
+    order = np.lexsort((group, alphabetical[term], lang))
+    group, term, lang, docs, count = (x[order] for x in (group, term, lang, docs, count))
+    new = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (lang[1:] != lang[:-1])][:len(term)])
+    cuts = pa.array(np.r_[new, len(term)], pa.int32())
     return pa.Table.from_arrays([
-        pa.array(list(langs)).take(pa.array(lang_no[new])), coded.dictionary.take(pa.array(t[new])),
-        pa.ListArray.from_arrays(cuts, pa.array(group_sources).take(pa.array(g))),
-        pa.ListArray.from_arrays(cuts, pa.array(docs, pa.int64())),
-        pa.ListArray.from_arrays(cuts, pa.array(count, pa.int64()))], schema=schema)
+        pa.array(list(langs), pa.string()).take(pa.array(lang[new])), coded.dictionary.take(pa.array(term[new])),
+        pa.array(np.add.reduceat(docs, new) if len(new) else docs, pa.int64()),
+        pa.ListArray.from_arrays(cuts, pa.array([s for _, s in groups], pa.string()).take(pa.array(group))),
+        pa.ListArray.from_arrays(cuts, pa.array(count, pa.int32()))], schema=schema)
+
+
+def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct keys, ascending, and the exact sums of the values of each."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][:len(keys)])
+    return (keys[new], *(np.add.reduceat(v[order], new) if len(new) else v for v in values))
 
 
 def sums_of(codes: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -157,28 +192,31 @@ def term_counts(docs: DataFrame, min_docs: int = 30, *, text_col: str = "text",
     """
     rows = docs.select(text_or_empty(text_col).alias("text"), text_or_empty(lang_col).alias("lang"),
                        text_or_empty(source_col).alias("source"))
-    blocks = staged(rows.mapInArrow(_factorise, _CHUNKS), "divergence-blocks")
-    bodies = blocks.where(F.col("body").isNotNull()).select(F.col("block").alias("home"), "langs", "sources", "body")
-    groups = (bodies.select(F.explode(F.arrays_zip("langs", "sources")).alias("g"))
+    blocks = staged(rows.mapInArrow(_factorise, _BLOCKS), "divergence-blocks")
+    bundles = max(1, blocks.count() // BUNDLE)  # blocks counted together share most terms
+
+    def bundle(block):
+        return F.pmod(F.xxhash64(block), F.lit(bundles))
+    bodies = blocks.select(bundle("block").alias("of_bundle"), F.col("block").alias("home"), "langs", "sources", "body")
+    groups = (blocks.select(F.explode(F.arrays_zip("langs", "sources")).alias("g"))
               .select(F.col("g.langs").alias("lang"), F.col("g.sources").alias("source")).distinct())
 
-    # one exchange by chunk: both the distinct chunks and the way back read it
-    lists = blocks.where(F.col("chunk").isNotNull()).select("block", "chunk_no", "chunk", "docs").repartition("chunk")
+    lists = blocks.select("block", "chunks", "lengths").mapInArrow(_list_chunks, "block long, chunk_no int, chunk string")
+    # A chunk's rows meet in one place, in order of block. The first of them is tokenized, the
+    # others take its terms; they pass one by one, however many blocks list the chunk.
+    same = Window.partitionBy("chunk").orderBy("block")
     lower = F.translate("chunk", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    tokenized = (lists.groupBy("chunk").agg(F.sum("docs").alias("docs"))
-                 .select("chunk", "docs", F.explode(F.regexp_extract_all(lower, F.lit(TERM), F.lit(0))).alias("term"))
-                 .groupBy("chunk", "docs", "term").agg(F.count(F.lit(1)).cast("int").alias("times")))
-    tokenized = staged(tokenized, "divergence-terms")
-    frequent = tokenized.groupBy("term").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("term")
-    back = (lists.select("block", "chunk_no", "chunk")
-            .join(tokenized.join(frequent, "term", "left_semi").select("chunk", "term", "times"), "chunk")
-            .select("block", "chunk_no", "term", "times"))
-    counted = (back.groupBy("block").cogroup(bodies.groupBy("home"))
+    once = F.when(F.col("at") == 1, F.regexp_extract_all(lower, F.lit(TERM), F.lit(0)))
+    back = (lists.withColumn("at", F.row_number().over(same)).withColumn("terms", once)
+            .withColumn("terms", F.first("terms").over(same.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+            .where(F.size("terms") > 0)
+            .select(bundle("block").alias("bundle"), "block", "chunk_no", F.array_join("terms", " ").alias("terms")))
+    counted = (back.groupBy("bundle").cogroup(bodies.groupBy("of_bundle"))
                .applyInArrow(_count_terms, _COUNTS)
                .repartition("lang", "term")
-               .select("lang", "term", F.explode(F.arrays_zip("sources", "docs", "counts")).alias("x"))
+               .select("lang", "term", "docs", F.posexplode(F.arrays_zip("sources", "counts")).alias("i", "x"))
                .groupBy("lang", "term", F.col("x.sources").alias("source"))
-               .agg(F.sum("x.docs").alias("docs"), F.sum("x.counts").alias("count")))
+               .agg(F.sum(F.when(F.col("i") == 0, F.col("docs")).otherwise(0)).alias("docs"), F.sum("x.counts").alias("count")))
     everywhere = Window.partitionBy("lang", "term")
     kept = (counted.withColumn("held", F.sum("docs").over(everywhere)).where(F.col("held") >= min_docs)
             .select("lang", "source", "term", "count"))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from revspark.llm.common import staged, text_or_empty
 from revspark.llm.divergence import pack, pairs_of, sums_of, unpack
-from revspark.llm.spans import LOWER, WORD, column_bytes, distinct_spans, find_spans, packs, span_texts
+from revspark.llm.spans import LOWER, WORD, column_bytes, distinct_spans, find_spans, one_array, packs, span_texts
 
 BLOCK = 1 << 24
 #: A term in at most this share of all documents has a short list.
@@ -71,18 +71,13 @@ def _index(vocabulary: list[str]):
             held = pa.StructArray.from_arrays([pa.array(terms, pa.int32()), pa.array(df, pa.int64())], ["term", "df"])
             yield pa.RecordBatch.from_arrays([
                 pa.array([int((size > 0).sum())]), pa.array([int(size.sum())]),
-                pa.ListArray.from_arrays(pa.array([0, rows.num_rows], pa.int32()), _chunk(rows.column("doc"))),
+                pa.ListArray.from_arrays(pa.array([0, rows.num_rows], pa.int32()), one_array(rows.column("doc"))),
                 pa.ListArray.from_arrays(pa.array([0, len(terms)], pa.int32()), held).cast(held_type),
                 pa.array([pack(size, terms, df, doc, times)], pa.binary())],
                 names=["docs", "terms", "ids", "held", "body"])
     return run
 
 
-def _chunk(column):
-    column = column.combine_chunks()
-    return pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
-
-
 class _Lists:
     """One block: documents and gains (before weights) of each term's list."""
 

@@ -33,11 +33,16 @@ class Spans(NamedTuple):
     row: np.ndarray    # the row it lies in
 
 
+def one_array(column) -> pa.Array:
+    """A column as a single array."""
+    if not isinstance(column, pa.ChunkedArray):
+        return column
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
 def column_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string column; null reads as empty."""
-    if isinstance(column, pa.ChunkedArray):
-        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    column = pc.fill_null(one_array(column).cast(pa.large_string()), "")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
     if len(column) == 0 or column.buffers()[2] is None:
         return np.empty(0, np.uint8), np.zeros(len(column) + 1, np.int64)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revspark.llm.common import sized_broadcast, staged, text_or_empty
-from revspark.llm.spans import LOWER, WORD, Spans, column_bytes, find_spans, mix, packs, span_hash
+from revspark.llm.spans import LOWER, WORD, Spans, column_bytes, find_spans, mix, one_array, packs, span_hash
 
 #: Words of a hashed gram.
 GRAM = 5
@@ -123,9 +123,8 @@ def _candidates(bits: np.ndarray, short: list[int], window: int):
             data, offsets = column_bytes(rows.column("text"))
             data = data.tobytes()
             digest = [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(offsets[:-1], offsets[1:])]
-            doc = rows.column("doc").combine_chunks()
             yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays(doc.chunks) if isinstance(doc, pa.ChunkedArray) else doc, pa.array(digest, pa.binary()),
+                [one_array(rows.column("doc")), pa.array(digest, pa.binary()),
                  pa.array(size, pa.int64()), pa.ListArray.from_arrays(pa.array(cuts), structs)],
                 names=["doc", "digest", "n_words", "hits"])
     return run
