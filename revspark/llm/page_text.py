@@ -25,6 +25,7 @@ import html as html_lib
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,14 +34,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TRAIN_PAGES = 192
-VARIANTS = 6
+VARIANTS = 8
 PATH_DIM, WORD_DIM, SHAPE_DIM, HIDDEN = 384, 32, 6, 20
 WINDOW, BATCH, EPOCHS = 40, 48, 20
+#: A block goes if its log odds of being article are at most this: a lost sentence is worse than one too many.
+DROPPED = -1.5
+#: Blocks of a window of a very long page, and those read beside it.
+LONG, MARGIN = 4096, 64
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"""
                    r"""|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: After the last ">": a comment or section that runs to the end.
+UNENDED = re.compile(r"<!--.*|<!\[CDATA\[.*", re.S)
+#: Tags whose names describe the whole page.
+WHOLE = frozenset(("html", "body"))
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span "
                    "strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -59,40 +68,69 @@ OUTER_NAMES = ("ad", "ads", "advert", "advertisement", "adbox", "sponsored", "sp
                "discussion", "respond", "related", "recommended", "share", "social", "newsletter", "subscribe",
                "signup", "login", "search", "popup", "modal", "overlay", "breadcrumb", "breadcrumbs", "pagination",
                "pager", "widget", "toolbar", "copyright", "legal", "disclaimer", "complementary", "contentinfo", "tags")
+#: Words that a name of such a part may have beside its own; with any other it names something else.
+QUALIFIERS = frozenset("site page main top bottom left right box list inner outer wrap wrapper container area block section "
+                       "primary secondary global local fixed sticky mobile desktop small large row col item items text body "
+                       "content bar group panel holder module div region links link the a".split())
+#: Marks a generated part as outside while it is made; never a name the labeller sees.
+HIDDEN_NAME = "zzoutside"
 INNER = ("<article>", '<main><article class="post">', '<div class="content">', '<div id="main-content">',
          '<section class="entry">', '<div class="article-body">', '<div class="post story">', "<main>")
 
 
+def name_tokens(name: str) -> list[str]:
+    """Path tokens of one class, id or role: its words, if they say what part of a page it is.
+
+    In ``no-sidebar`` or ``social-science-article`` an outer part's word is not what the name means; there
+    only the words count that are neither such a word nor one that goes with it.
+    """
+    words = [w.lower() for w in NAME.findall(name)]
+    other = [w for w in words if w not in OUTER_NAMES and w not in QUALIFIERS]
+    return ["n:" + w for w in (other if other and any(w in OUTER_NAMES for w in words) else words)]
+
+
 def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
-    """(text, path tokens, share of linked characters) of the leaf blocks, in page order."""
+    """(text, distinct path tokens, share of linked characters) of the leaf blocks, in page order."""
     out: list[tuple[str, tuple[str, ...], float]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     buffer: list[str] = []
+    tags: Counter = Counter()  # open ones
+    names_open: dict[str, int] = {}  # path tokens of the open tags, each once, in order of opening
     linked = pos = 0
+    last = page.rfind(">")  # no tag ends after it
 
     def flush():
         nonlocal linked
         text = " ".join(html_lib.unescape("".join(buffer)).split())
         if text:
-            out.append((text, tuple(t for _, names in stack for t in names), min(1.0, linked / len(text))))
+            out.append((text, tuple(names_open), min(1.0, linked / len(text))))
         buffer.clear()
         linked = 0
 
     def add(piece):
         nonlocal linked
         buffer.append(piece)
-        if any(tag == "a" for tag, _ in stack):
+        if tags["a"]:
             linked += len(piece)
 
+    def close(i):
+        for tag, names in stack[i:]:
+            tags[tag] -= 1
+            for n in names:
+                names_open[n] -= 1
+                if not names_open[n]:
+                    del names_open[n]
+        del stack[i:]
+
     while pos < len(page):
-        m = TOKEN.search(page, pos)
+        m = TOKEN.search(page, pos) if pos <= last else UNENDED.search(page, pos)
         if not m:
             add(page[pos:])
             break
         if m.start() > pos:
             add(page[pos:m.start()])
         pos = m.end()
-        tag = (m.group(2) or m.group(5) or "").lower()
+        tag = (m.group(2) or m.group(5) or "").lower() if m.re is TOKEN else ""
         if not tag:
             if page.startswith("<![CDATA[", m.start()):
                 add(m.group()[9:-3])
@@ -100,9 +138,9 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
         if tag not in INLINE:
             flush()
         if m.group(1) or m.group(4):
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if tags[tag] else ():
                 if stack[i][0] == tag:
-                    del stack[i:]
+                    close(i)
                     break
             continue
         attrs = m.group(3) if m.group(2) else m.group(6)
@@ -113,16 +151,21 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
         if tag in VOID or attrs.endswith("/") and tag not in INLINE and tag not in SCOPES and tag != "p":
             continue
         closes = CLOSES.get(tag, set()) | ({"p"} if tag not in INLINE else set())
-        for i in range(len(stack) - 1, -1, -1):
+        for i in range(len(stack) - 1, -1, -1) if any(tags[c] for c in closes) else ():
             if stack[i][0] in closes:
-                del stack[i:]
+                close(i)
                 break
             if stack[i][0] in SCOPES:
                 break
         names = ["t:" + tag]
-        for a in ATTRIBUTE.finditer(attrs):
-            names += ["n:" + w.lower() for w in NAME.findall(a.group(2) or a.group(3) or a.group(4) or "")]
+        if tag not in WHOLE:
+            for a in ATTRIBUTE.finditer(attrs):
+                for name in (a.group(2) or a.group(3) or a.group(4) or "").split():
+                    names += name_tokens(name)
         stack.append((tag, tuple(names)))
+        tags[tag] += 1
+        for n in names:
+            names_open[n] = names_open.get(n, 0) + 1
     flush()
     return out
 
@@ -138,9 +181,14 @@ def _slot(token: str, dim: int) -> tuple[int, float]:
 
 
 class Encoder:
-    """Block vectors; remembers the slots of paths and words."""
+    """Block vectors; remembers the slots of paths and words.
 
-    def __init__(self):
+    Path tokens that are not ``known`` (None: all are) have no slot, so that a name never seen in
+    training says nothing instead of what shares its slot says.
+    """
+
+    def __init__(self, known: frozenset[str] | None = None):
+        self.known = known
         self.paths: dict[tuple[str, ...], np.ndarray] = {}
         self.words: dict[str, int] = {}
 
@@ -149,7 +197,7 @@ class Encoder:
             if len(self.paths) > 20_000:
                 self.paths.clear()
             v = np.zeros(PATH_DIM, dtype=np.float32)
-            for t in set(path):
+            for t in path if self.known is None else (t for t in path if t in self.known):
                 i, sign = _slot(t, PATH_DIM)
                 v[i] += sign
             self.paths[path] = v
@@ -162,14 +210,15 @@ class Encoder:
             self.words[w] = zlib.crc32(w.lower().encode()) % WORD_DIM
         return self.words[w]
 
-    def __call__(self, leaves: list[tuple[str, tuple[str, ...], float]]) -> np.ndarray:
+    def __call__(self, leaves: list[tuple[str, tuple[str, ...], float]], first: int = 0, total: int = 0) -> np.ndarray:
+        """Vectors of the leaves, which begin at leaf ``first`` of a page of ``total`` (0: are all of it)."""
         x = np.zeros((len(leaves), PATH_DIM + WORD_DIM + SHAPE_DIM), dtype=np.float32)
         for i, (text, path, linked) in enumerate(leaves):
             words = text.split()
             x[i, :PATH_DIM] = self.path(path)
             x[i, PATH_DIM:PATH_DIM + WORD_DIM] = np.bincount([self.word(w) for w in words],
                                                             minlength=WORD_DIM) / len(words)
-            x[i, -SHAPE_DIM:] = (np.log1p(len(words)) / 5, linked, i / len(leaves), len(path) / 10,
+            x[i, -SHAPE_DIM:] = (np.log1p(len(words)) / 5, linked, (first + i) / (total or len(leaves)), len(path) / 10,
                                  text.count(",") / len(words), text.count(".") / len(words))
         return x
 
@@ -226,6 +275,7 @@ class BlockLabeller:
     """Bidirectional LSTM with one logistic output per block."""
 
     def __init__(self, dim: int, hidden: int = HIDDEN, seed: int = 4):
+        self.known: frozenset[str] | None = None
         rng = np.random.default_rng(seed)
         self.p = {}
         for d in ("fw", "bw"):
@@ -302,7 +352,7 @@ class BlockLabeller:
             x, mask, _ = _padded([sequences[i] for i in part], None)
             z = self.logits(x, mask)
             for j, i in enumerate(part):
-                out[i] = z[:len(sequences[i]), j] > 0
+                out[i] = z[:len(sequences[i]), j] > DROPPED
             at += take
         return out
 
@@ -326,6 +376,7 @@ def _section(rng: random.Random, words: list[str]) -> str:
 
     body = rng.choice([
         lambda: "<ul>" + "".join(f'<li><a href="#">{say(rng.randint(1, 3))}</a></li>' for _ in range(rng.randint(2, 8))) + "</ul>",
+        lambda: rng.choice([" ", " | ", "<br>"]).join(f'<a href="#">{say(rng.randint(1, 2))}</a>' for _ in range(rng.randint(2, 8))),
         lambda: "".join(f"<p>{say(rng.randint(3, 60))}.</p>" for _ in range(rng.randint(1, 4))),
         lambda: say(rng.randint(2, 25)),
         lambda: f"<h3>{say(2)}</h3>" + "".join(f"<div><span>{say(1)}</span><p>{say(rng.randint(3, 50))}</p></div>"
@@ -334,6 +385,11 @@ def _section(rng: random.Random, words: list[str]) -> str:
     if rng.random() < 0.4:
         tag = rng.choice([t for t in OUTER_TAGS if t not in ("head", "title", "template", "iframe")])
         return f"<{tag}>{body}</{tag}>"
+    if "<a " in body or "<label" in body:  # what it is shows without a name
+        if rng.random() < 0.5:
+            tag = rng.choice(["div", "div", "ul", "p", "section", "td"])
+            other = rng.choice(["", "", f"{rng.choice(words).lower()} ", f"{rng.choice(words).lower()}-{rng.choice(words).lower()} "])
+            return f'<{tag} class="{other}{HIDDEN_NAME}">{body}</{tag}>'
     name = rng.choice(OUTER_NAMES)
     name = rng.choice([name, name, f"{name}-{rng.choice(['box', 'list', 'inner', 'wrap', 'top', 'left'])}",
                        f"site-{name}", f"{rng.choice(['page', 'main'])} {name}"])
@@ -341,20 +397,40 @@ def _section(rng: random.Random, words: list[str]) -> str:
     return f"<{tag} {rng.choice(['class', 'class', 'id'])}=\"{name}\">{body}</{tag}>"
 
 
+def _paragraph(rng: random.Random, words: list[str]) -> str:
+    """One block of an article; some words may be linked."""
+    tag = rng.choice(["p", "p", "p", "h2", "li", "blockquote", "td", "div"])
+    said = [rng.choice(words) for _ in range(rng.randint(1, 80))]
+    if rng.random() < 0.2 and len(said) > 8:
+        at = rng.randrange(len(said) - 4)
+        said[at], said[at + 2] = '<a href="#">' + said[at], said[at + 2] + "</a>"
+    return f"<{tag}>{' '.join(said)}"
+
+
 def training_sequences(pages: list[str], encode: Encoder, variants: int = VARIANTS, seed: int = 4):
-    """Block vectors and weak labels of the pages and of variants with other parts and containers."""
+    """Block vectors and weak labels of the pages and of variants with other parts and containers.
+
+    An encoder without known path tokens gets those that a hundredth of these pages have.
+    """
     rng = random.Random(seed)
-    words = sorted({w for p in pages[:50] for b in blocks(p) for w in b[0].split()[:40]}) or ["text"]
+    vocabulary = sorted({w for p in pages[:50] for b in blocks(p) for w in b[0].split()[:40]}) or ["text"]
     out = []
     for page in pages:
         made = [page]
         for _ in range(variants):
-            body = "".join(f"<{rng.choice(['p', 'p', 'p', 'h2', 'li', 'blockquote', 'td', 'div'])}>{' '.join(rng.choice(words) for _ in range(rng.randint(1, 80)))}"
-                           for _ in range(rng.randint(1, 25)))
+            # each variant has few words of its own, partly of no language, so that words alone say little
+            words = rng.choices(vocabulary, k=rng.randint(5, 200))
+            words += ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) + rng.choice(["", "", "", ",", "."])
+                      for _ in range(rng.randint(5, 60))]
+            body = "".join(_paragraph(rng, words) for _ in range(rng.randint(1, 25)))
             if rng.random() < 0.3:
                 cut = body.find("<", len(body) // 2)
                 body = body[:cut] + _section(rng, words) + body[cut:] if cut > 0 else body
             start = rng.choice(INNER)
+            if rng.random() < 0.45:  # containers whose names say nothing
+                one, two = rng.choice(words).lower(), rng.choice(words).lower()
+                start = rng.choice(["<div>", "<div><div>", "<table><tr><td>", f'<div class="{one}-{two}">', f'<section id="{one}">',
+                                    f'<div class="{rng.choice(OUTER_NAMES)}-{one}-{two}">'])
             end = "".join(f"</{t}>" for t in reversed(re.findall(r"<(\w+)", start)))
             before = "".join(_section(rng, words) for _ in range(rng.randint(0, 4)))
             after = "".join(_section(rng, words) for _ in range(rng.randint(0, 4)))
@@ -362,9 +438,14 @@ def training_sequences(pages: list[str], encode: Encoder, variants: int = VARIAN
                         f" {rng.choice(words)}</h1>{body}{end}{after}</body></html>")
         for m in made:
             leaves = blocks(m)
+            hidden = "n:" + HIDDEN_NAME
             if leaves:
-                out.append((encode(leaves), np.array([weak_label(path) for _, path, _ in leaves], dtype=np.float32)))
-    return out
+                seen = [(t, tuple(n for n in path if n != hidden), linked) for t, path, linked in leaves]
+                out.append((seen, np.array([weak_label(path) * (hidden not in path) for _, path, _ in leaves], dtype=np.float32)))
+    if encode.known is None:
+        held_by = Counter(t for leaves, _ in out for t in {t for _, path, _ in leaves for t in path})
+        encode.known = frozenset(t for t, n in held_by.items() if n >= max(2, len(out) / 100))
+    return [(encode(leaves), y) for leaves, y in out]
 
 
 def train(pages: DataFrame, html_col: str = "html", bound: int = TRAIN_PAGES) -> BlockLabeller:
@@ -387,9 +468,27 @@ def train(pages: DataFrame, html_col: str = "html", bound: int = TRAIN_PAGES) ->
     sequences = training_sequences([r["html"] for r in sample], encode)
     if sequences:
         model.fit(sequences)
+        model.known = encode.known
     return model
 
 
+def label_pages(model: BlockLabeller, encode: Encoder, pages: list[list]) -> list[np.ndarray]:
+    """Article or not, for the blocks of each page.
+
+    A page of more than ``LONG`` blocks is read in windows, each with ``MARGIN`` blocks more on either side.
+    """
+    short = [x if len(x) <= LONG else [] for x in pages]
+    out = model.label([encode(x) if x else np.zeros((0, 1)) for x in short])
+    for i, x in enumerate(pages):
+        if len(x) > LONG:
+            parts = []
+            for at in range(0, len(x), LONG):
+                lo, hi = max(0, at - MARGIN), min(len(x), at + LONG + MARGIN)
+                parts.append(model.label([encode(x[lo:hi], lo, len(x))])[0][at - lo:at - lo + LONG])
+            out[i] = np.concatenate(parts)
+    return out
+
+
 def extract_text(pages: DataFrame, model: BlockLabeller, *, html_col: str = "html",
                  keep: list[str] | None = None) -> DataFrame:
     """``row`` (struct of ``keep``, default all columns but the html), ``blocks`` (texts kept), ``text``."""
@@ -398,12 +497,12 @@ def extract_text(pages: DataFrame, model: BlockLabeller, *, html_col: str = "htm
     kind = rows.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder()
+        encode = Encoder(model.known)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 leaves = [blocks(h or "") for h in part.column(1).to_pylist()]
-                labels = model.label([encode(x) if x else np.zeros((0, 1)) for x in leaves])
+                labels = label_pages(model, encode, leaves)
                 kept = [[t for (t, _, _), y in zip(x, ys) if y] for x, ys in zip(leaves, labels)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(kept, pa.list_(pa.string())), pa.array([" ".join(k) for k in kept], pa.string())],

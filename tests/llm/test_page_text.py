@@ -84,3 +84,57 @@ def test_training_pages_are_distinct_and_never_none(spark, monkeypatch):
         P.train(df, bound=bound)
         assert len(seen[-1]) == len(set(seen[-1])) and 1 <= len(seen[-1]) <= bound
     assert len(seen[-1]) == 5
+
+
+def read(model, page):
+    leaves = P.blocks(page)
+    return " ".join(t for (t, _, _), k in zip(leaves, P.label_pages(model, P.Encoder(model.known), [leaves])[0]) if k)
+
+
+STORY = ["The flood of last spring left the lower town without power for nine days, and many have not come back.",
+         "People who stayed say that the river had been rising for weeks, as nobody at the council would listen.",
+         "A report is due in May. Until then the bridge stays closed, and the ferry runs twice a day.",
+         "Repairs will cost about forty million, of which the county pays half."]
+
+
+def test_names_that_only_hold_an_outer_word():
+    assert P.name_tokens("sidebar") == ["n:sidebar"] and P.name_tokens("site-header") == ["n:site", "n:header"]
+    assert P.name_tokens("social-science-article") == ["n:science", "n:article"] and P.name_tokens("no-sidebar") == ["n:no"]
+    assert P.blocks('<html class="cookies"><body class="menu"><p>x') == [("x", ("t:html", "t:body", "t:p"), 0.0)]
+
+
+@pytest.mark.parametrize("head,tail", [
+    ('<body class="single no-sidebar"><article>', "</article>"),
+    ('<html class="js cookies"><body class="header-fixed has-banner"><main>', "</main>"),
+    ('<body><div class="social-science-article">', "</div>"),
+    ('<body><div class="comment-section-free"><div class="storytext">', "</div></div>"),
+    ("<body><div>", "</div>"),
+    ('<body><table><tr><td class="xk3">', "</td></tr></table>")])
+def test_articles_in_markup_not_trained_on(model, head, tail):
+    story = "<h1>The flood</h1>" + "".join(f"<p>{p}</p>" for p in STORY)
+    want = " ".join(["The flood", *STORY])
+    assert read(model, f"{head}{story}{tail}") == want
+    around = ('<div class="qz7"><a href="/a">Sport</a> <a href="/b">News</a> <a href="/c">Weather</a></div>',
+              '<footer><p>All rights reserved</p></footer>')
+    assert read(model, head.replace("<body", "<body data-x=1") + story + tail + around[1]) == want
+    if "<div>" not in head:
+        opened = head.split(">", head.count("<body") and head[:head.index("<body")].count(">") + 1)
+        page = ">".join(opened[:-1]) + ">" + around[0] + opened[-1] + story + tail + around[1]
+        assert read(model, page) == want, page[:120]
+
+
+def test_long_pages_in_windows(model, monkeypatch):
+    page = "<nav><a>Home</a></nav><article>" + "".join(f"<p>word{i} and more, of it.</p>" for i in range(500)) + "</article><footer>end</footer>"
+    want = read(model, page)
+    assert want.startswith("word0 ") and want.count("more") == 500
+    monkeypatch.setattr(P, "LONG", 60)
+    monkeypatch.setattr(P, "MARGIN", 20)
+    assert read(model, page) == want
+
+
+def test_time_in_proportion_to_the_page():
+    import time
+    for page in ("<a " * 300_000, "<b>" * 100_000 + "x", "<" * 500_000, "<!-- " * 200_000, '<a href="' * 100_000, "<p>x" * 100_000, "<a>x" * 50_000):
+        began = time.process_time()
+        P.blocks(page)
+        assert time.process_time() - began < 10, page[:10]
