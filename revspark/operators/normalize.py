@@ -190,6 +190,12 @@ def load_rules(path: str | None = None, on_bad_rule: str = "error") -> list[Rule
     return rules
 
 
+def plain_rules(path: str | None = None) -> list[Rule]:
+    """The generic rules without look-around and without escaped classes, which every engine reads alike."""
+    return [r for r in load_rules(path, on_bad_rule="skip")
+            if r.scope_title is None and "(?" not in r.pattern and not re.search(r"\\[a-zA-Z]", r.pattern)]
+
+
 def java_pattern(rule: Rule) -> str:
     p = rule.pattern
     if rule.match == "word":

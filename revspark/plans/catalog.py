@@ -339,6 +339,35 @@ def review_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.md5("user_review").alias("text_md5"))
 
 
+#: Frequent words of the documents that become words the rules know.
+PLANTED_WORDS = ((" the ", " qeue "), (" and ", " couldn't "), (" of ", " PvP "), (" que ", " tl;dr "), (" der ", " f2p "), (" les ", " ★★★☆ "))
+
+
+@query("plain_rules")
+def plain_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shipped generic rules that any regular expression engine can run (no look-around, no classes
+    of its own), in order, over texts in which frequent words are words of the rules."""
+    text = F.col("text")
+    for word, other in PLANTED_WORDS:
+        text = F.replace(text, F.lit(word), F.lit(other))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    return NZ.apply_rules(docs, NZ.plain_rules(), "text").select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query("fixed_model")
+def fixed_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Margins and classes of all labelled documents under a linear model of given coefficients (by the
+    feature's id) on their TF-IDF vectors."""
+    from revspark.operators import linear as LN
+    import numpy as np
+    docs = _labelled_docs(spark, sf_dir)
+    split = SP.stratified_split(docs, "label", "doc_id", 0.25)
+    vec = MD.fit_vectorizer(split.filter(~F.col("is_test")), 1, 1)
+    model = LN.LinearModel((np.arange(vec.size) % 7 - 3) / 10.0, 0.01)
+    scored = model.score(vec.weights(docs))
+    return scored.select("doc_id", F.round("margin", 6).alias("margin"), "prediction")
+
+
 # --- step 8: token filter, title tags, lemmas ---------------------------------
 
 @query("token_filter")
@@ -386,6 +415,24 @@ def lemmatize(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .alias("lemma_md5"))
 
 
+LEMMA_ENDINGS = ("s", "es", "ed", "ing", "ly", "tion", "en", "er", "eur", "ar", "ou")
+
+
+@query("lemma_rules")
+def lemma_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suffix rules learned from 13 sixteenths of the vocabulary's (form, lemma) pairs, applied to the
+    held-out rest: lemma found, right or not."""
+    from revspark.operators import lemma_rules as LR
+    toks = FE.kept_token_table(table(spark, sf_dir, "documents")).filter(F.col("token").isNotNull())
+    vocab = toks.select(F.col("token").alias("term")).filter(F.col("token").rlike("^[a-z]+$")).distinct()
+    pairs = LR.pairs_of_vocabulary(vocab, LEMMA_ENDINGS)
+    held = F.substring(F.md5(F.col("form").cast("binary")), 1, 1).isin("0", "1", "2")
+    rules = LR.learn_suffix_rules(pairs.filter(~held))
+    test = pairs.filter(held)
+    found = LR.apply_suffix_rules(test, rules).withColumnRenamed("lemma", "found")
+    return test.join(found, "form").select("form", "lemma", "found", (F.col("lemma") == F.col("found")).alias("is_right"))
+
+
 # --- step 9: stratified split ---------------------------------------------------
 
 def _labelled_docs(spark, sf_dir):
@@ -701,6 +748,14 @@ def linear_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _search_result(MD.linear_search(train), vec, test)
 
 
+@query("kernel_search")
+def kernel_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaussian-kernel classifier on random Fourier features, C in 1..10, 5 stratified folds, all 60 models by
+    the same passes over the train split; predictions for the test split. Unigram TF-IDF features."""
+    vec, train, test = _search_data(spark, sf_dir)
+    return _search_result(MD.kernel_search(train), vec, test)
+
+
 @query("search_accuracy")
 def search_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of right predictions, on the test split, of the ridge logistic model with C = 1."""

@@ -350,3 +350,52 @@ ORACLE["folds"] = """
 SELECT doc_id, quality AS label,
        CAST((row_number() OVER (PARTITION BY quality ORDER BY md5('43:' || doc_id)) - 1) % 5 AS INTEGER) AS fold
 FROM labels"""
+
+
+def _plain_rules() -> str:
+    """The rules as one step each, in order."""
+    from revspark.operators.normalize import plain_rules
+    from revspark.plans.catalog import PLANTED_WORDS
+    text = "text"
+    for word, other in PLANTED_WORDS:
+        text = f"replace({text}, {S.sql_str(word)}, {S.sql_str(other)})"
+    steps = [f"r0 AS (SELECT doc_id, {text} AS t FROM documents)"]
+    for i, r in enumerate(plain_rules()):
+        new = f"regexp_replace(t, {S.sql_str(r.pattern)}, {S.sql_str(r.replacement)}, 'gi')"
+        steps.append(f"r{i + 1} AS MATERIALIZED (SELECT doc_id, {new} AS t FROM r{i})")
+    return "WITH " + ",\n".join(steps) + f"\nSELECT doc_id, md5(t) AS text_md5 FROM r{len(steps) - 1}"
+
+
+ORACLE["plain_rules"] = _plain_rules()
+
+ORACLE["fixed_model"] = f"""WITH {PAD_CTE},
+dfs AS (SELECT token AS term, count(DISTINCT tok.doc_id) AS df FROM tok
+        JOIN t ON t.doc_id = tok.doc_id WHERE NOT t.is_test GROUP BY token),
+n AS (SELECT count(*) AS n FROM t WHERE NOT is_test),
+w AS (SELECT tok.doc_id, v.id - 1 AS id,
+             count(*) * (ln((1.0 + any_value(n.n)) / (1.0 + any_value(dfs.df))) + 1.0) AS w
+      FROM tok JOIN v ON v.term = tok.token JOIN dfs ON dfs.term = tok.token CROSS JOIN n
+      GROUP BY tok.doc_id, v.id),
+g AS (SELECT doc_id, sum(w * ((id % 7 - 3) / 10.0)) / sqrt(sum(w * w)) AS m FROM w GROUP BY doc_id)
+SELECT ld.doc_id, round(coalesce(g.m, 0.0) + 0.01, 6) AS margin, CAST(coalesce(g.m, 0.0) + 0.01 > 0 AS INTEGER) AS prediction
+FROM ld LEFT JOIN g ON g.doc_id = ld.doc_id"""
+
+_ENDINGS = S.sql_list(["s", "es", "ed", "ing", "ly", "tion", "en", "er", "eur", "ar", "ou"])
+
+ORACLE["lemma_rules"] = f"""WITH t AS (SELECT {S.kept_tokens('text')} AS a FROM documents),
+v AS (SELECT DISTINCT term FROM (SELECT unnest(a) AS term FROM t) WHERE regexp_full_match(term, '[a-z]+')),
+c AS (SELECT term AS form, unnest(list_filter({_ENDINGS}, lambda e: ends_with(term, e) AND length(term) - length(e) >= 3)) AS e FROM v),
+k AS (SELECT form, e, left(form, length(form) - length(e)) AS lemma FROM c
+      WHERE left(form, length(form) - length(e)) IN (SELECT term FROM v)),
+p AS (SELECT form, arg_max(lemma, length(e)) AS lemma FROM k GROUP BY form),
+q AS (SELECT *, substr(md5(form), 1, 1) IN ('0', '1', '2') AS held FROM p),
+s AS (SELECT length(form) - length(lemma) AS cut,
+             unnest(list_transform(range(length(form) - length(lemma), least(length(form) - 1, 5) + 1), lambda n: right(form, n))) AS suffix
+      FROM q WHERE NOT held),
+ct AS (SELECT suffix, cut, count(*) AS n FROM s GROUP BY suffix, cut HAVING count(*) >= 2),
+ru AS (SELECT suffix, cut FROM (SELECT *, row_number() OVER (PARTITION BY suffix ORDER BY n DESC, cut) AS rn FROM ct) WHERE rn = 1),
+en AS (SELECT form, unnest(list_transform(range(0, least(length(form) - 1, 5) + 1), lambda n: right(form, n))) AS suffix FROM q WHERE held),
+f AS (SELECT form, arg_max(cut, length(suffix)) AS cut FROM en JOIN ru USING (suffix) GROUP BY form),
+o AS (SELECT q.form, q.lemma, coalesce(left(q.form, length(q.form) - f.cut), q.form) AS found
+      FROM q LEFT JOIN f ON f.form = q.form WHERE held)
+SELECT form, lemma, found, lemma = found AS is_right FROM o"""
