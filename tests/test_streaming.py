@@ -160,8 +160,8 @@ def _event_dir(spark, parts):
 
 def test_event_streams_read_whole_tables_in_several_batches(spark, monkeypatch):
     from revspark.plans.catalog import QUERIES
-    logs, run = [], SM.run_dedupe
-    monkeypatch.setattr(SM, "run_dedupe", lambda *a, **k: logs.append(run(*a, **k)) or logs[-1])
+    logs, run = [], SM.run_keyed_dedupe
+    monkeypatch.setattr(SM, "run_keyed_dedupe", lambda *a, **k: logs.append(run(*a, **k)) or logs[-1])
     for parts in (5, 0):
         sf, rows = _event_dir(spark, parts)
         first = {}
