@@ -58,3 +58,25 @@ def test_pad_ids_tokenizer_and_junk(spark):
     assert raw[1].count(0) == 2 and len(raw[1]) == 4  # "the" and "!" are unknown
     split = FE.PadIds(tokenizer=lambda c: F.split(F.lower(c), "a")).fit(docs)
     assert split.vocab.count() >= 3
+
+
+def test_tfidf_moves_the_pairs_once_by_term_and_once_back(spark):
+    """Texts go to their document's task, so counting needs no exchange of its own; ids may repeat."""
+    docs = spark.createDataFrame([(1, "red car"), (1, "red bus"), (2, "car car"), (3, "")], "doc_id long, text string")
+    out = FE.TfIdf(n_min=1, n_max=1).fit_transform(docs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    by = [line.split("hashpartitioning(")[1].split("#")[0] for line in plan.splitlines() if "hashpartitioning(" in line]
+    assert sorted(by) == ["doc_id", "doc_id", "term"]
+    idf = {t: math.log((1 + 4) / (1 + n)) + 1 for t, n in (("red", 1), ("bus", 1), ("car", 2))}
+    one = {"red": 2 * idf["red"], "car": idf["car"], "bus": idf["bus"]}
+    norm = math.sqrt(sum(w * w for w in one.values()))
+    want = {(1, t): round(w / norm, 9) for t, w in one.items()} | {(2, "car"): 1.0}
+    assert {(r.doc_id, r.term): round(r.weight, 9) for r in out.collect()} == want
+
+
+def test_tfidf_min_df_and_most_frequent_features(spark):
+    docs = spark.createDataFrame([(1, "red car"), (2, "car bus bus"), (3, "red car")], "doc_id long, text string")
+    some = FE.TfIdf(n_min=1, n_max=1, min_df=2).fit_transform(docs)
+    assert {(r.doc_id, r.term) for r in some.collect()} == {(1, "red"), (1, "car"), (2, "car"), (3, "red"), (3, "car")}
+    top = FE.TfIdf(n_min=1, n_max=1, max_features=1).fit_transform(docs)
+    assert {(r.doc_id, r.term, r.weight) for r in top.collect()} == {(1, "car", 1.0), (2, "car", 1.0), (3, "car", 1.0)}
