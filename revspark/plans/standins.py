@@ -17,6 +17,8 @@ from revspark.plans.tables import table
 DEV_REPLY = "We are looking into it."
 #: Deliveries of the event stream.
 EVENT_FILES = 4
+#: Micro-batches in which the stored page files are streamed.
+PAGE_BATCHES = 4
 
 
 def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:

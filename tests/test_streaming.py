@@ -236,3 +236,31 @@ def test_keyed_dedupe_of_whole_rows(spark):
     rows = [(1, "a", None), (1, "a", None), (1, "a", "x"), (None, None, None), (None, None, None)]
     log, store, *_ = _keyed(spark, [rows, rows], None, None)
     assert list(log.counts.values()) == [3, 0] and spark.read.parquet(store).drop("batch_id").distinct().count() == 3
+
+
+def test_stream_pages_deals_the_page_files_by_page(spark, monkeypatch):
+    """One product has all reviews: its pages are in many files, which four micro-batches read."""
+    from revspark.plans import catalog as C
+    pages = spark.range(64).selectExpr(
+        "'one' AS title", "'1' AS appid", "1 AS success", "cast(id AS string) AS cursor",
+        "array(named_struct('recommendationid', cast(id AS string), 'author', named_struct('steamid', cast(id AS string)), 'language', 'english', 'review', 'text',"
+        " 'timestamp_created', 86400 * (id % 3), 'voted_up', true)) AS reviews")
+    monkeypatch.setattr(C.ST, "review_pages", lambda *a: pages)
+    seen = {}
+    from revspark.streaming import stream as SM
+    real = SM.stream_review_pages
+
+    def streamed(session, path, max_files=1, **kw):
+        files = session.read.text(path).selectExpr("_metadata.file_path AS f").groupBy("f").count().collect()
+        seen["rows"], seen["max_files"] = sorted(r["count"] for r in files), max_files
+        return real(session, path, max_files=max_files, **kw)
+
+    monkeypatch.setattr(SM, "stream_review_pages", streamed)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        out = C.QUERIES["stream_pages"](spark, "unused")
+        assert out.count() == 64
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(seen["rows"]) == 8 and max(seen["rows"]) <= 24 and seen["max_files"] == 2
