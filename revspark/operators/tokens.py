@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from revspark.functions import constants as K
 from revspark.functions.text import is_punct, keep_token, lower_strip, ngrams, tokenize
+from revspark.operators.features import dealt_by
 
 
 def title_dictionary(titles: DataFrame, aliases=None, title_col: str = "title") -> DataFrame:
@@ -176,11 +177,14 @@ def kept_with_titles(docs: DataFrame, spans: DataFrame, stop: bool = True,
 def lemma_table_from_vocab(vocab: DataFrame, term_col: str = "term") -> DataFrame:
     """A ``(form, lemma)`` table derived from a vocabulary: a word ending in "s"
     whose stem is itself in the vocabulary folds to that stem."""
-    v = vocab.select(F.col(term_col).alias("lemma")).distinct()
-    forms = vocab.select(F.col(term_col).alias("form")).distinct() \
-        .filter(F.col("form").rlike("^[a-z]{3,}s$")) \
-        .withColumn("lemma", F.expr("substring(form, 1, length(form) - 1)"))
-    return forms.join(v, "lemma", "left_semi").select("form", "lemma")
+    terms = vocab.select(F.col(term_col).alias("form")).distinct()
+    stem = F.when(F.col("form").rlike("^[a-z]{3,}s$"), F.expr("substring(form, 1, length(form) - 1)"))
+    # a term meets its plural (a stem has one form), so that the vocabulary is made once
+    asked = terms.select(F.explode(F.array(
+        F.struct(F.col("form").alias("lemma"), F.lit(None).cast("string").alias("form")),
+        F.struct(stem.alias("lemma"), F.col("form").alias("form")))).alias("x")).select("x.*").where(F.col("lemma").isNotNull())
+    met = asked.groupBy("lemma").agg(F.max(F.col("form").isNull()).alias("_known"), F.max("form").alias("form"))
+    return met.where(F.col("_known") & F.col("form").isNotNull()).select("form", "lemma")
 
 
 def lemmatize(tokens: DataFrame, lemmas: DataFrame | None, token_col: str = "token") -> DataFrame:
@@ -198,4 +202,8 @@ def lemmatize(tokens: DataFrame, lemmas: DataFrame | None, token_col: str = "tok
     out = rows.join(lm, F.lower(F.col(token_col)) == F.col("_form"), "left")
     out = out.withColumn(token_col, F.lower(F.trim(F.coalesce("_lemma", F.col(token_col))))) \
         .drop("_form", "_lemma")
-    return out.withColumn("pos", F.explode("_at")).select(*tokens.columns) if positions else out
+    if not positions:
+        return out
+    if "doc_id" in own:  # a document's forms go back to it before they become one row a position
+        out = dealt_by(out)
+    return out.withColumn("pos", F.explode("_at")).select(*tokens.columns)

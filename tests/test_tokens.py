@@ -4,6 +4,8 @@ import random
 import re
 import unicodedata
 
+from pyspark.sql import functions as F
+
 from revspark.operators import tokens as TK
 
 TOKEN_RE = re.compile(r"[^\W_]+|[^\s\w]|_", re.UNICODE)
@@ -84,3 +86,22 @@ def test_lemmatize_identity_and_table(spark):
     again = spark.createDataFrame([(1, p, "games") for p in range(4)] + [(2, 0, "games")], "doc_id long, pos long, token string")
     assert sorted(tuple(r) for r in TK.lemmatize(again, lem).collect()) == [(1, p, "game") for p in range(4)] + [(2, 0, "game")]
     assert [r.token for r in TK.lemmatize(toks, None).orderBy("pos").collect()] == ["games", "run"]
+
+
+def test_lemmas_move_the_pairs_once_by_token_and_once_back(spark):
+    """Documents dealt out by id: neither the grouping of their tokens nor that of their lemmas moves them again."""
+    from revspark.operators import features as FE
+    docs = spark.createDataFrame([(1, "cars car bus"), (2, "cars games"), (2, "game gas ga"), (3, None)], "doc_id long, text string")
+    toks = FE.kept_token_table(FE.by_document(docs, "text")).filter("token IS NOT NULL")
+    lemmas = TK.lemma_table_from_vocab(toks.select(F.col("token").alias("term")))
+    assert sorted(tuple(r) for r in lemmas.collect()) == [("cars", "car"), ("games", "game")]
+    # "gas" is too short a word, "bus" has no stem here
+    out = TK.lemmatize(toks, lemmas).groupBy("doc_id").agg(F.array_sort(F.collect_list("token")).alias("t"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert {r.doc_id: r.t for r in out.collect()} == {1: ["bus", "car", "car"], 2: ["car", "ga", "game", "game", "gas"]}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    by_doc = [line for line in plan.splitlines() if "hashpartitioning(doc_id" in line]
+    assert by_doc and all("REPARTITION_BY_NUM" in line for line in by_doc)
