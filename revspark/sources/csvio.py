@@ -180,11 +180,12 @@ def read_csv(spark: SparkSession, paths, columns: list[str], corrupt: str) -> Da
                "maxCharsPerColumn": "-1"}
     records = read_records(spark, paths).where(F.col("record") != "")
     line = F.regexp_replace("record", r"\r\z", "")  # the carriage return of a CRLF line end
-    rows = records.select("record_no", F.from_csv(line, schema, options).alias("r"))
-    header = F.array(*[F.col(f"r.{c}") for c in columns]) == F.array(*[F.lit(c) for c in columns])
+    # generated, so that a record is parsed once, not again for every column and filter that names it
+    rows = records.select("record_no", F.inline(F.array(F.from_csv(line, schema, options))))
+    header = F.array(*columns) == F.array(*[F.lit(c) for c in columns])
     rows = rows.where((F.col("record_no") > 0) | ~F.coalesce(header, F.lit(False)))
-    absent = F.filter(F.array(*[F.when(F.col(f"r.{c}").isNull(), F.lit(c)) for c in columns]), lambda x: x.isNotNull())
-    return rows.select(*[_unescaped(F.col(f"r.{c}")).alias(c) for c in columns], F.col(f"r.{corrupt}").alias(corrupt),
+    absent = F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in columns]), lambda x: x.isNotNull())
+    return rows.select(*[_unescaped(F.col(c)).alias(c) for c in columns], corrupt,
                        absent.alias(ABSENT))
 
 

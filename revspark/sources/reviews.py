@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from revspark.functions.constants import MISSING_TITLE
 from revspark.operators.flatten import flatten_reviews
 from revspark.schemas import ENVELOPE, FLAT_REVIEW, SENTIMENT
-from revspark.session import path_exists
+from revspark.session import path_exists, scratch_path
 from revspark.sources import csvio
 from revspark.sources.log import commit, committed_files, has_log, manifests
 
@@ -41,8 +41,8 @@ def read_reviews(spark: SparkSession, path: str, strict: bool = False,
 
     Every CSV column is read as a string and cast with ``try_cast``; a row is valid
     when it has all fields, its required ones are present and every non-null source
-    value converted. ``strict`` raises on the first
-    invalid row (one small action); otherwise invalid rows are dropped, or kept
+    value converted. ``strict`` raises on an
+    invalid row (the typed rows are stored first); otherwise invalid rows are dropped, or kept
     with ``is_valid`` when ``with_validity``. Stray header rows (from appending
     to a file that already had one) are invalid rows, never data.
     """
@@ -68,7 +68,10 @@ def read_reviews(spark: SparkSession, path: str, strict: bool = False,
     for c in checks:
         ok = ok & c
     typed_df = raw.select(*cols, ok.alias("is_valid"))
-    if strict:
+    if strict:  # stored once: the check and whoever reads the rows do not parse the files again
+        path = scratch_path(spark, "typed-reviews")
+        typed_df.write.parquet(path)
+        typed_df = spark.read.schema(typed_df.schema).parquet(path)
         bad = typed_df.filter(~F.col("is_valid")).limit(1).collect()
         if bad:
             raise ValueError(f"malformed review row: {bad[0].asDict()}")

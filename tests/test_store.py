@@ -165,3 +165,10 @@ def test_modes_and_empty_loads(spark):
     with pytest.raises(ValueError):
         RV.write_reviews(flat(spark, ["a"]), path, mode="append", load="../x")
     assert RV.read_reviews(spark, path).count() == 1
+
+
+def test_a_record_is_parsed_once(spark):
+    path = path_of("parsed")
+    RV.write_reviews(flat(spark, TEXTS), path, fmt="csv")
+    plan = RV.read_reviews(spark, path)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_csv") == 1
