@@ -4,11 +4,10 @@ Rules run strictly in order, each on the text the previous ones produced,
 case-insensitively (Unicode-aware). A rule may be scoped to rows whose title
 contains a pattern.
 
-A text is scanned once for the words that the rules' patterns require (one pattern, a
-tree of all of them); the rules it can not fire are never tried. The others run in
-order, each pattern a literal compiled once per task, as one fold over the rules
-(never nested projections). A rewrite scans the new text again. All JVM-side: no Python
-worker touches the text.
+A rule is tried only where the text holds one of the words that its pattern requires, which a
+plain search finds at the rule's turn. Rules run in order, each pattern a literal compiled
+once per task, as one fold over the rules (never nested projections). All JVM-side: no
+Python worker touches the text.
 """
 
 from __future__ import annotations
@@ -225,45 +224,12 @@ def rule_step(text: Column, rule: Rule, title: Column | None = None) -> Column:
     return replaced if cond is None else F.when(cond, replaced).otherwise(text)
 
 
-def _tree(literals: list[str]) -> str:
-    """One pattern for all ``literals``, their common beginnings written once, the longest tried first."""
-    ends, by_first = False, {}
-    for lit in literals:
-        if lit:
-            by_first.setdefault(lit[0], []).append(lit[1:])
-        else:
-            ends = True
-    if not by_first:
-        return ""
-    branches = "|".join(re.escape(c) + _tree(rest) for c, rest in sorted(by_first.items()))
-    return f"(?:{branches})" + ("?" if ends else "")
-
-
-class ArmedRules:
-    """Which rules can fire on a text, from one scan of it for the literals of all their gates.
-
-    At each place the scan takes the longest literal; the shorter ones there are its beginnings
-    and count as found. Case folds as in the rules' own patterns, so no rule that matches is missed.
-    """
-
-    def __init__(self, rules: list[Rule]):
-        self.always = [i for i, r in enumerate(rules) if not r.gate]
-        literals = sorted({g for r in rules for g in r.gate})
-        found = {lit: sorted({i for i, r in enumerate(rules) if any(lit.startswith(g) for g in r.gate)}) for lit in literals}
-        self.everything = F.array(*[F.lit(i) for i in range(len(rules))])
-        self.pattern = f"(?iu)(?=({_tree(literals)}))" if literals else None
-        self.rules_of = F.create_map(*[x for lit, ids in found.items() for x in (F.lit(lit), F.array(*map(F.lit, ids)))]) \
-            if literals else None
-
-    def of(self, text: Column) -> Column:
-        """Ids of the rules that can fire on ``text``."""
-        always = F.array(*[F.lit(i) for i in self.always]).cast("array<int>")
-        if self.pattern is None:
-            return always
-        found = F.array_distinct(F.regexp_extract_all(text, F.lit(self.pattern), F.lit(1)))
-        # a character whose other case has another length is in no literal: every rule is tried then
-        ids = F.flatten(F.transform(found, lambda m: F.coalesce(F.try_element_at(self.rules_of, F.lower(F.upper(m))), self.everything)))
-        return F.array_union(always, ids)
+def _folded(text: Column) -> Column:
+    """``text`` with its case folded so that every literal of a gate that a rule's pattern finds in it is in it."""
+    # patterns take these for ASCII letters, lower case does not
+    for other, letter in (("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s")):
+        text = F.replace(text, F.lit(other), F.lit(letter))
+    return F.lower(text)
 
 
 def _replaced(text: Column, rule: Rule, title: Column | None) -> Column:
@@ -279,30 +245,32 @@ def apply_rules(df: DataFrame, rules: list[Rule], text_col: str, out_col: str |
                 title_col: str | None = None) -> DataFrame:
     """Apply ``rules`` in order to ``text_col``; the result goes to ``out_col``.
 
-    A text is scanned once for the rules that can fire on it; only these are run, in order. When
-    one changes the text, the new text is scanned again for the rules that can fire after it.
+    A rule runs only on a text that holds a literal of its gate, which a plain search in the folded
+    text finds; a rewrite folds the new text.
     """
     out = out_col or text_col
     rules = sorted(rules, key=lambda r: r.order)
     if not rules:
         return df.withColumn(out, F.col(text_col))
-    armed = ArmedRules(rules)
     title = F.col(title_col) if title_col else None
+    gates = F.array(*[F.array(*[F.lit(g) for g in r.gate]).cast("array<string>") for r in rules])
+
+    def state_of(text: Column) -> Column:
+        return F.struct(text.alias("text"), _folded(text).alias("folded"))
 
     def one(state: Column, number: Column) -> Column:
-        text = state["text"]
+        text, gate = state["text"], F.get(gates, number)
         case = None
         for i, rule in enumerate(rules):
             new = _replaced(text, rule, title)
             case = F.when(number == i, new) if case is None else case.when(number == i, new)
         # the array names the new text, so that it is computed once
-        step = F.transform(F.array(case), lambda new: F.struct(
-            new.alias("text"), F.when(new == text, state["armed"]).otherwise(armed.of(new)).alias("armed")))
-        return F.when(F.array_contains(state["armed"], number), F.get(step, F.lit(0))).otherwise(state)
+        step = F.transform(F.array(case), lambda new: F.when(new == text, state).otherwise(state_of(new)))
+        can_fire = (F.size(gate) == 0) | F.exists(gate, lambda lit: F.contains(state["folded"], lit))
+        return F.when(can_fire, F.get(step, F.lit(0))).otherwise(state)
 
-    first = F.struct(F.col(text_col).cast("string").alias("text"), armed.of(F.col(text_col).cast("string")).alias("armed"))
     numbers = F.array(*[F.lit(i) for i in range(len(rules))])
-    return df.withColumn(out, F.aggregate(numbers, first, one, lambda state: state["text"]))
+    return df.withColumn(out, F.aggregate(numbers, state_of(F.col(text_col).cast("string")), one, lambda state: state["text"]))
 
 
 def normalize_reviews(df: DataFrame, rules: list[Rule], text_col: str = "user_review",

@@ -54,3 +54,11 @@ def test_word_match_unicode(spark):
     rule = NZ.Rule(0, "vr", "virtual reality", match="word", literal="vr")
     out = spark.range(1).select(NZ.rule_step(F.lit("VR évr vr."), rule).alias("x")).first().x
     assert out == "virtual reality évr virtual reality."
+
+
+def test_letters_that_fold_to_ascii_fire_rules_and_texts_are_not_scanned_for_all(spark):
+    rules = [NZ.Rule(0, "moba", "arena", literal="moba"), NZ.Rule(1, "kiss", "hug", literal="kiss"), NZ.Rule(2, "hug", "end", literal="hug")]
+    texts = ["MOBA", "Kİſs", "kıss kiss", "nothing", None]
+    out = NZ.apply_rules(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string"), rules, "text")
+    assert [r.text for r in out.orderBy("id").collect()] == ["arena", "end", "end end", "nothing", None]
+    assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString()
