@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revspark.functions import constants as K
-from revspark.functions.text import is_punct, keep_token, lower_strip, ngrams, tokenize
+from revspark.functions.text import NO_PUNCT_PATTERN, is_punct, keep_token, lower_strip, ngrams, tokenize
 from revspark.operators.features import dealt_by
+from revspark.session import scratch_path
 
 
 def title_dictionary(titles: DataFrame, aliases=None, title_col: str = "title") -> DataFrame:
@@ -55,11 +56,12 @@ def title_patterns(dictionary: DataFrame) -> DataFrame:
                        F.col("gaps").alias("tgaps"), "title").filter(F.col("n") > 0))
 
 
-def doc_words(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``(doc_id, toks, widx, gaps)``: lower-cased tokens, positions of those that are not punctuation,
-    punctuation around them."""
-    t = docs.select(F.col(id_col).alias("doc_id"), tokenize(F.lower(F.col(text_col))).alias("toks"))
-    return _word_layout(t, "toks").select("doc_id", "toks", "widx", "gaps")
+def doc_words(docs: DataFrame, keep=()) -> DataFrame:
+    """``(doc_id, *keep, toks, widx, gaps)`` of ``(doc_id, text)``: lower-cased tokens, positions of those that are not
+    punctuation, punctuation around them."""
+    t = docs.select("doc_id", *keep, tokenize(F.lower("text")).alias("toks"))
+    # generated, so that no lambda that names one of them makes it again for every element
+    return _word_layout(t, "toks").select("doc_id", *keep, F.inline(F.array(F.struct("toks", "widx", "gaps"))))
 
 
 def _marks_left(gap: Column, marks: Column) -> Column:
@@ -70,29 +72,29 @@ def _marks_left(gap: Column, marks: Column) -> Column:
         (F.length(c) > 0) & F.startswith(rest, c), F.substring(rest, F.lit(2), F.length(rest))).otherwise(rest))
 
 
-def _heads_present(words: DataFrame, patterns: DataFrame) -> DataFrame:
+def _heads_present(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """``(doc_id, heads)``: title beginnings (one or two tokens) that occur in each document.
 
     One row per document and distinct beginning meets the distinct beginnings of the titles in a join.
     """
-    word = F.transform("widx", lambda i: F.element_at(F.col("toks"), i))
-    flat = words.select("doc_id", word.alias("w"))
+    flat = docs.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(NO_PUNCT_PATTERN), F.lit(0)).alias("w"))
     flat = flat.select("doc_id", F.array_distinct(ngrams("w", 1, 2)).alias("h"))
     pairs = flat.select("doc_id", F.explode_outer("h").alias("head")).filter(F.col("head").isNotNull())
     found = pairs.join(patterns.select("head").distinct(), "head")
     return found.groupBy("doc_id").agg(F.collect_set("head").alias("heads"))
 
 
-def title_candidates(words: DataFrame, patterns: DataFrame, lengths) -> DataFrame:
-    """Every match of a title: its required tokens in a row, with any of its punctuation left out.
+def title_candidates(docs: DataFrame, patterns: DataFrame, lengths) -> DataFrame:
+    """Every match of a title in ``(doc_id, text)``: its required tokens in a row, with any of its punctuation left out.
 
-    Documents first learn which title beginnings they hold; only there candidates of the title
-    ``lengths`` are cut, inside the document's row, and looked up by an equi-join on the required tokens.
-    Between them, the document's punctuation must be some of the title's, in order; before and after
+    Documents first learn which title beginnings they hold; only those that hold one are laid out, and only there
+    candidates of the title ``lengths`` are cut, inside the document's row, and looked up by an equi-join on the
+    required tokens. Between them, the document's punctuation must be some of the title's, in order; before and after
     them the span takes in as much as the title allows.
     """
     word_at = lambda s: F.element_at(F.col("toks"), F.element_at(F.col("widx"), s))
-    words = words.join(_heads_present(words, patterns), "doc_id")
+    docs = dealt_by(docs)  # the texts move, once for both uses; not their tokens
+    words = doc_words(docs.join(_heads_present(docs, patterns), "doc_id"), ["heads"])
     every = F.sequence(F.lit(1), F.size("widx"))
     one = F.filter(every, lambda s: F.array_contains("heads", word_at(s)))
     two = F.filter(every, lambda s: (s < F.size("widx")) & F.array_contains(
@@ -146,13 +148,15 @@ def tag_titles(docs: DataFrame, dictionary: DataFrame, text_col: str = "text",
                id_col: str = "doc_id") -> DataFrame:
     """Title spans ``(doc_id, start, n, tok_start, tok_end, title)``: 1-based token positions,
     ``n`` tokens from ``start``, the optional punctuation found included."""
-    patterns = title_patterns(dictionary)
+    path = scratch_path(docs.sparkSession, "title-patterns")  # read several times below: titles are found once
+    title_patterns(dictionary).write.parquet(path)
+    patterns = docs.sparkSession.read.parquet(path)
     # the distinct title lengths, a handful of numbers; the dictionary itself stays distributed
     lengths = [r[0] for r in patterns.select("n").distinct().collect()]
     if not lengths:
         schema = "doc_id bigint, start int, n int, tok_start int, tok_end int, title string"
         return docs.sparkSession.createDataFrame([], schema)
-    return resolve_spans(title_candidates(doc_words(docs, text_col, id_col), patterns, lengths))
+    return resolve_spans(title_candidates(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), patterns, lengths))
 
 
 def kept_with_titles(docs: DataFrame, spans: DataFrame, stop: bool = True,
@@ -163,8 +167,9 @@ def kept_with_titles(docs: DataFrame, spans: DataFrame, stop: bool = True,
     """
     ranges = spans.groupBy("doc_id").agg(
         F.collect_list(F.struct("tok_start", "tok_end")).alias("_r"))
-    t = docs.select(F.col(id_col).alias("doc_id"), tokenize(F.lower(F.col(text_col))).alias("toks"))
-    t = t.join(ranges, "doc_id", "left")
+    t = dealt_by(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))).join(ranges, "doc_id", "left")
+    # generated, so that no lambda that names the tokens makes them again for every element
+    t = t.select("doc_id", "_r", F.explode(F.array(tokenize(F.lower("_text")))).alias("toks"))
     in_title = lambda i: F.coalesce(F.exists("_r", lambda r: (i >= r["tok_start"]) & (i <= r["tok_end"])),
                                      F.lit(False))
     idx = F.sequence(F.lit(1), F.greatest(F.size("toks"), F.lit(1)))

@@ -105,3 +105,14 @@ def test_lemmas_move_the_pairs_once_by_token_and_once_back(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     by_doc = [line for line in plan.splitlines() if "hashpartitioning(doc_id" in line]
     assert by_doc and all("REPARTITION_BY_NUM" in line for line in by_doc)
+
+
+def test_titles_are_found_once_and_words_need_no_layout(spark):
+    from revspark.functions.text import NO_PUNCT_PATTERN, is_punct, tokenize
+    from revspark.plans.catalog import QUERIES
+    tagged = QUERIES["tag_titles"](spark, "/root/testdata/sf0.001")
+    assert "ArrowEvalPython" not in tagged._jdf.queryExecution().optimizedPlan().toString()
+    text = "a—b c-d (e) “f” 1,2 $3 ★ x_y 　日本。\U0001f600!? é́"
+    row = spark.createDataFrame([(text,)], "t string").select(
+        F.filter(tokenize("t"), lambda x: ~is_punct(x)).alias("a"), F.regexp_extract_all("t", F.lit(NO_PUNCT_PATTERN), F.lit(0)).alias("b")).first()
+    assert row.a == row.b
