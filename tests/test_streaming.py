@@ -174,6 +174,20 @@ def test_event_streams_read_whole_tables_in_several_batches(spark, monkeypatch):
         assert got == [(i, "view") for i in range(400)]
 
 
+def test_deliveries_of_many_files_are_few_batches(spark, monkeypatch):
+    """A large table's delivery is written by many tasks; a batch takes a delivery, not a file of it."""
+    from revspark.plans import catalog as C
+    logs, run, deliveries = [], SM.run_keyed_dedupe, C.ST.event_deliveries
+    monkeypatch.setattr(SM, "run_keyed_dedupe", lambda *a, **k: logs.append(run(*a, **k)) or logs[-1])
+    monkeypatch.setattr(C.ST, "event_deliveries", lambda events: [p.repartition(3) for p in deliveries(events)])
+    sf, rows = _event_dir(spark, 0)
+    first = {}
+    for i, *key in rows:
+        first.setdefault(tuple(key), i)
+    assert sorted(r[0] for r in C.QUERIES["stream_dedupe"](spark, sf).collect()) == sorted(first.values())
+    assert len(logs[-1].counts) == C.ST.EVENT_FILES
+
+
 def test_event_deliveries_repeat_rows_and_lose_none(spark):
     from pyspark.sql import functions as F
     from revspark.plans import standins as ST
